@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import neardup, splitting
+from lodestack.llm import neardup, splitting, vectors
 from lodestack.session import table
 
 
@@ -15,6 +15,20 @@ def contents(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def embedded(spark: SparkSession, d: str) -> DataFrame:
+    """src_table, id, embedding of chunks and observations."""
+    parts = [table(spark, d, t).select(F.lit(t).alias("src_table"), "id", "embedding") for t in ("chunks", "observations")]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.similar_pairs(embedded(spark, d))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.Neighbours(embedded(spark, d)).neighbours()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(contents(spark, d)).pairs()
 
@@ -32,6 +46,8 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
