@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import neardup, splitting, vectors
+from lodestack.llm import handwritten, neardup, splitting, vectors
 from lodestack.session import table
 
 
@@ -21,6 +21,14 @@ def embedded(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "chunks")).select("project", "source_file")
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.similar_pairs(embedded(spark, d))
 
@@ -46,6 +54,8 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_kinds": p2_kinds,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
