@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits.
 
 A record is the set of its triples of consecutive words. Its fingerprint has a
-bit for each of 128 minimum-hash slots, so the share of differing bits falls
+bit for each of 192 minimum-hash slots, so the share of differing bits falls
 as the share of common triples rises. The index over fingerprints:
 
 * *upper nodes*: masked bit patterns. Each of ``BANDS`` masks takes a record's
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from lodestack.session import written
 
 THRESHOLD, WORDS = 0.6, 3
-SLOTS, ROWS, BANDS = 128, 3, 24
-MAX_DIFF = 44
+SLOTS, ROWS, BANDS = 192, 3, 24
+MAX_DIFF = 60
 BLOCK = 256
 
 _WORD = re.compile(rb"[a-z0-9_]+")
@@ -87,32 +87,34 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def gray_rank(bits: np.ndarray) -> np.ndarray:
-    """Rank of 128-bit patterns (two columns, high first) in Gray order."""
-    hi, lo = bits[:, 0].copy(), bits[:, 1].copy()
+    """Rank of bit patterns (a column a word, highest first) in Gray order."""
+    rank = bits.copy()
     for s in (1, 2, 4, 8, 16, 32):
-        hi ^= hi >> _U(s)
-        lo ^= lo >> _U(s)
-    lo ^= np.where(hi & _U(1), ~_U(0), _U(0))
-    return np.stack([hi, lo], 1)
+        rank ^= rank >> _U(s)
+    for k in range(1, rank.shape[1]):
+        rank[:, k] ^= np.where(rank[:, k - 1] & _U(1), ~_U(0), _U(0))
+    return rank
 
 
 def gray_code(rank: np.ndarray) -> np.ndarray:
-    hi, lo = rank[:, 0], rank[:, 1]
-    return np.stack([hi ^ (hi >> _U(1)), lo ^ ((lo >> _U(1)) | (hi << _U(63)))], 1)
+    code = rank ^ (rank >> _U(1))
+    code[:, 1:] ^= rank[:, :-1] << _U(63)
+    return code
 
 
 def _pack(low: np.ndarray) -> np.ndarray:
-    """One bit of each slot: n x 2 words."""
+    """One bit of each slot, in words of 64."""
     bits = np.packbits((low & _U(1)).astype(np.uint8), axis=1)
     return bits.view(">u8").astype(np.uint64)
 
 
-SIGNATURE = "src_table string, id string, set_hash binary, set_key bigint, rank_hi bigint, rank_lo bigint, masks array<bigint>"
+RANKS = [f"rank_{k}" for k in range(SLOTS // 64)]
+SIGNATURE = "src_table string, id string, set_hash binary, set_key bigint, " + ", ".join(f"{r} bigint" for r in RANKS) + ", masks array<bigint>"
 
 
 def _signature_rows(words: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("src_table", pa.string()), ("id", pa.string()), ("set_hash", pa.binary()), ("set_key", pa.int64()), ("rank_hi", pa.int64()), ("rank_lo", pa.int64()), ("masks", pa.list_(pa.int64()))])
+        schema = pa.schema([("src_table", pa.string()), ("id", pa.string()), ("set_hash", pa.binary()), ("set_key", pa.int64()), *((r, pa.int64()) for r in RANKS), ("masks", pa.list_(pa.int64()))])
         for b in batches:
             src, ids = b.column("src_table").to_pylist(), b.column("id").to_pylist()
             kept, sets = [], []
@@ -135,7 +137,7 @@ def _signature_rows(words: int, rows: int, bands: int):
             hashes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             keys = np.frombuffer(b"".join(hashes), np.int64)[::2]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([src[i] for i in kept]), pa.array([ids[i] for i in kept]), pa.array(hashes, pa.binary()), pa.array(keys), pa.array(rank[:, 0]), pa.array(rank[:, 1]),
+                [pa.array([src[i] for i in kept]), pa.array([ids[i] for i in kept]), pa.array(hashes, pa.binary()), pa.array(keys), *(pa.array(rank[:, k]) for k in range(rank.shape[1])),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, len(kept) * bands + 1, bands, dtype=np.int32)), pa.array(masks.view(np.int64).ravel()))],
                 schema=schema,
             )
@@ -149,95 +151,150 @@ def signatures(rows: DataFrame, words: int = WORDS, per_mask: int = ROWS, masks:
 
 
 def _close(code_a: np.ndarray, code_b: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(code_a ^ code_b).sum(-1) <= most
+    return np.bitwise_count(code_a ^ code_b).sum(-1, dtype=np.int64) <= most
 
 
-def _codes(b: pd.DataFrame) -> np.ndarray:
-    return gray_code(b[["rank_hi", "rank_lo"]].to_numpy(np.int64).view(np.uint64))
+def _codes(ranks: np.ndarray) -> np.ndarray:
+    return gray_code(np.ascontiguousarray(ranks).view(np.uint64))
 
 
-def _small_nodes(most: int):
-    """Pairs of close fingerprints of one node; rows come sorted by node, nodes are at most BLOCK long."""
+#: a, b: a pair of close fingerprints; or a lower node: its upper node, place in it, members and shared bits.
+NODE = "a bigint, b bigint, mask bigint, block int, members binary, all_set binary, any_set binary"
+_NODE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int64()), ("block", pa.int32()), ("members", pa.binary()), ("all_set", pa.binary()), ("any_set", pa.binary())])
 
-    def pairs(b: pd.DataFrame) -> pd.DataFrame:
-        node, key, code = b["mask"].to_numpy(), b["set_key"].to_numpy(), _codes(b)
-        out_a, out_b = [], []
-        for lag in range(1, len(b)):
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+    none = [pa.nulls(len(pairs), f.type) for f in list(_NODE)[2:]]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], schema=_NODE)
+
+
+def _block_row(mask: int, block: int, key: np.ndarray, ranks: np.ndarray) -> tuple:
+    code = _codes(ranks)
+    packed = np.concatenate([key[:, None].view(np.uint64), code], 1)
+    return None, None, mask, block, packed.tobytes(), np.bitwise_and.reduce(code).tobytes(), np.bitwise_or.reduce(code).tobytes()
+
+
+def _walk_nodes(most: int, block: int):
+    """Rows come sorted by upper node and Gray rank. Nodes of up to ``block``
+    records give their close pairs, larger ones are cut into lower nodes."""
+
+    def small(node, key, ranks) -> pa.RecordBatch:
+        code, out_a, out_b = _codes(ranks), [], []
+        for lag in range(1, len(key)):
             at = np.flatnonzero(node[lag:] == node[:-lag])
             if not len(at):
                 break
             at = at[_close(code[at], code[at + lag], most)]
             out_a.append(key[at])
             out_b.append(key[at + lag])
-        a, z = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-        return pd.DataFrame({"a": np.minimum(a, z), "b": np.maximum(a, z)}).drop_duplicates()
+        return _pair_rows(*(np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 2 + len(RANKS)
+        rest = np.empty((0, width), np.int64)
+        cut: tuple[int, int] | None = None  # the large node that is open, and its next block
+
+        def split(rows: np.ndarray, last: bool):
+            """Whole nodes of ``rows``; what may go on stays in ``rest``."""
+            nonlocal rest, cut
+            blocks = []
+            while len(rows):
+                node = rows[:, 0]
+                starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+                if cut and node[0] != cut[0]:
+                    cut = None
+                tail = starts[-1]
+                if cut or (len(starts) == 1 and len(rows) > block):
+                    end = starts[1] if len(starts) > 1 else len(rows)
+                    whole = len(starts) > 1 or last
+                    mask, at = int(node[0]), cut[1] if cut else 0
+                    own, rows = rows[:end], rows[end:]
+                    while len(own) >= block or (whole and len(own)):
+                        blocks.append(_block_row(mask, at, own[:block, 1].copy(), own[:block, 2:]))
+                        own, at = own[block:], at + 1
+                    cut = (mask, at)
+                    if not whole:
+                        rest = own
+                        break
+                    continue
+                sizes = np.diff(np.r_[starts, len(rows)])
+                large = np.flatnonzero(sizes > block)
+                upto = starts[large[0]] if len(large) else (len(rows) if last else tail)
+                if upto:
+                    part = rows[:upto]
+                    yield small(part[:, 0], part[:, 1], part[:, 2:])
+                rows = rows[upto:]
+                if not len(large):
+                    rest = rows
+                    break
+                if len(np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])) == 1 and not last:
+                    if len(rows) <= block:
+                        rest = rows
+                        break
+                    continue
+                own = rows[rows[:, 0] == rows[0, 0]]
+                for at in range(0, len(own), block):
+                    blocks.append(_block_row(int(own[0, 0]), at // block, own[at : at + block, 1].copy(), own[at : at + block, 2:]))
+                rows = rows[len(own) :]
+            else:
+                rest = rows
+            if blocks:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*blocks), _NODE)], schema=_NODE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
         for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            if not len(b):
-                continue
-            open_node = b["mask"].to_numpy() == b["mask"].iloc[-1]
-            rest, b = b[open_node], b[~open_node]
-            if len(b):
-                yield pairs(b.reset_index(drop=True))
-        if rest is not None and len(rest):
-            yield pairs(rest.reset_index(drop=True))
+            new = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(width)], 1)
+            yield from split(np.concatenate([rest, new]), False)
+        yield from split(rest, True)
 
     return run
 
 
-def _block_pairs(most: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _block_pairs(most: int, words: int):
+    """Pairs of lower nodes of one upper node; those whose shared bits differ too often are dropped whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                one, two = (pd.DataFrame.from_records(x, columns=["rank_hi", "rank_lo", "set_key"]) for x in (_dicts(r.members), _dicts(r.others)))
-                i, j = np.nonzero(_close(_codes(one)[:, None], _codes(two)[None], most))
-                a, z = one["set_key"].to_numpy()[i], two["set_key"].to_numpy()[j]
-                yield pd.DataFrame({"a": np.minimum(a, z), "b": np.maximum(a, z)})[a != z].drop_duplicates()
+            for r in b.to_pylist():
+                one, two = (np.frombuffer(r[c], np.uint64).reshape(-1, words + 1) for c in ("members", "others"))
+                i, j = np.nonzero(_close(one[:, None, 1:], two[None, :, 1:], most))
+                a, z = one[i, 0].view(np.int64), two[j, 0].view(np.int64)
+                rows = _pair_rows(a[a != z], z[a != z])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"])
 
     return run
 
 
-def _dicts(rows) -> list[tuple]:
-    return [(r["rank_hi"], r["rank_lo"], r["set_key"]) for r in rows]
-
-
 def candidates(reps: DataFrame, most: int = MAX_DIFF, block: int = BLOCK) -> DataFrame:
     """a, b: keys of sets whose fingerprints share a masked pattern and differ in at most ``most`` bits."""
-    nodes = reps.select("set_key", "rank_hi", "rank_lo", F.explode("masks").alias("mask"))
-    by_node = Window.partitionBy("mask")
-    ranked = nodes.withColumn("n", F.count("*").over(by_node)).where("n > 1")
-    ordered = ranked.withColumn("block", F.floor((F.row_number().over(by_node.orderBy("rank_hi", "rank_lo")) - 1) / block))
-    small = ordered.where(F.col("n") <= block).select("mask", "rank_hi", "rank_lo", "set_key").mapInPandas(_small_nodes(most), "a bigint, b bigint")
-    # code bits from ranks, as in gray_code
-    hi, lo = F.col("rank_hi"), F.col("rank_lo")
-    code_hi = hi.bitwiseXOR(F.shiftrightunsigned(hi, 1))
-    code_lo = lo.bitwiseXOR(F.shiftrightunsigned(lo, 1).bitwiseOR(F.shiftleft(hi, 63)))
-    blocks = (
-        ordered.where(F.col("n") > block)
-        .groupBy("mask", "block")
-        .agg(
-            F.collect_list(F.struct("rank_hi", "rank_lo", "set_key")).alias("members"),  # at most ``block`` of them
-            F.bit_and(code_hi).alias("and_hi"), F.bit_or(code_hi).alias("or_hi"),
-            F.bit_and(code_lo).alias("and_lo"), F.bit_or(code_lo).alias("or_lo"),
-        )
+    nodes = reps.select(F.explode("masks").alias("mask"), "set_key", *RANKS)
+    shared = nodes.withColumn("n", F.count("*").over(Window.partitionBy("mask"))).where("n > 1").drop("n")
+    walked = written(shared.sortWithinPartitions("mask", *RANKS).mapInArrow(_walk_nodes(most, block), NODE), "nodes")
+    blocks = walked.where("mask is not null")
+    one = blocks.select("mask", "block", "members", F.col("all_set").alias("all_x"), F.col("any_set").alias("any_x"))
+    two = blocks.select("mask", F.col("block").alias("block_y"), F.col("members").alias("others"), F.col("all_set").alias("all_y"), F.col("any_set").alias("any_y"))
+    large = (
+        one.join(two, "mask").where("block <= block_y")
+        .mapInArrow(_apart(most), "members binary, others binary")
+        .mapInArrow(_block_pairs(most, len(RANKS)), "a bigint, b bigint")
     )
-    one, two = blocks.alias("x"), blocks.alias("y")
+    return walked.where("a is not null").select("a", "b").unionByName(large).distinct()
 
-    def apart(word: str):
-        """Bits that all of one block have set and all of the other clear, or the reverse."""
-        a_set, a_any, b_set, b_any = (F.col(f"{t}.{k}_{word}") for t in "xy" for k in ("and", "or"))
-        return F.bit_count(a_set.bitwiseAND(F.bitwise_not(b_any))) + F.bit_count(b_set.bitwiseAND(F.bitwise_not(a_any)))
 
-    large = (
-        one.join(two, (F.col("x.mask") == F.col("y.mask")) & (F.col("x.block") <= F.col("y.block")))
-        .where(apart("hi") + apart("lo") <= most)
-        .select(F.col("x.members").alias("members"), F.col("y.members").alias("others"))
-        .mapInPandas(_block_pairs(most), "a bigint, b bigint")
-    )
-    return small.unionByName(large).distinct()
+def _apart(most: int):
+    """Pairs of lower nodes that may hold a close pair: bits that all of one have
+    set and all of the other clear, or the reverse, differ in every pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ax, ox, ay, oy = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("all_x", "any_x", "all_y", "any_y"))
+            least = np.bitwise_count((ax & ~oy) | (ay & ~ox)).sum(1, dtype=np.int64)
+            keep = pa.array(least <= most)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("members", "others")], names=["members", "others"])
+
+    return run
 
 
 VERIFIED = "src_table string, hash_a binary, hash_b binary, jaccard double"
@@ -268,7 +325,7 @@ class NearDuplicates:
         sig = written(signatures(rows, words, per_mask, masks), "fingerprints")
         self.members = sig.select("src_table", "set_hash", "id").distinct()
         reps = sig.groupBy("src_table", "set_hash").agg(
-            F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("set_key", "rank_hi", "rank_lo", "masks"))
+            F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("set_key", *RANKS, "masks"))
         )
         pairs = candidates(reps, most)
         # the texts of the sets that stand in a pair, once each
