@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import handwritten, neardup, splitting, vectors
+from lodestack.llm import handwritten, neardup, quality, secrets, splitting, vectors
 from lodestack.session import table
 
 
@@ -37,6 +37,14 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vectors.Neighbours(embedded(spark, d)).neighbours()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.credential_lines(table(spark, d, "chunks"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.credentials(table(spark, d, "chunks"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(contents(spark, d)).pairs()
 
@@ -53,7 +61,19 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.no_prose(table(spark, d, "documents"))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(table(spark, d, "documents"))
+
+
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
+    "p9_found": p9_found,
+    "p9_statistics": p9_statistics,
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p3_found": p3_found,
