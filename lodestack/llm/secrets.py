@@ -59,6 +59,7 @@ _NAME = re.compile(r"[a-z_][a-z0-9_.\-]*|[A-Z_][A-Z0-9_]*|[A-Za-z][a-z]*(?:[A-Z]
 _URL = re.compile(rf"://([^{_SEP}:/@]*):([^{_SEP}@]+)@")
 #: A member of a short name, as minifiers write: no literal, whatever follows it.
 _MEMBER = re.compile(r"[A-Za-z_$]{1,4}(?:[?:&|!]+[A-Za-z_$]{0,4})?\.[A-Za-z_$]+(?:[!=]==?|[-+*/%]?=)?(?:[A-Za-z_$.!]*=?)?")
+_PARTS, _PART = re.compile(r"[-._/:]"), re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*[A-Z]*|[A-Z]*)")
 _KEYED = re.compile(r"^(\$\{|[{<*\-]*)([A-Za-z_][\w.\-]*?)(\*\*|)(:=|=>|=|:)([^=].*)$", re.S)
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -182,7 +183,10 @@ def admissible(t: Token) -> bool:
     # an address without a password in it, and the rest of one behind a placeholder, hold none
     if t.slot in ("key", "flag", "user") or t.text[0] in "@:/" or "://" in t.text:
         return False
-    return bool(_ADMIT.fullmatch(t.text)) and not _MEMBER.fullmatch(t.text)
+    if not _ADMIT.fullmatch(t.text) or _MEMBER.fullmatch(t.text):
+        return False
+    # names of several words, as headers and members have
+    return not all(map(_PART.fullmatch, _PARTS.split(t.text)))
 
 
 def _entropy(s: str) -> float:
