@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import handwritten, neardup, quality, secrets, splitting, vectors
+from lodestack.llm import handwritten, mixing, neardup, packing, quality, secrets, splitting, vectors
 from lodestack.session import table
 
 
@@ -61,6 +61,22 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packing(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).rows
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.no_prose(table(spark, d, "documents"))
 
@@ -70,6 +86,10 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p7_packing": p7_packing,
+    "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
     "p9_found": p9_found,
