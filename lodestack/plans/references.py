@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.operators import references as R
+from lodestack.plans.bindings import canon_sql as _canon
 from lodestack.session import table
 
 
@@ -17,12 +18,6 @@ def p1_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
     return R.orphan_counts(p1_found(spark, d))
 
 
-def _canon(c: str) -> str:
-    bare = f"lower(regexp_replace({c}, '[\\s{{}}\\-]', '', 'g'))"
-    dashed = f"regexp_replace({bare}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
-    return f"CASE WHEN regexp_matches({bare}, '^[0-9a-f]{{32}}$') THEN {dashed} ELSE {c} END"
-
-
 _TIME = """CASE WHEN regexp_matches(x, '(Z|[+-][0-9]{2}:[0-9]{2})$') THEN try_cast(x AS TIMESTAMPTZ)
  ELSE try_cast(x || 'Z' AS TIMESTAMPTZ) END"""
 
