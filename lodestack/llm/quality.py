@@ -21,13 +21,16 @@ prose; ids are kept as they come, repeated rows stay; extra columns stay out.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.columns import pick
+
 PROSE_SHARE = 0.5
 MIN_COMMON = 0.14
 MAX_SYMBOLS = 0.12
@@ -40,12 +43,19 @@ COMMON = {
     "es": "a al algo ante antes aún aunque bajo bien cada como con cosa cuando de del desde después donde dos el él ella ellas ellos en entre era eran es esa ese eso esta está están estas este esto estos fue fueron ha habían había hacia han hasta hay hemos la las le les lo los más me mientras mitad muy nada ni no nos nosotros nuestro o otra otro otros para pero poco por porque pues que qué quien se según ser si sí siempre sin sobre solo son su sus también tan tanto te tiene todavía toda todas todo todos tras tu un una unas unos van ya y yo decidido mezclar despacio problemas daba volvieron vuelto faltaba unos",
 }
 _COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
-_ANY = frozenset().union(*_COMMON.values())
+#: For each word the languages it is common in, as a number in base 4096 with a place per language.
+_PLACES = {w: sum((w in words) << (12 * k) for k, words in enumerate(_COMMON.values())) for w in frozenset().union(*_COMMON.values())}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"\S+")
 _CODE = re.compile(r"`[^`\n]*`|\b\w*_\w+(?:\(\))?|\b[\w\-]+(?:/[\w\-.]+)+|https?://\S+|\b\w+\(\)")
-_NORMAL = re.compile(r"[\w\s.,;:!?'’\"“”„«»()¿¡\-–—…%&/]", re.U)
+_ODD = re.compile(r"[^\w\s.,;:!?'’\"“”„«»()¿¡\-–—…%&/]")
+_SYMBOL = re.compile(r"[^\w\s]")
+_BROKEN = re.compile(r"[^\W\d_](?:[^\w\s'’\-./,)(\"“”»«][^\W\d_]|\d)|\d[^\W\d_]")
+#: What any odd or broken place holds.
+_SUSPECT = re.compile(r"[^\w\s.,'’\"“”«»()¿¡\-–—…/;:!?%&]|[;:!?%&“”«»¿¡–—…][^\W\d_]|[^\W\d_]\d|\d[^\W\d_]")
+_UNPLAIN = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ \n.,'’\"()\-/]")
+_CODED = re.compile(r"[`_/]|\(\)")
 _END = re.compile(r"""(?<=[.!?…])["'”»)\]]*\s+(?=[^\s])|(?<=[.!?…])$""")
 _STRUCTURE = re.compile(
     r"""(?x)^\s*(?:
@@ -64,37 +74,76 @@ _STRUCTURE = re.compile(
 )
 _ITEM = re.compile(r"^\s*(?:[\-*+•·>]|\(?\d{1,3}[.)]|[a-z][.)])\s+")
 _HEAD = re.compile(r"^\s*(?:\#{1,6}|=+)\s+\S")
+_PARAGRAPH = re.compile(r"\n[ \t]*\n+")
 _SPEAKER = re.compile(r"^\s*[\w.\-]{1,24}:\s+(?=\S)")
 
 
 #: Two- and three-byte characters read as single bytes; a reader still sees the word.
-_MOJIBAKE = re.compile(r"[ÃÂ][\x80-\xbf\u0152-\u0178\u02c6\u02dc\u2013-\u203a\u20ac\u2122]|â€.")
+_MOJIBAKE = re.compile(r"[ÃÂãâ][\x80-\xbf\u0152-\u0178\u02c6\u02dc\u2013-\u203a\u20ac\u2122]|â€.")
 
 
-def readable(part: str) -> bool:
-    """Few symbols, and words that aren't broken by digits or symbols."""
-    bare = _CODE.sub(" ", _MOJIBAKE.sub("e", part))
-    dense = [c for c in bare if not c.isspace()]
-    if not dense:
-        return False
-    odd = sum(not _NORMAL.match(c) for c in dense)
-    if odd > MAX_SYMBOLS * len(dense):
-        return False
-    tokens = _TOKEN.findall(bare)
-    broken = sum(bool(re.search(r"[^\W\d_][^\w\s'’\-./,)(\"“”»«][^\W\d_]|[^\W\d_]\d|\d[^\W\d_]", t)) for t in tokens)
-    return broken <= 0.15 * len(tokens)
+def _bare(part: str) -> str:
+    """Without what is marked as code, which is read as one word."""
+    if not part.isascii():
+        part = _MOJIBAKE.sub("e", part)
+    return _CODE.sub(" x ", part) if _CODED.search(part) else part
 
 
-def runs(part: str) -> bool:
+def readable(bare: str) -> bool:
+    """Few symbols, and words that aren't broken by digits or symbols."""
+    if not _UNPLAIN.search(bare) or not _SUSPECT.search(bare):
+        return bool(bare.strip())
+    tokens = bare.split()
+    dense = sum(map(len, tokens))
+    return bool(dense) and len(_ODD.findall(bare)) <= MAX_SYMBOLS * dense and len(_BROKEN.findall(bare)) <= 0.15 * len(tokens)
+
+
+_EDGES = ".,;:!?…\"'“”„«»()¿¡-–—"
+
+
+def _common(words: list[str]) -> int:
+    """How many are common in the language that has most of them."""
+    get, total = _PLACES.get, 0
+    for w in words:
+        n = get(w)
+        if n is None and not w.isalpha():
+            w = w.strip(_EDGES)
+            n = get(w)
+            if n is None and ("'" in w or "’" in w):
+                n = get(w.replace("’", "'").split("'")[0])
+        if n:
+            total += n
+    # a place of 4096 holds any sentence; longer stretches are counted language by language
+    if len(words) > 4000:
+        clean = [w.strip(_EDGES).replace("’", "'").split("'")[0] for w in words]
+        return max(sum(w in c for w in clean) for c in _COMMON.values())
+    return max(total & 4095, (total >> 12) & 4095, (total >> 24) & 4095, total >> 36)
+
+
+def runs(bare: str) -> bool:
     """Function words of one language come often enough, as in sentences."""
-    words = [w.lower() for w in _WORD.findall(_CODE.sub(" x ", _MOJIBAKE.sub("e", part)))]
+    words = bare.lower().split()
     if len(words) < 3:
         return False
-    best = max(sum(w in c or w.split("'")[0].split("’")[0] in c for w in words) for c in _COMMON.values())
+    best = _common(words)
     return best >= 2 and best >= MIN_COMMON * len(words)
 
 
-def sentences(text: str) -> list[str]:
+def _plainly_text(s: str) -> bool:
+    """A line of many words without any mark of structure."""
+    blanks = s.count(" ")
+    return blanks >= 6 and s[0].isalpha() and "\t" not in s and "   " not in s and "|" not in s and s.count(",") * 3 < blanks and not s.startswith(("File ", "at ", "Traceback", "INFO", "WARN", "ERROR", "DEBUG", "TRACE"))
+
+
+_TO_BLANK = {c: " " for c in range(128) if not chr(c).isalpha()}
+
+
+def words_of(low: str) -> list[str]:
+    """Runs of letters, apostrophes inside; plain texts are cut without the pattern."""
+    return low.translate(_TO_BLANK).split() if low.isascii() and "'" not in low else _WORD.findall(low)
+
+
+def sentences(text: str | list[str]) -> list[str]:
     """Stretches between structure, wrapped lines joined, cut at sentence ends."""
     out, part = [], []
 
@@ -104,13 +153,14 @@ def sentences(text: str) -> list[str]:
             out.extend(s for s in _END.split(whole) if s and s.strip())
             part.clear()
 
-    for line in re.split(r"\r\n|\r|\n", text):
+    for line in text.splitlines() if isinstance(text, str) else text:
         s = line.strip()
         if not s or _HEAD.match(line):
             close()
             continue
-        item = _ITEM.match(line)
-        if _STRUCTURE.match(line) and not (runs(s) and len(_WORD.findall(s)) >= 8 and s[-1] in ".!?"):
+        plain = _plainly_text(s)
+        item = _ITEM.match(line) if not plain or s[1] in ".)" else None
+        if not plain and _STRUCTURE.match(line) and not (s[-1] in ".!?" and len(_WORD.findall(s)) >= 8 and runs(_bare(s))):
             # a wrapped line of few words may look like a key or a list; it is one if it stands alone
             close()
             continue
@@ -124,14 +174,16 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def prose_chars(text: str) -> int:
+def prose_chars(text: str | list[str]) -> int:
     """Characters of readable running sentences, a repeated one once."""
     seen, n = set(), 0
     for s in sentences(text):
-        key = " ".join(s.lower().split())
+        low = s.lower()
+        key = " ".join(low.split())
         if key in seen:
             continue
-        if runs(s) and readable(s):
+        bare = _bare(low)
+        if runs(bare) and readable(bare):
             seen.add(key)
             n += len(s) + 1
     return n
@@ -143,30 +195,53 @@ def _share(part: float, whole: float) -> float:
 
 def duplicate_share(parts: list[str]) -> float:
     """Characters in parts that stood before, of all characters."""
-    seen, again, total = set(), 0, 0
-    for p in parts:
-        total += len(p)
-        again += len(p) * (p in seen)
-        seen.add(p)
-    return _share(again, total)
-
-
-def dominant_ngram(words: list[str], n: int) -> float:
-    """Characters covered by the most frequent n-gram that repeats, of all in words."""
-    if len(words) < n + 1:
+    once = dict.fromkeys(parts)
+    if len(once) == len(parts):
         return 0.0
-    grams = Counter(zip(*(words[k:] for k in range(n))))
-    gram, times = min(grams.items(), key=lambda x: (-x[1], x[0]))
-    if times < 2:
-        return 0.0
-    # overlapping hits cover a word once
-    covered, at = 0, [False] * len(words)
-    for i in range(len(words) - n + 1):
-        if tuple(words[i : i + n]) == gram:
-            for j in range(i, i + n):
-                at[j] = True
-    covered = sum(len(w) for w, hit in zip(words, at) if hit)
-    return _share(covered, sum(map(len, words)))
+    total = sum(map(len, parts))
+    return _share(total - sum(map(len, once)), total)
+
+
+def dominant_ngrams(texts: list[list[str]], sizes: tuple[int, ...] = (2, 3, 4)) -> np.ndarray:
+    """For each text and n the characters covered by the most frequent n-gram that repeats, of all in words.
+
+    All texts of a batch are counted together. Overlapping hits cover a word
+    once; among equally frequent n-grams the first counts.
+    """
+    out = np.zeros((len(texts), len(sizes)))
+    counts = np.array([len(t) for t in texts])
+    flat = [w for t in texts for w in t]
+    if not flat:
+        return out
+    index = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    ids = np.array(list(map(index.__getitem__, flat)), np.int64)
+    lengths = np.array(list(map(len, flat)), np.int64)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    total = np.bincount(doc, lengths, len(texts))
+    code, width, base = pd.factorize(doc * len(index) + ids)[0], 1, len(index)
+    for at, n in enumerate(sizes):
+        while width < n and len(code) > 1:  # number the n-grams by those of n - 1 words
+            code = pd.factorize(code[:-1] * base + ids[width:])[0]
+            width += 1
+        if width < n:
+            break
+        here = doc[: len(code)]
+        inside = here == doc[width - 1 :]  # both ends lie in one text
+        times = np.bincount(code, inside)[code].astype(np.int64)
+        times[~inside] = 0
+        starts = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+        most = np.zeros(len(texts), np.int64)
+        most[here[starts]] = np.maximum.reduceat(times, starts)
+        top = np.flatnonzero((times == most[here]) & (times > 1))
+        first = top[np.r_[True, here[top][1:] != here[top][:-1]]] if len(top) else top
+        best = np.full(len(texts), -1)
+        best[here[first]] = code[first]
+        found = (code == best[here]) & inside
+        hit = np.zeros(len(flat), bool)
+        for k in range(n):
+            hit[k : k + len(code)] |= found
+        out[:, at] = np.divide(np.bincount(doc, lengths * hit, len(texts)), total, out=np.zeros(len(texts)), where=total > 0)
+    return out
 
 
 FIELDS = [
@@ -174,35 +249,47 @@ FIELDS = [
     ("common_word_share", "double"), ("duplicate_line_share", "double"), ("duplicate_paragraph_share", "double"), ("top_2gram_share", "double"),
     ("top_3gram_share", "double"), ("top_4gram_share", "double"), ("prose_share", "double"), ("is_prose", "boolean"),
 ]
+_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 SCHEMA = "doc_id bigint, " + ", ".join(f"{k} {t}" for k, t in FIELDS)
 
 
-def statistics(text: str | None) -> tuple:
+def _measured(text: str | None) -> tuple[tuple, list[str], tuple]:
     text = text or ""
-    words = _WORD.findall(text)
-    low = [w.lower() for w in words]
-    lines = [x.strip() for x in re.split(r"\r\n|\r|\n", text) if x.strip()]
-    paragraphs = [p.strip() for p in re.split(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)+", text) if p.strip()]
-    solid = sum(not c.isspace() for c in text)
-    symbols = sum(not (c.isalnum() or c.isspace()) for c in text)
-    share = _share(prose_chars(text), len(text.strip()))
-    return (
-        len(text), len(words), (sum(map(len, words)) / len(words)) if words else None, _share(symbols, solid),
-        _share(sum(x[-1] in ".!?…:;\"'”»)" for x in lines), len(lines)), _share(sum(w in _ANY for w in low), len(low)),
-        duplicate_share(lines), duplicate_share(paragraphs), *(dominant_ngram(low, n) for n in (2, 3, 4)),
-        min(1.0, share), bool(text.strip()) and share >= PROSE_SHARE,
+    size = len(text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    words = words_of(text.lower())
+    chars = sum(map(len, words))
+    raw = text.splitlines()
+    lines = [x for x in map(str.strip, raw) if x]
+    paragraphs = [x for x in map(str.strip, _PARAGRAPH.split(text)) if x]
+    solid = len("".join(text.split()))
+    share = _share(prose_chars(raw), len(text.strip()))
+    first = (
+        size, len(words), chars / len(words) if words else None, _share(len(_SYMBOL.findall(text)) + text.count("_"), solid),
+        _share(sum(x[-1] in ".!?…:;\"'”»)" for x in lines), len(lines)), _share(sum(map(_PLACES.__contains__, words)), len(words)),
+        duplicate_share(lines), duplicate_share(paragraphs),
     )
+    return first, words, (min(1.0, share), bool(text.strip()) and share >= PROSE_SHARE)
+
+
+def statistics(texts: list[str | None]) -> list[tuple]:
+    """The fields of each text."""
+    parts = [_measured(t) for t in texts]
+    grams = dominant_ngrams([w for _, w, _ in parts])
+    return [(*a, *map(float, g), *z) for (a, _, z), g in zip(parts, grams)]
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["doc_id", *(k for k, _ in FIELDS)]
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pd.DataFrame([(i, *statistics(t)) for i, t in zip(b["doc_id"], b["text"])], columns=names)
+        if b.num_rows:
+            columns = zip(*statistics(b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, FIELDS))], names=["doc_id", *(k for k, _ in FIELDS)])
 
 
 def text_quality(documents: DataFrame) -> DataFrame:
     """Statistics of every row of ``doc_id, text``."""
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(_rows, SCHEMA)
+    return pick(documents, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_rows, SCHEMA)
 
 
 def no_prose(documents: DataFrame) -> DataFrame:
