@@ -4,14 +4,15 @@ Every source gets its share of the wanted number of tokens. As long as its
 budget holds all of its documents they are all taken, at most ``max_repeats``
 times; what remains is a fraction, filled by Efraimidis and Spirakis: each
 document draws an exponential key over its quality weight, and the documents
-with the smallest keys are taken until their prefix sum of tokens reaches the
-budget. The weight comes from characters per token: natural language needs few
+with the smallest keys are taken while their prefix sum of tokens stays within
+the budget. The weight comes from characters per token: natural language needs few
 tokens, tables, dumps and noise many.
 
 Scale: no source is sorted in one task, whatever its size. Keys fall into
 ``BUCKETS`` ranges a source; their token sums (a table of bounded size) are
 accumulated and tell which ranges are taken whole and in which one the budget
-ends; only that range is ordered, in a window of its own. The random number of
+ends; only that range is ordered, in a window of its own. What the last document
+that didn't fit leaves over goes to the one that fills it best. The random number of
 a document is a hash of its id and the seed, so a lost task draws it again.
 
 A target without documents, or whose repeats are used up, falls short; its
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import tokens as T
+from lodestack.operators.columns import pick
 from lodestack.session import written
 
 SIZE_SHARE = 0.5
@@ -54,7 +56,7 @@ def keyed(sizes: DataFrame, seed: int = SEED) -> DataFrame:
 def budgets(docs: DataFrame, targets: DataFrame, total: float) -> DataFrame:
     """One row per target: budget, whole epochs, tokens of the fraction."""
     goal = (
-        targets.where(F.col("source").isNotNull()).groupBy(source_name(F.col("source")).alias("source"))
+        pick(targets, "source", "target_share", "max_repeats").where(F.col("source").isNotNull()).groupBy(source_name(F.col("source")).alias("source"))
         .agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     )
     have = docs.groupBy("source").agg(F.sum("tokens").alias("have"), F.count("*").alias("n_docs"))
@@ -83,12 +85,14 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float, seed: int = SEED, bu
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     split = placed.where((F.col("before") < F.col("fraction")) & (F.col("before") + F.col("in_bucket") > F.col("fraction")))
     reached = F.col("before") + F.sum("tokens").over(inside)
-    # the document at which the budget ends is taken if the sum then lies nearer to it
-    split = split.withColumn("extra", (reached - F.col("fraction") <= F.col("fraction") - (reached - F.col("tokens"))).cast("int"))
-    return (
-        whole.unionByName(beyond).unionByName(split)
-        .select("doc_id", "source", "tokens", (F.col("epochs") + F.col("extra")).cast("bigint").alias("n_uses")).where("n_uses > 0")
-    )
+    split = split.withColumn("extra", (reached <= F.col("fraction")).cast("int"))
+    drawn = written(whole.unionByName(beyond).unionByName(split), "drawn")
+    # what is left of a budget goes to the one document not drawn that fills it best
+    gaps = drawn.groupBy("source").agg((F.first("fraction") - F.sum(F.col("extra") * F.col("tokens"))).alias("gap"))
+    fits = drawn.where("extra = 0").join(F.broadcast(gaps), "source").where(F.col("tokens") <= F.col("gap"))
+    last = fits.groupBy("source").agg(F.max_by("doc_id", F.struct("tokens", -F.col("key"), -F.col("doc_id"))).alias("last"))
+    uses = F.col("epochs") + F.col("extra") + F.coalesce((F.col("doc_id") == F.col("last")).cast("int"), F.lit(0))
+    return drawn.join(F.broadcast(last), "source", "left").select("doc_id", "source", "tokens", uses.cast("bigint").alias("n_uses")).where("n_uses > 0")
 
 
 def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
