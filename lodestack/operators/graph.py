@@ -91,7 +91,7 @@ def upsert_entities(stored: DataFrame, batch: DataFrame, now) -> DataFrame:
         F.struct(F.when(fresh, F.array_union(F.coalesce("properties.chunk_ids", none), added)).otherwise(F.col("properties.chunk_ids")).alias("chunk_ids"), F.col("properties.stale").alias("stale")).alias("properties"),
         F.coalesce("created_at", now).alias("created_at"),
         F.when(fresh, now).otherwise(F.col("updated_at")).alias("updated_at"),
-    )
+    ).select("id", "name", "entity_type", "description", "project", "source_file", "properties", "created_at", "updated_at")
 
 
 def resolve_relations(batch: DataFrame, entities: DataFrame, project: str | None) -> DataFrame:

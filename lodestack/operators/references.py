@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.columns import pick
+
 HEAVY_KEYS = 256
 DAY_US = 86_400_000_000
 UUID_BARE = "^[0-9a-f]{32}$"
@@ -62,7 +64,7 @@ def file_key(project: Column, path: Column) -> Column:
 
 def references(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """ref_table, ref_field, record_id, ref_key, kind, key, ref_us; one row per record, field and key."""
-    rel = relations.select(
+    rel = pick(relations, "id", "source_id", "target_id", "metadata").select(
         canonical_id(F.col("id")).alias("record_id"),
         "source_id",
         "target_id",
@@ -82,7 +84,7 @@ def references(relations: DataFrame, entities: DataFrame) -> DataFrame:
         "ref_table", "ref_field", "record_id", canonical_id(F.col("raw")).alias("ref_key"),
         F.lit("entity").alias("kind"), canonical_id(F.col("raw")).alias("key"), "ref_us",
     )
-    ent = entities.select(
+    ent = pick(entities, "id", "project", "source_file", "properties", "updated_at").select(
         F.lit("entities").alias("ref_table"),
         canonical_id(F.col("id")).alias("record_id"),
         "project",
@@ -111,21 +113,21 @@ def references(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 def targets(entities: DataFrame, chunks: DataFrame, removals: DataFrame, file_events: DataFrame) -> DataFrame:
     """kind, key, there_us, there, removed: one row per key that exists or was removed."""
-    ent = entities.select(
+    ent = pick(entities, "id", "created_at").select(
         F.lit("entity").alias("kind"), canonical_id(F.col("id")).alias("key"), micros(F.col("created_at")).alias("us")
     )
-    seen = chunks.select("id", "project", "source_file", micros(F.col("indexed_at")).alias("us"))
+    seen = pick(chunks, "id", "project", "source_file", "indexed_at").select("id", "project", "source_file", micros(F.col("indexed_at")).alias("us"))
     chk = seen.select(F.lit("chunk").alias("kind"), canonical_id(F.col("id")).alias("key"), "us")
     fil = seen.where(F.col("source_file").isNotNull()).select(
         F.lit("file").alias("kind"), file_key(F.col("project"), F.col("source_file")).alias("key"), "us"
     )
     there = ent.unionByName(chk).unionByName(fil).select("kind", "key", "us", F.lit(True).alias("there"))
-    gone = removals.select(
+    gone = pick(removals, "record_table", "record_id").select(
         F.when(F.lower(F.trim("record_table")) == "entities", "entity").otherwise("chunk").alias("kind"),
         canonical_id(F.col("record_id")).alias("key"),
     )
     # an event's path is project/path or the bare path: both readings are kept
-    deleted = file_events.where(F.lower(F.trim("action")) == "delete").select("path").where("path is not null")
+    deleted = pick(file_events, "path", "action").where(F.lower(F.trim("action")) == "delete").select("path").where("path is not null")
     split = F.instr("path", "/")
     named = deleted.where(split > 1).select(
         F.lit("file").alias("kind"),
