@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.columns import pick
+
 WEIGHTS = Path(__file__).with_name("secret_weights.json")
 TRAIN_LINES = 20_000
 LABELS = ("O", "B", "I")
@@ -59,7 +61,7 @@ _NAME = re.compile(r"[a-z_][a-z0-9_.\-]*|[A-Z_][A-Z0-9_]*|[A-Za-z][a-z]*(?:[A-Z]
 _URL = re.compile(rf"://([^{_SEP}:/@]*):([^{_SEP}@]+)@")
 #: A member of a short name, as minifiers write: no literal, whatever follows it.
 _MEMBER = re.compile(r"[A-Za-z_$]{1,4}(?:[?:&|!]+[A-Za-z_$]{0,4})?\.[A-Za-z_$]+(?:[!=]==?|[-+*/%]?=)?(?:[A-Za-z_$.!]*=?)?")
-_PARTS, _PART = re.compile(r"[-._/:]"), re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*[A-Z]*|[A-Z]*)")
+_NAMES_APART, _PART = re.compile(r"[-._/:=]"), re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*[A-Z]*|[A-Z]*)")
 _KEYED = re.compile(r"^(\$\{|[{<*\-]*)([A-Za-z_][\w.\-]*?)(\*\*|)(:=|=>|=|:)([^=].*)$", re.S)
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -79,7 +81,7 @@ _KINDS = [
     ("crypt", re.compile(r"^\$(?:2[aby]|5|6|argon2\w*|pbkdf2[\w\-]*)\$|^pbkdf2|^scrypt")), ("prefix", PREFIX), ("jwt", re.compile(r"^eyJ[\w\-]{8,}")),
     ("uuid", re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")), ("color", re.compile(r"^#[0-9a-fA-F]{3,8}$")),
     ("holder", re.compile(r"(?i)your[-_]|change[-_]?me|replace[-_]?me|x{6,}|\*{3,}|insert[-_]|example|placeholder|dummy|redacted|todo|\.\.\.|<[^>]*>|\{\{|\$\{|^\$[A-Z_(]|^%[A-Z_]+%$|^\$\(")),
-    ("pointer", re.compile(r"(?i)^(?:vault|env|ref|ssm|arn|secretmanager|keyring|file|aws-sm|op)\b|os\.environ|getenv|process\.env|#[A-Za-z_]+$")),
+    ("pointer", re.compile(r"(?i)^(?:vault|env|ref|ssm|arn|secretmanager|keyring|file|aws-sm|op):|os\.environ|getenv|process\.env|#[A-Za-z_]+$")),
     ("url", re.compile(r"^[a-z][a-z0-9+.\-]*://")), ("version", re.compile(r"^v?\d+(?:\.\d+)+[\w.\-]*$")), ("date", re.compile(r"^\d{4}-\d\d-\d\d")), ("likeprefix", _LIKE_PREFIX),
     ("groups", re.compile(r"^[A-Z0-9]{4,6}(?:-[A-Z0-9]{1,6})+$")), ("hex", re.compile(r"^[0-9a-f]{14,}$|^[0-9A-F]{16,}$")), ("hexnum", re.compile(r"(?i)^0x[0-9a-f]+$")),
     ("path", re.compile(r"^[\w.\-@]*/[\w./\-@:*{}$]*$")), ("b64", re.compile(r"^[A-Za-z0-9+/\-_]{16,}={1,2}$|^(?=.*[+/])[A-Za-z0-9+/]{16,}$")),
@@ -179,14 +181,14 @@ def tokens(line: str) -> list[Token]:
 
 def admissible(t: Token) -> bool:
     if t.slot == "pem":
-        return True
+        return t.text.startswith("-----BEGIN")
     # an address without a password in it, and the rest of one behind a placeholder, hold none
     if t.slot in ("key", "flag", "user") or t.text[0] in "@:/" or "://" in t.text:
         return False
     if not _ADMIT.fullmatch(t.text) or _MEMBER.fullmatch(t.text):
         return False
     # names of several words, as headers and members have
-    return not all(map(_PART.fullmatch, _PARTS.split(t.text)))
+    return not all(map(_PART.fullmatch, _NAMES_APART.split(t.text)))
 
 
 def _entropy(s: str) -> float:
@@ -478,9 +480,24 @@ def field() -> Field:
     return _field
 
 
+_DIGIT, _CAPITALS = re.compile(r"\d"), re.compile(r"[A-Z]{2}")
+
+
 def _may_hold(line: str) -> bool:
-    """Whether any token of the line may be admissible: parts of a run are, only if the run has a part that is."""
-    return "-----BEGIN" in line or any(map(_ADMIT.search, _RUNS.findall(line)))
+    """Whether any token of the line may be admissible. A token is a part of a run, so
+    none is where the runs are words, numbers, or names joined by marks."""
+    if "-----BEGIN" in line:
+        return True
+    for run in _RUNS.findall(line):
+        if _DIGIT.search(run):
+            if not run.isdigit() and _ADMIT.search(run):
+                return True
+        elif run.isalpha():
+            if _CAPITALS.search(run) and not run.isupper() and _ADMIT.search(run):
+                return True
+        elif not run.islower() and not all(map(_PART.fullmatch, _NAMES_APART.split(run))) and _ADMIT.search(run):
+            return True
+    return False
 
 
 def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -572,7 +589,7 @@ def credential_lines(chunks: DataFrame) -> DataFrame:
 
 
 def _distinct(chunks: DataFrame) -> DataFrame:
-    return chunks.where(F.col("content").isNotNull()).select(F.col("id").alias("chunk_id"), "content").dropDuplicates(["chunk_id"])
+    return pick(chunks, "id", "content").where(F.col("content").isNotNull() & F.col("id").isNotNull()).select(F.col("id").alias("chunk_id"), "content").dropDuplicates(["chunk_id"])
 
 
 if __name__ == "__main__":
