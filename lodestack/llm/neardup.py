@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.operators.columns import pick
 from lodestack.session import written
 
 THRESHOLD, WORDS = 0.6, 3
@@ -321,7 +322,7 @@ class NearDuplicates:
     """Classes of equal sets (``members``) and links between different ones (``links``)."""
 
     def __init__(self, rows: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, per_mask: int = ROWS, masks: int = BANDS, most: int = MAX_DIFF):
-        rows = rows.select("src_table", "id", "content")
+        rows = pick(rows, "src_table", "id", "content")
         sig = written(signatures(rows, words, per_mask, masks), "fingerprints")
         self.members = sig.select("src_table", "set_hash", "id").distinct()
         reps = sig.groupBy("src_table", "set_hash").agg(

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from lodestack.operators.columns import pick
 
 PROSE_SHARE = 0.5
+#: From so many words on, a text whose dominant 4-gram covers so much of it only repeats.
+REPEAT_WORDS, REPEAT_SHARE = 40, 0.35
 MIN_COMMON = 0.14
 MAX_SYMBOLS = 0.12
 
@@ -277,7 +279,12 @@ def statistics(texts: list[str | None]) -> list[tuple]:
     """The fields of each text."""
     parts = [_measured(t) for t in texts]
     grams = dominant_ngrams([w for _, w, _ in parts])
-    return [(*a, *map(float, g), *z) for (a, _, z), g in zip(parts, grams)]
+    out = []
+    for (first, words, (share, prose)), g in zip(parts, grams):
+        # a sentence over and over without a mark between is found by its n-grams
+        again = len(words) >= REPEAT_WORDS and g[-1] >= REPEAT_SHARE
+        out.append((*first, *map(float, g), share, prose and not again))
+    return out
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

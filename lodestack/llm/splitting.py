@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.columns import pick
+
 LIMIT, OVERLAP = 1024, 200
 
 #: Places where a unit of each level may start, best first. A match's end is the place.
@@ -111,7 +113,7 @@ PIECE_SCHEMA = "chunk_id string, piece_no int, char_start int, char_end int, con
 def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Ordered pieces of every chunk longer than ``limit`` characters."""
     return (
-        chunks.where(F.length("content") > limit)
+        pick(chunks, "id", "content", "source_file", "line_start", "line_end").where((F.length("content") > limit) & F.col("id").isNotNull())
         .select(F.col("id").alias("chunk_id"), "content", "source_file", F.col("line_start").cast("double"), F.col("line_end").cast("double"))
         .dropDuplicates(["chunk_id"])
         .mapInPandas(split_rows(limit, overlap), PIECE_SCHEMA)

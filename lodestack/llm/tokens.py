@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.columns import pick
+
 #: Where the vocabulary lies on every executor; a parameter of all operators that need it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's texts are cut into words.
@@ -41,6 +43,6 @@ def sizes(documents: DataFrame, *keep: str, path: str = VOCABULARY) -> DataFrame
             out["chars"] = [len(t) if t else 0 for t in b["text"]]
             yield out
 
-    rows = documents.select(F.col("doc_id").cast("bigint"), *keep, "text")
+    rows = pick(documents, "doc_id", *keep, "text").select(F.col("doc_id").cast("bigint"), *keep, "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInPandas(run, schema + ", tokens bigint, chars bigint")
