@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +30,29 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, wherever the driver
+    imported it from: Python workers don't have the driver's import path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="lodestack-code-")  # read by the driver's file server only
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = os.path.join(folder, "lodestack.zip")
+    with zipfile.PyZipFile(at, "w") as z:
+        z.writepy(str(package))
+        for f in package.rglob("*.json"):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +78,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     and so that two consumers don't run an expensive stage twice.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
