@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import math
+import pkgutil
 import random
 import re
 from collections.abc import Iterator
@@ -244,8 +245,8 @@ class Field:
         self.unary, self.pair = unary, pair
 
     @classmethod
-    def load(cls, path: Path = WEIGHTS) -> Field:
-        d = json.loads(path.read_text())
+    def load(cls, path: Path | None = None) -> Field:
+        d = json.loads(path.read_text() if path else pkgutil.get_data(__package__, WEIGHTS.name))
         return cls(list(d["unary"]), np.array(list(d["unary"].values())), np.array(d["pair"]))
 
     def save(self, path: Path = WEIGHTS) -> None:
