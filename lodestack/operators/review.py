@@ -41,8 +41,10 @@ def ratio(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     return both.withColumn("entity_chunk_ratio", F.when((F.col("n_entities") > 0) & (F.col("n_chunks") > 0), F.bround(F.col("n_entities") / F.col("n_chunks"), 3)))
 
 
-def findings(chunks: DataFrame, entities: DataFrame, relations: DataFrame, obs: DataFrame, now: Column) -> DataFrame:
-    """category, severity, n, detail: one row per rule that holds, and one per project without entities."""
+def findings(chunks: DataFrame, entities: DataFrame, relations: DataFrame, obs: DataFrame, now: Column, every_entity: DataFrame | None = None) -> DataFrame:
+    """``entities`` and ``obs`` may be those of a project; gaps are looked for among ``every_entity``.
+
+    category, severity, n, detail: one row per rule that holds, and one per project without entities."""
     o, e = observation_counts(obs, now), entity_counts(entities, relations)
     row = o.join(e, F.lit(True))
     has_obs, has_ent = F.col("n_obs") > 0, F.col("n_entities") > 0
@@ -61,7 +63,7 @@ def findings(chunks: DataFrame, entities: DataFrame, relations: DataFrame, obs:
             rule(has_ent & (F.col("n_bare") > 0), "no_description", F.when(bare > 50, "suggestion").otherwise("info"), F.col("n_bare"), bare),
         )
     )
-    gaps = coverage_gaps(chunks, entities).select(F.lit("coverage_gap").alias("category"), F.lit("suggestion").alias("severity"), F.col("n_chunks").alias("n"), F.lit(None).cast("double").alias("percent"), "project")
+    gaps = coverage_gaps(chunks, entities if every_entity is None else every_entity).select(F.lit("coverage_gap").alias("category"), F.lit("suggestion").alias("severity"), F.col("n_chunks").alias("n"), F.lit(None).cast("double").alias("percent"), "project")
     return row.select(F.inline(rules)).unionByName(gaps)
 
 
