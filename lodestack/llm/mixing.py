@@ -19,7 +19,7 @@ A target without documents, or whose repeats are used up, falls short; its
 budget isn't given to others, and the report says what was reached. Cases:
 sources compare without regard to case, blanks and ``-`` for ``_``; null
 sources and those without a target are not taken; null and empty texts have no
-tokens and are not taken; ties in keys go by doc_id; a target listed twice has
+tokens and are not taken; a repeated doc_id is one document; ties in keys go by doc_id; a target listed twice has
 its shares added and its repeats at the larger; a null or non-positive share
 asks for nothing.
 """
@@ -112,7 +112,7 @@ class Mixture:
     """``rows``: the mix; ``report``: shares asked for and reached."""
 
     def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, size_share: float = SIZE_SHARE, seed: int = SEED, vocabulary: str = T.VOCABULARY):
-        sizes = written(T.sizes(documents, "source", path=vocabulary), "sizes")
+        sizes = written(T.sizes(documents, "source", path=vocabulary).dropDuplicates(["doc_id"]), "sizes")
         if total_tokens is None:
             total_tokens = size_share * (sizes.agg(F.sum("tokens")).first()[0] or 0)
         self.rows = mix(sizes, targets, total_tokens, seed)

@@ -391,6 +391,12 @@ def test_packing_of_nothing_and_report(spark):
     assert rep["fullest"] <= 2 and rep["n_bins"] >= rep["least_bins"]
 
 
+def test_packing_of_copies_of_one_id(spark):
+    s = spark.createDataFrame([(7, 30)] * 500, "doc_id bigint, tokens bigint")
+    rows = P.pack(s, spark.createDataFrame([("c", 100)], "container string, capacity_tokens int"), instance=40).collect()
+    assert len(rows) == 500 and 167 <= len({r["bin"] for r in rows}) <= 180
+
+
 def test_token_sizes():
     assert T.count("hello world") == 2 and T.count(None) == 0 and T.count("") == 0 and T.count("<|endoftext|>") > 1
 
