@@ -35,6 +35,11 @@ class Tables:
     def relations(self) -> DataFrame:
         return current(self.raw("relations").withColumns({c: canonical_id(F.col(c)) for c in ("source_id", "target_id")}))
 
+    @property
+    def edges(self) -> DataFrame:
+        """Relations with their copies, where these make no difference."""
+        return self.raw("relations").withColumns({c: canonical_id(F.col(c)) for c in ("source_id", "target_id")})
+
     @property
     def observations(self) -> DataFrame:
         return current(self.raw("observations"))

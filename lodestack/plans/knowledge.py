@@ -49,32 +49,38 @@ def _knn(where: str = "TRUE", k: int = 10, letter: str = "c", fields: str = _CF)
     return f"SELECT {fields}, round(raw, 4) AS score FROM (SELECT *, {_raw()} AS raw FROM {letter} WHERE {_SOUND} AND {where} ORDER BY raw DESC, id LIMIT {k})"
 
 
+def _nearest(t: Tables, limit: int, where: str = "true") -> DataFrame:
+    """Filters hold alike for all copies of a record, so they reach the scan."""
+    return search.search_repeated(t.raw("chunks").where(where), t.query_vector(), limit, search.CHUNK_FIELDS, "indexed_at")
+
+
 @query(sql("c", f"SELECT id, round({_raw()}, 4) AS score FROM c WHERE {_SOUND}"))
 def cosine_scores(t: Tables) -> DataFrame:
     raw = cosine(F.col("embedding"), t.query_vector())
-    return t.chunks.where(F.col("embedding").isNotNull()).select("id", F.round(raw, 4).alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
+    scores = t.raw("chunks").where(F.col("embedding").isNotNull()).select("id", F.round(raw, 4).alias("score"))
+    return scores.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("id").agg(F.max("score").alias("score"))
 
 
 @query(sql("c", _knn()))
 def knn_chunks(t: Tables) -> DataFrame:
-    return search.search_chunks(t.chunks, t.query_vector(), 10, threshold=-1.0)
+    return _nearest(t, 10)
 
 
 @query(sql("c", _knn("project = 'brimstack' AND chunk_type = 'code'")))
 def knn_filtered(t: Tables) -> DataFrame:
-    return search.search_chunks(t.chunks, t.query_vector(), 10, "brimstack", "code", threshold=-1.0)
+    return _nearest(t, 10, "project = 'brimstack' AND chunk_type = 'code'")
 
 
 @query(sql("c", f"SELECT * FROM ({_knn(k=40)}) WHERE score >= 0.3"))
 def knn_threshold(t: Tables) -> DataFrame:
-    top = search.search_chunks(t.chunks, t.query_vector(), 40, threshold=-1.0)
+    top = _nearest(t, 40)
     return top.where(F.col("score") >= 0.3)  # above the limit, so it can't be pushed below it
 
 
 @query(sql("o", _knn(f"valid_from <= TIMESTAMP '{ACTIVE_NOW}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{ACTIVE_NOW}')", letter="o", fields=_OF)))
 def recall_observations(t: Tables) -> DataFrame:
-    found = search.search_observations(t.observations, t.query_vector(), stamp(ACTIVE_NOW), 10)
-    return found.withColumn("tags", F.array_join("tags", ","))
+    live = t.raw("observations").where(search.active(stamp(ACTIVE_NOW)))
+    return search.search_repeated(live, t.query_vector(), 10, search.OBS_FIELDS).withColumn("tags", F.array_join("tags", ","))
 
 
 _BATCH = " UNION ALL ".join(f"SELECT CAST({v} AS BIGINT) AS query_id, id, {_raw(v)} AS raw FROM c WHERE {_SOUND}" for v in (0, 1, 2))
@@ -82,7 +88,7 @@ _BATCH = " UNION ALL ".join(f"SELECT CAST({v} AS BIGINT) AS query_id, id, {_raw(
 
 @query(sql("c", f"SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(raw, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS rank FROM ({_BATCH})) WHERE rank <= 5"))
 def knn_batch(t: Tables) -> DataFrame:
-    return search.search_batch(t.chunks, t.query_vectors([0, 1, 2]), 5)
+    return search.search_batch(t.raw("chunks"), t.query_vectors([0, 1, 2]), 5)
 
 
 # --- filters --------------------------------------------------------------------------------------------------------
@@ -271,7 +277,7 @@ _ENT = f"SELECT count(*) AS n_entities, count(*) FILTER (description IS NULL OR
 
 @query(sql("ero", f"SELECT * FROM ({_OBS}), ({_ENT})"))
 def review_counts(t: Tables) -> DataFrame:
-    return review.observation_counts(t.observations, stamp(REVIEW_NOW)).join(review.entity_counts(t.entities, t.relations), F.lit(True))
+    return review.observation_counts(t.observations, stamp(REVIEW_NOW)).join(review.entity_counts(t.entities, t.edges), F.lit(True))
 
 
 @query(sql("ce", "SELECT n_entities, n_chunks, CASE WHEN n_entities > 0 AND n_chunks > 0 THEN round_even(n_entities / n_chunks, 3) END AS entity_chunk_ratio FROM (SELECT count(*) AS n_entities FROM e), (SELECT count(*) AS n_chunks FROM c)"))
@@ -293,7 +299,7 @@ _FINDINGS = (f"k AS (SELECT * FROM ({_OBS}), ({_ENT}))", f"g AS ({_GAPS})")
 
 @query(sql("cero", _RULES, *_FINDINGS))
 def review_findings(t: Tables) -> DataFrame:
-    return review.findings(t.chunks, t.entities, t.relations, t.observations, stamp(REVIEW_NOW))
+    return review.findings(t.chunks, t.entities, t.edges, t.observations, stamp(REVIEW_NOW))
 
 
 @query(sql("cero", f"SELECT count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'suggestion') AS suggestions, count(*) FILTER (severity = 'info') AS infos FROM ({_RULES})", *_FINDINGS))
@@ -351,12 +357,12 @@ def graph_dependents(t: Tables) -> DataFrame:
 
 @query(sql("r", _ENDS))
 def edge_endpoints(t: Tables) -> DataFrame:
-    return graph.endpoints(t.relations).where("id is not null")
+    return graph.endpoints(t.edges).where("id is not null")
 
 
 @query(sql("er", f"SELECT id, name, entity_type FROM e WHERE id NOT IN ({_ENDS})"))
 def orphan_entities(t: Tables) -> DataFrame:
-    return graph.orphans(t.entities, t.relations).select("id", "name", "entity_type")
+    return graph.orphans(t.entities, t.edges).select("id", "name", "entity_type")
 
 
 @query(sql("er", "SELECT r.id AS relation_id FROM r WHERE r.source_id NOT IN (SELECT id FROM e WHERE entity_type = 'config') AND r.target_id NOT IN (SELECT id FROM e WHERE entity_type = 'config')"))
@@ -371,7 +377,7 @@ def cascade_edges(t: Tables) -> DataFrame:
   UNION ALL SELECT b.target_id, 2 FROM h JOIN r a ON a.source_id = h.id JOIN r b ON b.source_id = a.target_id) WHERE id IS NOT NULL GROUP BY id""", f"h AS ({_HUB})"))
 def graph_khop(t: Tables) -> DataFrame:
     hubs = graph.degree_ranked(t.entities, t.relations, 20)
-    return graph.k_hop(hubs, t.relations, 2)
+    return graph.k_hop(hubs, t.edges, 2)
 
 
 # --- context --------------------------------------------------------------------------------------------------------
@@ -381,7 +387,7 @@ _NEAR = "near AS (SELECT * FROM e WHERE source_file IN (SELECT source_file FROM
 
 
 def _top(t: Tables) -> DataFrame:
-    return search.search_chunks(t.chunks, t.query_vector(), 10, threshold=-1.0)
+    return _nearest(t, 10)
 
 
 @query(sql("ce", "SELECT id, name, source_file FROM near", _TOP, _NEAR))
@@ -418,11 +424,21 @@ def workspace_match(t: Tables) -> DataFrame:
     return A.match_projects(names, t.raw("chunks"))
 
 
-@query()
+_PLACE = "CASE WHEN coalesce(line_start, 0) <> 0 AND coalesce(line_end, 0) <> 0 THEN source_file || ':' || line_start || '-' || line_end ELSE source_file END"
+_LIVE = f"valid_from <= TIMESTAMP '{ACTIVE_NOW}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{ACTIVE_NOW}')"
+
+
+@query(sql("cero", f"""SELECT 'chunk' AS section, id, {_PLACE} AS label, CAST(score AS VARCHAR) AS detail FROM top
+ UNION ALL SELECT 'entity', id, name, entity_type FROM near
+ UNION ALL SELECT 'connection', relation_id, '--> ' || other_name, relation_type FROM ({_OUT}) WHERE entity_id IN (SELECT id FROM near)
+ UNION ALL SELECT 'connection', relation_id, '<-- ' || other_name, relation_type FROM ({_IN}) WHERE entity_id IN (SELECT id FROM near)
+ UNION ALL SELECT 'observation', id, obs_type, CAST(score AS VARCHAR) FROM ({_knn(_LIVE, 5, "o", _OF)})""", f"top AS ({_knn(k=5)})", _NEAR))
 def context_bundle(t: Tables) -> DataFrame:
     """Chunks, entities, connections and observations for one task, as one table."""
-    c = context.build_context(t.chunks, t.entities, t.relations, t.observations, t.query_vector(), stamp(ACTIVE_NOW))
-    return context.bundle_rows(c)
+    top, q = _nearest(t, 5), t.query_vector()
+    near = context.context_entities(t.entities, top)
+    obs = search.search_repeated(t.raw("observations").where(search.active(stamp(ACTIVE_NOW))), q, 5, search.OBS_FIELDS)
+    return context.bundle_rows(context.Context(top, near, graph.connections(near, t.relations, t.entities), obs))
 
 
 # --- changes of tables, as the new snapshot -------------------------------------------------------------------------
