@@ -50,14 +50,13 @@ _PLACES = {w: sum((w in words) << (12 * k) for k, words in enumerate(_COMMON.val
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"\S+")
-_CODE = re.compile(r"`[^`\n]*`|\b\w*_\w+(?:\(\))?|\b[\w\-]+(?:/[\w\-.]+)+|https?://\S+|\b\w+\(\)")
+_CODE = re.compile(r"`[^`\n]*`|\b[^\W_]*+_\w+(?:\(\))?|\b[\w\-]++(?:/[\w\-.]+)+|https?://\S+|\b\w++\(\)")
 _ODD = re.compile(r"[^\w\s.,;:!?'’\"“”„«»()¿¡\-–—…%&/]")
 _SYMBOL = re.compile(r"[^\w\s]")
 _BROKEN = re.compile(r"[^\W\d_](?:[^\w\s'’\-./,)(\"“”»«][^\W\d_]|\d)|\d[^\W\d_]")
 #: What any odd or broken place holds.
 _SUSPECT = re.compile(r"[^\w\s.,'’\"“”«»()¿¡\-–—…/;:!?%&]|[;:!?%&“”«»¿¡–—…][^\W\d_]|[^\W\d_]\d|\d[^\W\d_]")
 _UNPLAIN = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ \n.,'’\"()\-/]")
-_CODED = re.compile(r"[`_/]|\(\)")
 _END = re.compile(r"""(?<=[.!?…])["'”»)\]]*\s+(?=[^\s])|(?<=[.!?…])$""")
 _STRUCTURE = re.compile(
     r"""(?x)^\s*(?:
@@ -88,7 +87,7 @@ def _bare(part: str) -> str:
     """Without what is marked as code, which is read as one word."""
     if not part.isascii():
         part = _MOJIBAKE.sub("e", part)
-    return _CODE.sub(" x ", part) if _CODED.search(part) else part
+    return _CODE.sub(" x ", part) if "_" in part or "/" in part or "`" in part or "()" in part else part
 
 
 def readable(bare: str) -> bool:
