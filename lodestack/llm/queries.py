@@ -103,6 +103,35 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
 }
+#: Every vector against every other of its table, in double precision.
+_P3 = """
+WITH v AS (
+  SELECT src_table, id, any_value(CAST(embedding AS DOUBLE[])) AS e
+  FROM (SELECT 'chunks' AS src_table, id, embedding FROM chunks UNION ALL SELECT 'observations', id, embedding FROM observations)
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY src_table, id
+), u AS (
+  SELECT src_table, id, len(e) AS d, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v WHERE list_inner_product(e, e) > 0
+), s AS (
+  SELECT a.src_table, a.id AS x, b.id AS y, list_inner_product(a.e, b.e) AS c
+  FROM u a JOIN u b ON a.src_table = b.src_table AND a.d = b.d AND a.id <> b.id
+), r AS (SELECT *, row_number() OVER (PARTITION BY src_table, x ORDER BY c DESC, y) AS k FROM s WHERE c >= 0.9)
+SELECT DISTINCT src_table, least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE k <= 5
+"""
+#: Every two records that share a triple of words.
+_P5 = """
+WITH w AS (
+  SELECT src_table, id, any_value(list_transform(regexp_extract_all(content, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS w
+  FROM (SELECT 'chunks' AS src_table, id, content FROM chunks UNION ALL SELECT 'observations', id, content FROM observations)
+  WHERE content IS NOT NULL GROUP BY src_table, id
+), t AS (
+  SELECT DISTINCT src_table, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) > 2
+), n AS (SELECT src_table, id, count(*) AS n FROM t GROUP BY src_table, id),
+p AS (SELECT a.src_table, a.id AS id_a, b.id AS id_b, count(*) AS k FROM t a JOIN t b ON a.src_table = b.src_table AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT p.src_table, id_a, id_b FROM p JOIN n x ON x.src_table = p.src_table AND x.id = id_a JOIN n y ON y.src_table = p.src_table AND y.id = id_b
+WHERE k >= 0.6 * (x.n + y.n - k)
+"""
 SQL = {
+    "p3_found": _P3,
+    "p5_found": _P5,
     "p6_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(content) > 1024",
 }
