@@ -471,6 +471,8 @@ def train(lines: int = TRAIN_LINES, epochs: int = 150, seed: int = 7, l2: float
 _RUNS = re.compile(rf"[^{_SEP}]{{6,}}")
 _OPENS = re.compile(r"[=:(\\>|+]\s*[\"'`]?\s*$")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{8,}")
+#: The same within a line, where the letter of an escaped line break comes before it.
+_INLINE = re.compile(r"(?:(?<=\\)[nr])?([A-Za-z0-9+/=]{8,})")
 _field: Field | None = None
 
 
@@ -542,7 +544,7 @@ def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[i
                     if t.slot == "pem":
                         out[-1][1].clear()
                         rest = line[t.end :]
-                        out[-1][1].extend((start + t.end + m.start(), start + t.end + m.end()) for m in _BODY.finditer(rest.split("-----END")[0]))
+                        out[-1][1].extend((start + t.end + m.start(1), start + t.end + m.end(1)) for m in _INLINE.finditer(rest.split("-----END")[0]))
                         in_pem = "-----END" not in rest
                     elif re.search(r"[\"'`]\s*(?:[+\\.]\s*)?$", line[t.end :]) and re.match(r"[\"'`]\s*(?:[+\\.]\s*)?$", line[t.end :]) and re.search(r"(?:[+\\.]|^[^()]*\([\"'`][^\"'`]*[\"'`])\s*$", line):
                         goes_on = True
