@@ -4,7 +4,8 @@ A text over ``limit`` characters is cut by a hierarchy of separators: section,
 paragraph, line, sentence, word, character. A unit that doesn't fit is cut by
 the next level; units are then packed greedily, and each piece starts with a
 tail of the one before, of at most ``overlap`` characters, that itself starts
-at the best boundary there is.
+at the best boundary there is. Where a text has no blanks, marks of code stand
+between its words.
 
 Characters are code points. Cases: a null content is no text; a repeated id is
 split once; a text of exactly ``limit`` characters is not oversized; a text
@@ -32,8 +33,9 @@ LEVELS = [
     re.compile(r"\n(?=\#{1,6} |=+ |(?:class|def|func|function|export|public|struct|type|interface|CREATE)\b)"),
     re.compile(r"\n[ \t\r]*\n\s*?(?=\S)|\n[ \t\r]*\n"),
     re.compile(r"\n"),
-    re.compile(r"[.!?;:…。！？][\"'”’)\]]*\s+"),
+    re.compile(r"[.!?;:…。！？][\"'”’)\]]*\s+|[;}]+(?=[^\s;},)])"),  # sentences, and statements
     re.compile(r"\s+"),
+    re.compile(r"[,{})\]|&]+|(?=\\[^\s\\])"),  # code and strings without blanks: behind marks, before escapes
 ]
 
 
