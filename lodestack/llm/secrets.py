@@ -16,7 +16,8 @@ are kept in ``secret_weights.json`` beside this file. A private key in PEM form
 is one token per line; the key's body goes with its first line. A literal that
 goes on in the next line is redacted there too, but counts where it starts.
 
-Each row is one chunk and nothing is shuffled but ids, to drop repeated ones.
+Each row is one chunk and nothing is shuffled but the lines found, to drop
+repeated ones.
 Cases: null and empty contents have no credential and a null or empty redacted
 text; repeated ids count once; extra columns are never read.
 """
@@ -584,15 +585,17 @@ def _rows(keep_text: bool):
 
 def credentials(chunks: DataFrame) -> DataFrame:
     """One row per chunk and line where a credential starts, with the chunk's redacted content."""
-    return _distinct(chunks).mapInPandas(_rows(True), FOUND)
+    return _lines(chunks, True)
 
 
 def credential_lines(chunks: DataFrame) -> DataFrame:
-    return _distinct(chunks).mapInPandas(_rows(False), FOUND).select("chunk_id", "line_no")
+    return _lines(chunks, False).select("chunk_id", "line_no")
 
 
-def _distinct(chunks: DataFrame) -> DataFrame:
-    return pick(chunks, "id", "content").where(F.col("content").isNotNull() & F.col("id").isNotNull()).select(F.col("id").alias("chunk_id"), "content").dropDuplicates(["chunk_id"])
+def _lines(chunks: DataFrame, keep_text: bool) -> DataFrame:
+    rows = pick(chunks, "id", "content").where(F.col("content").isNotNull() & F.col("id").isNotNull())
+    # copies of an id give the same lines: dropping those moves less than dropping texts
+    return rows.select(F.col("id").alias("chunk_id"), "content").mapInPandas(_rows(keep_text), FOUND).dropDuplicates(["chunk_id", "line_no"])
 
 
 if __name__ == "__main__":
