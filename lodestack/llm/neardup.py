@@ -6,8 +6,8 @@ as the share of common triples rises. The index over fingerprints:
 
 * *upper nodes*: masked bit patterns. Each of ``BANDS`` masks takes a record's
   pattern in three slots; records with the same masked pattern share a node.
-  A pair at the threshold 0.6 shares none of 24 nodes with probability 0.003,
-  at 0.7 with 5e-5, at 0.8 with 6e-8.
+  A pair at the threshold 0.6 shares none of 32 nodes with probability 4e-4,
+  at 0.7 with 1.5e-6, at 0.8 with 1e-10.
 * within a node records lie in Gray order of their fingerprints, and runs of
   ``BLOCK`` of them form lower nodes that know which bits all of their records
   share. Two lower nodes whose shared bits already differ in more than
@@ -41,7 +41,7 @@ from lodestack.operators.columns import pick
 from lodestack.session import written
 
 THRESHOLD, WORDS = 0.6, 3
-SLOTS, ROWS, BANDS = 192, 3, 24
+SLOTS, ROWS, BANDS = 192, 3, 32
 MAX_DIFF = 60
 BLOCK = 256
 
