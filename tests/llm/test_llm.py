@@ -401,6 +401,9 @@ def test_packing_of_nothing_and_report(spark):
 def test_packing_of_copies_of_one_id(spark):
     s = spark.createDataFrame([(7, 30)] * 500, "doc_id bigint, tokens bigint")
     rows = P.pack(s, spark.createDataFrame([("c", 100)], "container string, capacity_tokens int"), instance=40).collect()
+    wide = spark.createDataFrame([(7, 250), (7, 250), (None, 200), (None, 200)], "doc_id bigint, tokens bigint")
+    full = P.pack(wide, spark.createDataFrame([("c", 100)], "container string, capacity_tokens int")).groupBy("bin").agg(F.sum("tokens").alias("n")).collect()
+    assert sum(r["n"] for r in full) == 900 and max(r["n"] for r in full) == 100
     assert len(rows) == 500 and 167 <= len({r["bin"] for r in rows}) <= 180
 
 
