@@ -42,7 +42,7 @@ def ingest_paths(spark: SparkSession, store: Store, root: str, paths: list[str],
     there = [os.path.join(root, p) for p in paths if os.path.isfile(os.path.join(root, p))]
     new = store.read("chunks").limit(0)
     if there:
-        files = read_files(spark, root).join(F.broadcast(gone.select("source_file")), "source_file", "left_semi")
+        files = read_files(spark, root).join(gone.select("source_file"), "source_file", "left_semi")
         new = as_chunks(chunk_files(files), project, root)
     store.write("chunks", replace_files(store.read("chunks"), gone, new))
     return len(there)
