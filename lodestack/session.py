@@ -71,6 +71,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan as it is, unless it has fewer parts than there are cores: then its
+    rows are dealt anew, lest a stage of Python run in a few tasks only. Large
+    inputs have parts enough and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
