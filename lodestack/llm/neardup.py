@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.operators.columns import pick
-from lodestack.session import written
+from lodestack.session import spread, written
 
 THRESHOLD, WORDS = 0.6, 3
 SLOTS, ROWS, BANDS = 192, 3, 32
@@ -148,7 +148,7 @@ def _signature_rows(words: int, rows: int, bands: int):
 
 def signatures(rows: DataFrame, words: int = WORDS, per_mask: int = ROWS, masks: int = BANDS) -> DataFrame:
     """src_table, id, content -> fingerprints of every record that has triples."""
-    return rows.select("src_table", "id", "content").mapInArrow(_signature_rows(words, per_mask, masks), SIGNATURE)
+    return spread(rows.select("src_table", "id", "content")).mapInArrow(_signature_rows(words, per_mask, masks), SIGNATURE)
 
 
 def _close(code_a: np.ndarray, code_b: np.ndarray, most: int) -> np.ndarray:

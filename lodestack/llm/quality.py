@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.columns import pick
+from lodestack.session import spread
 
 PROSE_SHARE = 0.5
 #: From so many words on, a text whose dominant 4-gram covers so much of it only repeats.
@@ -295,7 +296,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_quality(documents: DataFrame) -> DataFrame:
     """Statistics of every row of ``doc_id, text``."""
-    return pick(documents, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_rows, SCHEMA)
+    return spread(pick(documents, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(_rows, SCHEMA)
 
 
 def no_prose(documents: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.columns import pick
+from lodestack.session import spread
 
 WEIGHTS = Path(__file__).with_name("secret_weights.json")
 TRAIN_LINES = 20_000
@@ -595,7 +596,7 @@ def credential_lines(chunks: DataFrame) -> DataFrame:
 def _lines(chunks: DataFrame, keep_text: bool) -> DataFrame:
     rows = pick(chunks, "id", "content").where(F.col("content").isNotNull() & F.col("id").isNotNull())
     # copies of an id give the same lines: dropping those moves less than dropping texts
-    return rows.select(F.col("id").alias("chunk_id"), "content").mapInPandas(_rows(keep_text), FOUND).dropDuplicates(["chunk_id", "line_no"])
+    return spread(rows.select(F.col("id").alias("chunk_id"), "content")).mapInPandas(_rows(keep_text), FOUND).dropDuplicates(["chunk_id", "line_no"])
 
 
 if __name__ == "__main__":

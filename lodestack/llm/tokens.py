@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.columns import pick
+from lodestack.session import spread
 
 #: Where the vocabulary lies on every executor; a parameter of all operators that need it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -45,4 +46,4 @@ def sizes(documents: DataFrame, *keep: str, path: str = VOCABULARY) -> DataFrame
 
     rows = pick(documents, "doc_id", *keep, "text").select(F.col("doc_id").cast("bigint"), *keep, "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(run, schema + ", tokens bigint, chars bigint")
+    return spread(rows).mapInPandas(run, schema + ", tokens bigint, chars bigint")
