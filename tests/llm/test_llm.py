@@ -153,6 +153,38 @@ def test_neighbours_of_copies_and_bad_vectors(spark, clash):
     assert got == brute(sound) and ("t", "c0", "d1") in got
 
 
+def test_neighbours_far_apart_are_all_found(spark):
+    """Random vectors have no near ones, so a leaf of each tree holds a part of the nearest only."""
+    x = np.random.default_rng(5).standard_normal((1500, 32)).astype(np.float32)
+    df = spark.createDataFrame([("t", f"id{i:04d}", [float(y) for y in v]) for i, v in enumerate(x)], SCHEMA)
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    want = {(f"id{i:04d}", f"id{j:04d}") for i, row in enumerate(cos) for j in np.argsort(-row)[:5]}
+    for options in ({}, {"exact": 0}):  # without and after the index
+        got = {(r["id"], r["neighbour"]) for r in V.Neighbours(df, 5, leaf=50, trees=4, **options).neighbours().collect()}
+        assert len(got) == len(want) and len(got & want) >= 0.999 * len(want)
+
+
+def test_neighbours_of_the_index_alone_and_finished(spark):
+    rows = vectors(1, 600)
+    want = brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for options in ({"exact": 0}, {"finish": False}):
+        got = {(r["src_table"], *sorted((r["id"], r["neighbour"]))) for r in V.Neighbours(df, 5, 0.9, leaf=40, **options).neighbours().collect()}
+        assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_nearest_with_and_without_a_bar():
+    x = np.random.default_rng(6).standard_normal((700, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cos = x @ x.T
+    want = {(i, j) for i, row in enumerate(cos) for j in np.argsort(-row)[:4]}
+    for bar in (np.full(700, -1.0), np.sort(cos, 1)[:, -4] - 1e-5):
+        r, c, _ = V.nearest(x, x, bar, 3)
+        assert len(want ^ set(zip(r, c))) <= 4
+
+
 def test_neighbours_of_nothing(spark):
     assert V.similar_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
 
