@@ -475,6 +475,9 @@ _OPENS = re.compile(r"[=:(\\>|+]\s*[\"'`]?\s*$")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{8,}")
 #: The same within a line, where the letter of an escaped line break comes before it.
 _INLINE = re.compile(r"(?:(?<=\\)[nr])?([A-Za-z0-9+/=]{8,})")
+#: The rest of a literal that was broken over lines: as one of its own, or within open quotes; and how such a line ends.
+_NEXT, _INSIDE = re.compile(r"\s*[+.]?\s*[\"'`]([^\"'`\s]+)[\"'`](?!\s*[:=])"), re.compile(r"\s*([^\s\"'`\\]+)(?:[\"'`]|(?=\\\s*$))")
+_JOINED, _CUT = re.compile(r"\s*[+\\.]\s*$"), re.compile(r"\\\s*$")
 _field: Field | None = None
 
 
@@ -509,7 +512,7 @@ def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[i
     """(line number, spans of characters in ``content``) of each credential."""
     crf = crf or field()
     out: list[tuple[int, list[tuple[int, int]]]] = []
-    at, carried, goes_on, in_pem = 0, "none", False, False
+    at, carried, goes_on, in_pem = 0, "none", "", False
     for no, line in enumerate(content.split("\n"), 1):
         start, at = at, at + len(line) + 1
         if in_pem:  # the body of a private key goes with its first line
@@ -521,13 +524,14 @@ def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[i
                 out[-1][1].extend((start + m.start(), start + m.end()) for m in _BODY.finditer(line))
                 continue
         if goes_on:  # the rest of a literal that was broken over lines
-            m = re.match(r"\s*[+.]?\s*[\"'`]([^\"'`\s]+)[\"'`]", line) or re.match(r"\s*[\"'`]?([^\s\"'`]{2,})[\"'`]?", line)
-            goes_on = False
+            m = (_INSIDE if goes_on == "inside" else _NEXT).match(line)
             if m:
                 out[-1][1].append((start + m.start(1), start + m.end(1)))
-                goes_on = bool(re.search(r"[\"'`]\s*[+\\.]\s*$", line))
                 carried = "none"
-                continue
+                start, line = start + m.end(), line[m.end() :]  # what remains is looked at as any other
+                goes_on = "inside" if goes_on == "inside" and _CUT.match(line) else "next" if _JOINED.match(line) else ""
+            else:
+                goes_on = ""
         if len(line) < 6 or not _may_hold(line):
             if line.strip():
                 words = re.findall(r"[\w.\-]+", line)
@@ -549,7 +553,9 @@ def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[i
                         out[-1][1].extend((start + t.end + m.start(1), start + t.end + m.end(1)) for m in _INLINE.finditer(rest.split("-----END")[0]))
                         in_pem = "-----END" not in rest
                     elif re.search(r"[\"'`]\s*(?:[+\\.]\s*)?$", line[t.end :]) and re.match(r"[\"'`]\s*(?:[+\\.]\s*)?$", line[t.end :]) and re.search(r"(?:[+\\.]|^[^()]*\([\"'`][^\"'`]*[\"'`])\s*$", line):
-                        goes_on = True
+                        goes_on = "next"
+                    elif t.quoted and _CUT.match(line[t.end :]):
+                        goes_on = "inside"
                 elif y == 2 and out:
                     out[-1][1].append(span)
         words = re.findall(r"[\w.\-]+", line)
