@@ -5,10 +5,13 @@ shape and context features labels each as outside, begin or inside of a
 credential, and the Viterbi path gives the spans that are redacted, so exactly
 the literal's characters change and all code around them stays.
 
-A literal without a mixture of character classes (a plain word, a number, a
-placeholder of stars or capitals) is always outside. A line that holds no
-other literal therefore decodes to nothing but outside and is passed over
-without running the chain; this is exact, not a sample.
+A literal without a mixture of character classes (a plain word, a number, a few
+characters) is looked at only where a credential is expected: in the place of
+the value of a name or flag that means one, or of a password in an address or
+login. There the field decides by its shape, quotes and surroundings; anywhere
+else it is outside. A line that holds neither decodes to nothing but outside and
+is passed over without running the chain; this is exact, not a sample.
+Of a phrase with blanks only the mixed words are looked at.
 
 Labels O, B, I. The field is fitted by ``train`` on lines that
 ``labelled_lines`` makes (``TRAIN_LINES`` of them, a bound), and its weights
@@ -120,10 +123,11 @@ def kind_of(tok: str) -> str:
 
 
 class Token:
-    __slots__ = ("text", "start", "end", "slot", "quoted")
+    __slots__ = ("text", "start", "end", "slot", "quoted", "gap", "after")
 
     def __init__(self, text: str, start: int, end: int, slot: str = "", quoted: bool = False):
         self.text, self.start, self.end, self.slot, self.quoted = text, start, end, slot, quoted
+        self.gap = self.after = ""
 
 
 def tokens(line: str) -> list[Token]:
@@ -179,6 +183,9 @@ def tokens(line: str) -> list[Token]:
                 if core.startswith("--") and not is_key and re.fullmatch(r"--[A-Za-z][\w\-]*", core):
                     slot = "flag"
                 out.append(Token(name if is_key else core, start + lead, end, "key" if is_key else slot, quoted))
+    at = 0
+    for t in out:
+        t.gap, t.after, at = line[at : t.start], line[t.end : t.end + 2], t.end
     return out
 
 
@@ -194,6 +201,56 @@ def admissible(t: Token) -> bool:
     return not all(map(_PART.fullmatch, _NAMES_APART.split(t.text)))
 
 
+def expected(toks: list[Token], carried: str = "none") -> list[bool]:
+    """Whether each token stands where the value of a credential does."""
+    out = []
+    for i, t in enumerate(toks):
+        if t.slot in ("userinfo", "login"):
+            out.append(True)
+        elif t.slot in ("key", "flag", "user", "pem") or t.text[0] in "@:/" or "://" in t.text:
+            out.append(False)
+        elif i == 0:
+            out.append(carried == "secret" and t.quoted)
+        else:
+            j = i - 1
+            while j and toks[j].slot not in ("key", "flag") and toks[j].text.lower() in _TRANSPARENT:
+                j -= 1
+            named = t.slot == "value" or toks[j].slot == "flag" or (toks[j].slot == "key" and not t.gap.strip(" \t\"'`(\\=:>"))
+            out.append(named and name_class(toks[j].text) == "secret")
+    return out
+
+
+def offered(toks: list[Token], carried: str = "none") -> list[bool]:
+    """Whether each token may be labelled as a credential at all."""
+    return [admissible(t) or e for t, e in zip(toks, expected(toks, carried))]
+
+
+#: Words that stand for a value or its type, and names of credentials that often mean something else.
+NO_VALUES = {"none", "null", "nil", "true", "false", "undefined", "str", "string", "bool", "boolean", "int", "number", "text", "bytes", "any", "optional", "required", "empty", "unset", "default", "value", "input", "hidden", "self", "this", "data", "char", "object", "yes", "no", "on", "off", "me", "user", "username", "disabled", "enabled"}
+LOOSE_WORDS = {"token", "auth", "basic", "bearer", "pin", "pass", "credential", "credentials"}
+
+
+def _plain_features(t: Token, key: Token | None) -> list[str]:
+    """Features of a literal without a mixture of characters where a credential is expected."""
+    x, place = t.text, t.slot if t.slot in ("userinfo", "login") else "flag" if key is not None and key.slot == "flag" else "value"
+    closed = t.quoted and t.after[:1] in "\"'`" and t.after != ""
+    held = "inner" if place in ("userinfo", "login") else "quoted" if closed else "cut" if t.quoted else "bare"
+    tail = t.after[1:] if closed else t.after[:1]
+    tail = tail.strip() or ("end" if not tail or tail in "\r" else "blank")
+    shape = "digits" if x.isdigit() else "lower" if x.isalpha() and x.islower() else "capitals" if x.isalpha() and x.isupper() else "title" if x.isalpha() and x.istitle() else "letters" if x.isalpha() else "name" if re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[\w$]+)*", x) else "joined" if all(map(_PART.fullmatch, _NAMES_APART.split(x))) else "marks"
+    words = [w.lower() for w in _CAMEL.findall(x)]
+    says = "nothing" if x.lower() in NO_VALUES else "itself" if name_class(x) in ("secret", "meta") else "other"
+    of = [w.lower() for w in _CAMEL.findall(key.text)] if key is not None else []
+    loose = bool(of) and any(w in LOOSE_WORDS for w in of) and not any(w in SECRET_WORDS - LOOSE_WORDS for w in of)
+    gap = t.gap.strip("\"'`(\\") or "none"
+    gap = {"=": "tight", " = ": "apart", ": ": "colon", " ": "blank"}.get(gap, "other")
+    size = min(len(x) // 3, 5)
+    return [
+        "bias", "expected", f"expected={place}|{held}|{says}", f"expected={held}|{shape}|{gap}|loose={loose}", f"expected={held}|{shape}|{place}", f"expected={held}|tail={tail}", f"expected={held}|tail={tail}|{gap}", f"expected=says={says}",
+        f"expected=kind={kind_of(x)}", f"expected={held}|size={size}|{shape}", f"expected={held}|loose={loose}", f"expected=loose={loose}|{shape}|size={size}", f"expected=words={min(len(words), 4)}|{shape}|{held}",
+    ]
+
+
 def _entropy(s: str) -> float:
     n = len(s)
     return -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
@@ -204,13 +261,13 @@ def features(toks: list[Token], carried: str = "none") -> list[list[str]]:
     classes = ["none" if t.slot == "pem" or admissible(t) else name_class(t.text) for t in toks]
     text = " ".join(t.text.lower() for t in toks)
     aside = "aside" if re.search(r"\b(?:example|e\.g|sample|dummy|fake|not real|do not use|revoked|invalid)\b", text) else ""
-    out = []
+    out, named = [], expected(toks, carried)
     for i, t in enumerate(toks):
-        admit = admissible(t)
-        kind = kind_of(t.text) if admit else "plain"
-        if not admit:
-            out.append(["bias", "barred"])
+        if not admissible(t):
+            key = next((x for x in reversed(toks[:i]) if x.slot in ("key", "flag")), None) if named[i] else None
+            out.append([*_plain_features(t, key), *[aside] * bool(aside)] if named[i] else ["bias", "barred"])
             continue
+        kind = kind_of(t.text)
         # the nearest name to the left: the key of this value, or a word of the sentence
         name = carried if i == 0 else "none"
         for j in range(i - 1, max(-1, i - 7), -1):
@@ -354,10 +411,52 @@ _FORMS = [
 ]
 
 
+def _plain_value(r: random.Random) -> str:
+    """A password without a mixture of characters, as people choose them."""
+    return r.choice([
+        lambda: _word(r) + r.choice(["", _word(r)]), lambda: "-".join(_word(r) for _ in range(r.randint(2, 4))), lambda: _rand(r, r.randint(6, 16), _AZ + _az), lambda: _rand(r, r.randint(6, 14), _az + "!#%?+*"), lambda: _rand(r, r.randint(6, 14), _09),
+        lambda: _rand(r, r.randint(4, 5), _az + _09), lambda: _rand(r, r.randint(8, 14), _az), lambda: _word(r).capitalize() + _word(r), lambda: _word(r).upper() + r.choice(["", "!"]), lambda: _word(r) + "." + _word(r), lambda: _word(r) + "_" + _word(r),
+    ])()
+
+
+_QUOTED = ['{k} = "{v}"', "{k} = '{v}'", '{k}: "{v}",', '{k}="{v}"', 'export {k}="{v}"', 'const {k} = "{v}";', '{k} := "{v}"', '"{k}": "{v}",', '  "{k}": "{v}"', 'connect("host", {k}="{v}", port=5432)', '  --{k} "{v}" \\', "{k} => '{v}',", 'self.{k}: str = "{v}"', 'static const char {k}[] = "{v}";', "  {k}: '{v}'"]
+_BARE = ["{k}={v}", "export {k}={v}", "{k}: {v}", "  {k}: {v}", "tool login --{k}={v}", "tool --user bob --{k} {v}"]
+_TIGHT = [x for x in _NAMES if not re.search("(?i)token|auth|pass$", x)]
+
+
+def _plain_line(r: random.Random) -> tuple[str, str | None]:
+    """A line where a credential is expected, and a plain one if it is there."""
+    k, v, w, p = r.choice(_TIGHT), _plain_value(r), _word(r), r.random()
+    if p < 0.36:
+        return r.choice(_QUOTED).format(k=k, v=v), v
+    if p < 0.46:
+        return r.choice(_BARE).format(k=k, v=(v := _plain_value(r))), v
+    if p < 0.56:
+        v = v.replace("#", "x").replace("?", "y").replace("%", "z")
+        return r.choice([*_QUOTED, *_BARE, "psql {v}"]).format(k=r.choice(_PLAIN), v=f"{r.choice(['redis', 'mysql', 'amqp', 'postgresql'])}://{w}:{v}@{_word(r)}.invalid:5432/x"), v
+    if p < 0.6:
+        return f"$ curl -u {w}:{v} https://{w}.invalid", v
+    own, loose = r.choice(["password", "passwd", "db_password", "user_token", "secretName", "PASSWORD", "Password", "pass", "pw", "secret", "passwordField", "accessToken", "token", "your_password", "my-secret"]), r.choice(["token", "auth", "bearer", "pass", "authToken", "credentials", "pin"])
+    if p < 0.7:
+        return r.choice([*_QUOTED, *_BARE, "url = 'mysql://user:{v}@{k}.invalid/x'"]).format(k=k, v=r.choice([own, own, r.choice(sorted(NO_VALUES)), "*****", "...", "xxxx", "TODO", "<secret>", "{{ x }}", "$PW"])), None
+    if p < 0.72:
+        v = _rand(r, r.randint(10, 20), r.choice([_AZ + _az, _az, _09]))
+        return r.choice(_QUOTED).format(k=loose, v=v), v
+    if p < 0.83:
+        return r.choice([*_QUOTED, *_QUOTED, *_BARE]).format(k=loose, v=r.choice([w, w.upper(), w.capitalize(), str(r.randint(0, 9999)), f"{w}-{_word(r)}", f"{w}_{_word(r)}", f"{w}.{_word(r)}"])), None
+    return r.choice([
+        "{k} = {w}", "{k} = {w}({x})", "{k} = {w}.{x}", "{k}: {c}", "{k}: {c};", "{k}: {w},", "{k} = {w}_{x}", "def {w}({k}: {c}, {x}: {c}):", "connect({w}, {k}={w}, port=1)", "{k}={w}.{x}(", "{k} = {w}[{x}]", "{k}: {w}.{x},", "{k} := {w}.{x}(ctx)", "if {k} = {w} {{", "{k} = {n}", "{k}: {n}", "{k}={w})", "{k}={w}.{x})",
+        '{k}: "{w} {x} {w}"', '{k} = "{c} {w} {x}"', "{k} = {w};", "{k}={w};", "this.{k} = {w};", "{k}: {w} {x} {w}", "{k} => {w}", "private String {k} = {w};", 'throw new Error("{k}: {w} {x}")', 'log("{k}={w} " + x)', "# {k}: {w} {x} in the vault", "{k}: {w}/{x}", '{k} = "{w}/{x}"', "{k}: {w}:{x}", "the {k}: {w} {x} of it", "var {k} = {w}{c}", "{k} = f\"{{{w}}}\"",
+    ]).format(k=k, w=w, x=_word(r), c=_word(r).capitalize(), n=r.randint(0, 9999)), None
+
+
 def labelled_lines(n: int = TRAIN_LINES, seed: int = 7) -> Iterator[tuple[str, str | None]]:
     """Lines and the credential they hold, if any."""
     r = random.Random(seed)
     for _ in range(n):
+        if r.random() < 0.2:
+            yield _plain_line(r)
+            continue
         form, p = r.choice(_FORMS), r.random()
         if p < 0.34:
             v = _secret_value(r)
@@ -404,8 +503,8 @@ def _label(toks: list[Token], line: str, secret: str | None) -> list[int]:
         return [0] * len(toks)
     lo = line.rfind(secret) if not secret.startswith("-----") else line.find(secret)
     hi, out, began = lo + len(secret), [], False
-    for t in toks:
-        inside = t.start < hi and t.end > lo and admissible(t)
+    for t, may in zip(toks, offered(toks)):
+        inside = t.start < hi and t.end > lo and may
         out.append(0 if not inside else 2 if began else 1)
         began = began or inside
     return out
@@ -416,7 +515,7 @@ def train(lines: int = TRAIN_LINES, epochs: int = 150, seed: int = 7, l2: float
     data = []
     for line, secret in labelled_lines(lines, seed):
         toks = tokens(line)[:48]
-        if any(map(admissible, toks)):
+        if any(offered(toks)):
             data.append((features(toks), _label(toks, line, secret)))
     counts: dict[str, int] = {}
     for fs, _ in data:
@@ -488,13 +587,15 @@ def field() -> Field:
     return _field
 
 
+#: What a place for a credential can't be without: a part of such a name, an address, a login.
+_EXPECTS = re.compile("(?i)" + "|".join(sorted({w[:4] if w.startswith(("pass", "cred")) else w for w in SECRET_WORDS} | {"key", "passe", "://", r"-u\b", "--user"}, key=len)))
 _DIGIT, _CAPITALS = re.compile(r"\d"), re.compile(r"[A-Z]{2}")
 
 
 def _may_hold(line: str) -> bool:
-    """Whether any token of the line may be admissible. A token is a part of a run, so
+    """Whether any token of the line may be offered. An admissible one is a part of a run, so
     none is where the runs are words, numbers, or names joined by marks."""
-    if "-----BEGIN" in line:
+    if "-----BEGIN" in line or (_EXPECTS.search(line) and ("=" in line or ":" in line or "--" in line) and any(offered(tokens(line)))):
         return True
     for run in _RUNS.findall(line):
         if _DIGIT.search(run):
@@ -532,7 +633,7 @@ def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[i
                 goes_on = "inside" if goes_on == "inside" and _CUT.match(line) else "next" if _JOINED.match(line) else ""
             else:
                 goes_on = ""
-        if len(line) < 6 or not _may_hold(line):
+        if not _may_hold(line) and not (carried == "secret" and any(offered(tokens(line), carried))):
             if line.strip():
                 words = re.findall(r"[\w.\-]+", line)
                 carried = name_class(words[-1]) if words and _OPENS.search(line) else "none"
@@ -540,9 +641,10 @@ def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[i
         toks = tokens(line)
         for lo in range(0, len(toks), 400):  # a minified line is long; literals don't cross such a cut
             part = toks[lo : lo + 400]
-            if not any(map(admissible, part)):
+            before = carried if lo == 0 else "none"
+            if not any(offered(part, before)):
                 continue
-            labels = crf.decode(features(part, carried if lo == 0 else "none"))
+            labels = crf.decode(features(part, before))
             for t, y in zip(part, labels):
                 span = (start + t.start, start + t.end)
                 if y == 1:
