@@ -32,7 +32,9 @@ import math
 import pkgutil
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
@@ -256,15 +258,22 @@ def _entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s)))
 
 
+_ASIDE = re.compile(r"\b(?:example|e\.g|sample|dummy|fake|not real|do not use|revoked|invalid)\b")
+ASIDE_REACH = 200
+
+
 def features(toks: list[Token], carried: str = "none") -> list[list[str]]:
     """Shape and context features of each token. ``carried``: the class of a name at the end of the line before."""
     classes = ["none" if t.slot == "pem" or admissible(t) else name_class(t.text) for t in toks]
-    text = " ".join(t.text.lower() for t in toks)
-    aside = "aside" if re.search(r"\b(?:example|e\.g|sample|dummy|fake|not real|do not use|revoked|invalid)\b", text) else ""
+    ends = list(accumulate(len(t.text.lower()) + 1 for t in toks))
+    asides = [bisect_right(ends, m.start()) for m in _ASIDE.finditer(" ".join(t.text.lower() for t in toks))]
     out, named = [], expected(toks, carried)
     for i, t in enumerate(toks):
+        # in a line of many tokens such a word says nothing of far ones
+        near = bisect_left(asides, i - ASIDE_REACH) if len(toks) > 2 * ASIDE_REACH else 0
+        aside = "aside" if near < len(asides) and (len(toks) <= 2 * ASIDE_REACH or asides[near] <= i + ASIDE_REACH) else ""
         if not admissible(t):
-            key = next((x for x in reversed(toks[:i]) if x.slot in ("key", "flag")), None) if named[i] else None
+            key = next((toks[j] for j in range(i - 1, -1, -1) if toks[j].slot in ("key", "flag")), None) if named[i] else None
             out.append([*_plain_features(t, key), *[aside] * bool(aside)] if named[i] else ["bias", "barred"])
             continue
         kind = kind_of(t.text)
@@ -639,27 +648,22 @@ def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[i
                 carried = name_class(words[-1]) if words and _OPENS.search(line) else "none"
             continue
         toks = tokens(line)
-        for lo in range(0, len(toks), 400):  # a minified line is long; literals don't cross such a cut
-            part = toks[lo : lo + 400]
-            before = carried if lo == 0 else "none"
-            if not any(offered(part, before)):
-                continue
-            labels = crf.decode(features(part, before))
-            for t, y in zip(part, labels):
-                span = (start + t.start, start + t.end)
-                if y == 1:
-                    out.append((no, [span]))
-                    if t.slot == "pem":
-                        out[-1][1].clear()
-                        rest = line[t.end :]
-                        out[-1][1].extend((start + t.end + m.start(1), start + t.end + m.end(1)) for m in _INLINE.finditer(rest.split("-----END")[0]))
-                        in_pem = "-----END" not in rest
-                    elif re.search(r"[\"'`]\s*(?:[+\\.]\s*)?$", line[t.end :]) and re.match(r"[\"'`]\s*(?:[+\\.]\s*)?$", line[t.end :]) and re.search(r"(?:[+\\.]|^[^()]*\([\"'`][^\"'`]*[\"'`])\s*$", line):
-                        goes_on = "next"
-                    elif t.quoted and _CUT.match(line[t.end :]):
-                        goes_on = "inside"
-                elif y == 2 and out:
-                    out[-1][1].append(span)
+        labels = crf.decode(features(toks, carried)) if any(offered(toks, carried)) else []  # linear in the line's length
+        for t, y in zip(toks, labels):
+            span = (start + t.start, start + t.end)
+            if y == 1:
+                out.append((no, [span]))
+                if t.slot == "pem":
+                    out[-1][1].clear()
+                    rest = line[t.end :]
+                    out[-1][1].extend((start + t.end + m.start(1), start + t.end + m.end(1)) for m in _INLINE.finditer(rest.split("-----END")[0]))
+                    in_pem = "-----END" not in rest
+                elif re.search(r"[\"'`]\s*(?:[+\\.]\s*)?$", line[t.end :]) and re.match(r"[\"'`]\s*(?:[+\\.]\s*)?$", line[t.end :]) and re.search(r"(?:[+\\.]|^[^()]*\([\"'`][^\"'`]*[\"'`])\s*$", line):
+                    goes_on = "next"
+                elif t.quoted and _CUT.match(line[t.end :]):
+                    goes_on = "inside"
+            elif y == 2 and out:
+                out[-1][1].append(span)
         words = re.findall(r"[\w.\-]+", line)
         carried = name_class(words[-1]) if words and _OPENS.search(line) else "none"
     return out
