@@ -98,6 +98,11 @@ def test_handwritten_containment_is_exact(spark):
     assert got == pytest.approx(want)
 
 
+def test_handwritten_chunks_without_id_all_count(spark):
+    rows = [(None, f"// Code generated by x-gen v{i}. DO NOT EDIT.\nvar a = {i}\n", f"gen/{i}.go", 1, 2, "p") for i in range(5)]
+    assert kinds(spark, rows + rows[:1]) == {("p", f"gen/{i}.go"): "generated" for i in range(5)}
+
+
 def test_handwritten_empty_and_clash(spark, clash):
     assert H.not_handwritten(chunks(spark, [])).count() == 0
     df = clash(chunks(spark, [("1", "// @generated by x\n", "a.js", 1, 1, None)]), "libs", "lines", "marks", "kind", "line", "lib", "none")
