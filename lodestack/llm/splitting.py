@@ -9,7 +9,7 @@ between its words.
 
 Characters are code points. Cases: a null content is no text; a repeated id is
 split once; a text of exactly ``limit`` characters is not oversized; a text
-without any boundary is cut by characters; line numbers that are swapped are
+without any boundary is cut by characters, with the whole overlap; line numbers that are swapped are
 put in order, and where the first is unknown it follows from the last, or is
 1 if both are. Extra columns are never read. Each text is one row: the work
 spreads over rows and nothing is shuffled but the ids, to drop repeats.
@@ -39,17 +39,18 @@ LEVELS = [
 ]
 
 
-def _cuts(text: str, lo: int, hi: int, level: int, limit: int, out: list[tuple[int, int]]) -> None:
+def _cuts(text: str, lo: int, hi: int, level: int, limit: int, overlap: int, out: list[tuple[int, int]]) -> None:
     """Append to ``out`` the ends of units of [lo, hi) that fit, with their level."""
     if hi - lo <= limit:
         out.append((hi, level))
         return
     if level == len(LEVELS):
-        out.extend((min(at + limit, hi), level) for at in range(lo, hi, limit))
+        step = limit - overlap  # leaves room for the tail of the piece before
+        out.extend((min(at + step, hi), level) for at in range(lo, hi, step))
         return
     ends = [m.end() for m in LEVELS[level].finditer(text, lo, hi) if lo < m.end() < hi]
     for start, end in zip([lo, *ends], [*ends, hi]):
-        _cuts(text, start, end, level + 1, limit, out)
+        _cuts(text, start, end, level + 1, limit, overlap, out)
 
 
 def _tail(text: str, start: int, end: int, most: int) -> int:
@@ -71,7 +72,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     if not text:
         return []
     cuts: list[tuple[int, int]] = []
-    _cuts(text, 0, len(text), 0, limit, cuts)
+    _cuts(text, 0, len(text), 0, limit, overlap, cuts)
     ends = [c for c, _ in cuts]
     out, start, last = [], 0, 0
     for i, end in enumerate(ends):

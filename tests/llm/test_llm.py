@@ -430,6 +430,12 @@ def test_split_rows(spark, clash):
     assert SP.split_oversized(chunks(spark, [])).count() == 0
 
 
+def test_pieces_without_boundaries_overlap():
+    spans = SP.pieces("x" * 5000)
+    assert spans[0][0] == 0 and spans[-1][1] == 5000 and all(0 < hi - lo <= SP.LIMIT for lo, hi in spans)
+    assert all(a[1] - b[0] == SP.OVERLAP for a, b in zip(spans, spans[1:]))
+
+
 # --- 7 --------------------------------------------------------------------------------------------------------------
 
 
