@@ -180,6 +180,22 @@ def test_neighbours_of_the_index_alone_and_finished(spark):
         assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def test_all_blocks_of_a_large_leaf_meet(spark):
+    x = np.random.default_rng(9).standard_normal((400, 24)).astype(np.float32)
+    df = spark.createDataFrame([("t", f"id{i:04d}", [float(y) for y in v]) for i, v in enumerate(x)], SCHEMA)
+    got = {(r["id"], r["neighbour"]) for r in V.Neighbours(df, 5, trees=1, block=16, finish=False).neighbours().collect()}
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    assert len(got & {(f"id{i:04d}", f"id{j:04d}") for i, row in enumerate(cos) for j in np.argsort(-row)[:5]}) >= 1995
+
+
+def test_scaled_copies_are_one_class(spark):
+    v = np.float32([0.3, -0.7, 0.2, 0.0])
+    df = spark.createDataFrame([("t", f"c{i}", [float(y) for y in v * np.float32(i + 1)]) for i in range(9)], SCHEMA)
+    assert V.Neighbours(df).members.select("vec_hash").distinct().count() == 1
+
+
 def test_nearest_with_and_without_a_bar():
     x = np.random.default_rng(6).standard_normal((700, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]
