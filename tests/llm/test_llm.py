@@ -143,7 +143,7 @@ def test_neighbours_recall_and_blocks(spark):
     want = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
     assert len(want) > 200
-    for options in ({}, {"leaf": 40}, {"leaf": 60, "block": 16, "trees": 8}, {"sample": 50, "leaf": 100}):
+    for options in ({}, {"leaves": 8}, {"leaves": 4, "leaf_floats": 600, "trees": 2}, {"sample_floats": 1600, "leaves": 4}):
         near = V.Neighbours(df, 5, 0.9, **options).neighbours()
         got = {(r["src_table"], *sorted((r["id"], r["neighbour"]))) for r in near.collect()}
         assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
@@ -167,7 +167,7 @@ def test_neighbours_far_apart_are_all_found(spark):
     np.fill_diagonal(cos, -2)
     want = {(f"id{i:04d}", f"id{j:04d}") for i, row in enumerate(cos) for j in np.argsort(-row)[:5]}
     for options in ({}, {"exact": 0}):  # without and after the index
-        got = {(r["id"], r["neighbour"]) for r in V.Neighbours(df, 5, leaf=50, trees=4, **options).neighbours().collect()}
+        got = {(r["id"], r["neighbour"]) for r in V.Neighbours(df, 5, leaves=32, **options).neighbours().collect()}
         assert len(got) == len(want) and len(got & want) >= 0.999 * len(want)
 
 
@@ -176,14 +176,61 @@ def test_neighbours_of_the_index_alone_and_finished(spark):
     want = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
     for options in ({"exact": 0}, {"finish": False}):
-        got = {(r["src_table"], *sorted((r["id"], r["neighbour"]))) for r in V.Neighbours(df, 5, 0.9, leaf=40, **options).neighbours().collect()}
+        got = {(r["src_table"], *sorted((r["id"], r["neighbour"]))) for r in V.Neighbours(df, 5, 0.9, leaves=8, **options).neighbours().collect()}
         assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def test_the_walk_stops_early_and_misses_little():
+    """Within a leaf the tests leave out most pairs, and no near one beyond what they allow."""
+    r = np.random.default_rng(12)
+    x = r.standard_normal((4000, 48)).astype(np.float32)
+    x[2000:] = x[:2000] + 0.3 * r.standard_normal((2000, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    base = r.standard_normal((48, V.DIMS)).astype(np.float32)
+    endless = np.full(V.DIMS, np.inf, np.float32)
+    leaf, verified = V.Leaf(x, base, -endless, endless, cell=64), 0
+    plain = leaf._verified
+
+    def counted(*a):
+        nonlocal verified
+        verified += len(a[4]) * len(a[5])
+        return plain(*a)
+
+    leaf._verified = counted
+    rows, cols, cos = leaf.search(x, np.arange(4000), 5, 0.9)
+    s = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(s, -2)
+    want = {(i, j) for i, row in enumerate(s) for j in np.argsort(-row)[:5] if row[j] >= 0.9}
+    got = set(zip(rows, cols))
+    assert len(want) > 3000 and got <= want and len(got) >= 0.98 * len(want)
+    assert np.allclose(cos, s[rows, cols]) and verified < 0.7 * 4000**2
+
+
+def test_requests_hold_the_chance_promised():
+    r = np.random.default_rng(13)
+    x = r.standard_normal((6000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    trees = [V.Tree(x, 64, s) for s in range(3)]
+    near = x[:3000] + 0.25 * x[3000:]  # a known distance away
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    cos = (x[:3000] * near).sum(1)
+    own, row, tree, leaf, open_ = V.visits(trees, x[:3000], cos)
+    met = np.zeros(3000, bool)
+    for t, k in enumerate(trees):
+        at = k.leaves(near @ k.base)
+        met |= own[t] == at
+        for i, to in zip(row[tree == t], leaf[tree == t]):
+            met[i] |= at[i] == to
+    assert not len(open_) and met.mean() > 1 - V.MISS - 0.02
+    assert len(row) < 0.25 * 3000 * 64 * 3 and len(set(zip(row, tree, leaf))) == len(row)
+    assert not any(own[t][i] == to for i, t, to in zip(row, tree, leaf))
+    assert len(V.visits(trees, x[:3000], np.full(3000, 0.3), V.MISS, 2)[4]) > 2000  # far ones stay open
+
+
 def test_all_blocks_of_a_large_leaf_meet(spark):
     x = np.random.default_rng(9).standard_normal((400, 24)).astype(np.float32)
     df = spark.createDataFrame([("t", f"id{i:04d}", [float(y) for y in v]) for i, v in enumerate(x)], SCHEMA)
-    got = {(r["id"], r["neighbour"]) for r in V.Neighbours(df, 5, trees=1, block=16, finish=False).neighbours().collect()}
+    got = {(r["id"], r["neighbour"]) for r in V.Neighbours(df, 5, trees=1, leaves=1, leaf_floats=400, sample_floats=100, finish=False).neighbours().collect()}
     x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     cos = x @ x.T
     np.fill_diagonal(cos, -2)
