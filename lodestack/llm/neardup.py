@@ -1,25 +1,33 @@
 """Near-duplicate records with small edits.
 
-A record is the set of its triples of consecutive words. Its fingerprint has a
-bit for each of 192 minimum-hash slots, so the share of differing bits falls
-as the share of common triples rises. The index over fingerprints:
+A record is the set of its triples of consecutive words. Its fingerprint has
+``SLOTS`` minimum-hash slots of 16 bits, and the share of equal slots is that of
+common triples. Two bits of each slot make its *code* of 192 bits. The index over
+fingerprints is a hierarchy of masked bit patterns:
 
-* *upper nodes*: masked bit patterns. Each of ``BANDS`` masks takes a record's
-  pattern in three slots; records with the same masked pattern share a node.
+* *upper nodes*: each of ``BANDS`` masks leaves the 48 bits of three slots of a
+  fingerprint; records whose bits under a mask are equal share an upper node.
   A pair at the threshold 0.6 shares none of 32 nodes with probability 4e-4,
   at 0.7 with 1.5e-6, at 0.8 with 1e-10.
-* within a node records lie in Gray order of their fingerprints, and runs of
-  ``BLOCK`` of them form lower nodes that know which bits all of their records
-  share. Two lower nodes whose shared bits already differ in more than
-  ``MAX_DIFF`` places are dropped as a whole; the others are compared by bits.
+* *lower nodes*: an upper node's records lie in Gray order of their codes, so
+  that close ones are often neighbours. Neighbours that share ``SHARED`` bits form
+  a node that knows those bits (a mask and a pattern), neighbours among these the
+  nodes above, and so on.
+* two nodes are compared from the top: where both have a bit shared and it
+  differs, it differs in all pairs below. These differences add up on the way down,
+  each bit counted at the level where it becomes shared, and a pair of
+  nodes is dropped with all its records once more than ``MAX_DIFF`` have.
 
 ``MAX_DIFF`` lies four standard deviations above what a pair at the threshold
 differs in. What remains is checked exactly on the sets of triples.
 
 Scale: equal sets are one class before the index is built, so copies that hold
-a third of all rows are one entry. A node of any size is cut in blocks, pairs
-of blocks are spread over tasks, and no task holds more than two blocks.
-Nothing is collected, nothing is broadcast.
+a third of all rows are one entry. Rows of the index are two numbers until it is
+known which nodes have several records; those get their codes then. Masked patterns
+that very many records share are told from a sample (which changes no result): their
+rows skip the count of a node's records and are spread by Gray rank. Nodes over ``BLOCK`` records are cut in
+blocks; the shared bits of blocks meet first, and only pairs of blocks that may hold
+a close pair are brought together, spread over tasks. Nothing is collected.
 
 Cases: null contents and texts of fewer than three words have no triples and
 no partner; a repeated id is one record; empty tables give empty results.
@@ -28,6 +36,7 @@ no partner; a repeated id is one record; empty tables give empty results.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +47,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.operators.columns import pick
-from lodestack.session import spread, written
+from lodestack.session import discard, spread, written
 
 THRESHOLD, WORDS = 0.6, 3
-SLOTS, ROWS, BANDS = 192, 3, 32
-MAX_DIFF = 60
-BLOCK = 256
+SLOTS, ROWS, BANDS = 96, 3, 32
+MAX_DIFF = 66
+#: Bits that the records of a lower node share; records of a node that are compared side by side; of a block.
+SHARED, FEW, BLOCK = 150, 8, 1024
+#: A masked pattern is spread from so many records on, or this share of all rows, whichever is more;
+#: so at most as many patterns are as this share goes into all, give or take what a sample errs.
+SPREAD_ROWS, SPREAD_SHARE = 16_384, 1e-4
+SAMPLED = 64
 
 _WORD = re.compile(rb"[a-z0-9_]+")
 _U = np.uint64
@@ -54,7 +68,7 @@ def _odd(seed: int, n: int) -> np.ndarray:
 
 
 _MUL, _ADD = _odd(11, SLOTS), _odd(12, SLOTS)
-_PART = _odd(13, 16)
+_PART = _odd(13, 8)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -103,13 +117,24 @@ def gray_code(rank: np.ndarray) -> np.ndarray:
     return code
 
 
-def _pack(low: np.ndarray) -> np.ndarray:
-    """One bit of each slot, in words of 64."""
-    bits = np.packbits((low & _U(1)).astype(np.uint8), axis=1)
-    return bits.view(">u8").astype(np.uint64)
+def _code(slots: np.ndarray) -> np.ndarray:
+    """Two bits of each slot, in words of 64."""
+    bits = np.concatenate([slots & 1, slots >> 1 & 1], 1).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
 
 
-RANKS = [f"rank_{k}" for k in range(SLOTS // 64)]
+def masked(slots: np.ndarray, rows: int, bands: int, tag: np.ndarray) -> np.ndarray:
+    """The bits of the slots under each mask, with the mask's number and a tag of the table above them."""
+    out = np.empty((len(slots), bands), np.uint64)
+    for k in range(bands):
+        bits = tag << _U(6) | _U(k)
+        for j in range(rows):
+            bits = bits << _U(16) | slots[:, k * rows + j].astype(np.uint64)
+        out[:, k] = bits
+    return out
+
+
+RANKS = [f"rank_{k}" for k in range(2 * SLOTS // 64)]
 SIGNATURE = "src_table string, id string, set_hash binary, set_key bigint, " + ", ".join(f"{r} bigint" for r in RANKS) + ", masks array<bigint>"
 
 
@@ -126,17 +151,12 @@ def _signature_rows(words: int, rows: int, bands: int):
                     sets.append(s)
             if not kept:
                 continue
-            low = minima(sets)
-            rank = gray_rank(_pack(low)).view(np.int64)
-            salt = np.array([xxhash.xxh3_64_intdigest(src[i] or "") for i in kept], np.uint64)
-            masks = np.empty((len(kept), bands), np.uint64)
-            for k in range(bands):
-                h = salt + _U(k)
-                for j in range(rows):
-                    h = _mix(h * _PART[8 + j] + low[:, k * rows + j])
-                masks[:, k] = h
+            slots = (minima(sets) & _U(0xFFFF)).astype(np.uint16)
+            rank = gray_rank(_code(slots)).view(np.int64)
+            table = np.array([xxhash.xxh3_64_intdigest(src[i] or "") for i in kept], np.uint64)
+            masks = masked(slots, rows, bands, table & _U(0x3FF))
             hashes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            keys = np.frombuffer(b"".join(hashes), np.int64)[::2]
+            keys = (np.frombuffer(b"".join(hashes), np.uint64)[::2] ^ table).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([src[i] for i in kept]), pa.array([ids[i] for i in kept]), pa.array(hashes, pa.binary()), pa.array(keys), *(pa.array(rank[:, k]) for k in range(rank.shape[1])),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, len(kept) * bands + 1, bands, dtype=np.int32)), pa.array(masks.view(np.int64).ravel()))],
@@ -151,17 +171,76 @@ def signatures(rows: DataFrame, words: int = WORDS, per_mask: int = ROWS, masks:
     return spread(rows.select("src_table", "id", "content")).mapInArrow(_signature_rows(words, per_mask, masks), SIGNATURE)
 
 
-def _close(code_a: np.ndarray, code_b: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(code_a ^ code_b).sum(-1, dtype=np.int64) <= most
-
-
 def _codes(ranks: np.ndarray) -> np.ndarray:
     return gray_code(np.ascontiguousarray(ranks).view(np.uint64))
 
 
-#: a, b: a pair of close fingerprints; or a lower node: its upper node, place in it, members and shared bits.
-NODE = "a bigint, b bigint, mask bigint, block int, members binary, all_set binary, any_set binary"
-_NODE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int64()), ("block", pa.int32()), ("members", pa.binary()), ("all_set", pa.binary()), ("any_set", pa.binary())])
+def _close(code_a: np.ndarray, code_b: np.ndarray, most: int) -> np.ndarray:
+    return np.bitwise_count(code_a ^ code_b).sum(-1, dtype=np.int64) <= most
+
+
+class Nodes:
+    """The hierarchy over codes in Gray order. A level holds, of each node, the bits that are
+    shared by all of its records (``mask``), their values (``pattern``) and where its one or two
+    children in the level below start; level 0 are the records. Neighbours
+    become one node as long as they share ``SHARED`` bits, others go up as they are."""
+
+    def __init__(self, code: np.ndarray):
+        self.levels = [(np.full_like(code, ~_U(0)), code, np.arange(len(code) + 1))]
+        idle = 0
+        while idle < 2 and len(self.levels[-1][0]) > 1:  # pairs that start at even places, then at odd ones
+            mask, pattern, _ = self.levels[-1]
+            n, odd = len(mask), len(self.levels) % 2 == 0
+            at = np.arange(int(odd), n - 1, 2)
+            both = mask[at] & mask[at + 1] & ~(pattern[at] ^ pattern[at + 1])
+            fit = at[np.bitwise_count(both).sum(1) >= SHARED]
+            idle = 0 if len(fit) else idle + 1
+            second = np.zeros(n, bool)
+            second[fit + 1] = True
+            starts = np.flatnonzero(~second)
+            new = mask[starts].copy()
+            new[np.isin(starts, fit)] = both[np.isin(at, fit)]
+            self.levels.append((new, pattern[starts] & new, np.r_[starts, n]))
+
+
+def close_pairs(one: Nodes, two: Nodes, most: int, tally: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of records of ``one`` and ``two`` whose codes differ in at most ``most`` bits; each pair
+    once where both are the same. ``tally`` counts pairs of nodes met and dropped, and of records compared."""
+    same = one is two
+    la, lb = len(one.levels) - 1, len(two.levels) - 1
+    na, nb = len(one.levels[la][0]), len(two.levels[lb][0])
+    a, b = np.divmod(np.arange(na * nb), nb)
+    if same:
+        a, b = a[a <= b], b[a <= b]
+    apart = np.zeros(len(a), np.int64)
+    known = np.zeros((len(a), one.levels[0][0].shape[1]), np.uint64)  # bits whose differences are in the sum
+    while True:
+        (ma, pa_, starts_a), (mb, pb, starts_b) = one.levels[la], two.levels[lb]
+        shared = ma[a] & mb[b]
+        apart += np.bitwise_count((pa_[a] ^ pb[b]) & shared & ~known).sum(1, dtype=np.int64)
+        keep = apart <= most
+        if tally is not None:
+            tally["records" if la == lb == 0 else "nodes"] += len(a)
+            tally["dropped"] += 0 if la == lb == 0 else int((~keep).sum())
+        a, b, apart, known = a[keep], b[keep], apart[keep], shared[keep]
+        if la == lb == 0:
+            off = a < b if same else np.ones(len(a), bool)
+            return a[off], b[off]
+        down_a, down_b = la >= lb, lb >= la  # the deeper hierarchy goes down first
+        first_a, last_a = (starts_a[a], starts_a[a + 1] - 1) if down_a else (a, a)
+        first_b, last_b = (starts_b[b], starts_b[b + 1] - 1) if down_b else (b, b)
+        la, lb = la - down_a, lb - down_b
+        parts = []
+        for x, y, fit in ((first_a, first_b, None), (first_a, last_b, last_b > first_b), (last_a, first_b, last_a > first_a), (last_a, last_b, (last_a > first_a) & (last_b > first_b))):
+            at = np.arange(len(x)) if fit is None else np.flatnonzero(fit)
+            at = at[x[at] <= y[at]] if same else at
+            parts.append((x[at], y[at], apart[at], known[at]))
+        a, b, apart, known = (np.concatenate(x) for x in zip(*parts))
+
+
+#: a, b: a pair of close fingerprints; or a block: its upper node, members and shared bits.
+NODE = "a bigint, b bigint, mask bigint, block binary, members binary, shared binary, pattern binary"
+_NODE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int64()), ("block", pa.binary()), ("members", pa.binary()), ("shared", pa.binary()), ("pattern", pa.binary())])
 
 
 def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -170,76 +249,72 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], schema=_NODE)
 
 
-def _block_row(mask: int, block: int, key: np.ndarray, ranks: np.ndarray) -> tuple:
+def _block_row(mask: int, key: np.ndarray, ranks: np.ndarray) -> tuple:
     code = _codes(ranks)
     packed = np.concatenate([key[:, None].view(np.uint64), code], 1)
-    return None, None, mask, block, packed.tobytes(), np.bitwise_and.reduce(code).tobytes(), np.bitwise_or.reduce(code).tobytes()
+    all_set, any_set = np.bitwise_and.reduce(code), np.bitwise_or.reduce(code)
+    # a block is named by its first record, so that blocks of several tasks have different names
+    return None, None, mask, np.ascontiguousarray(np.r_[ranks[0], key[0]]).tobytes(), packed.tobytes(), (all_set | ~any_set).tobytes(), all_set.tobytes()
 
 
 def _walk_nodes(most: int, block: int):
-    """Rows come sorted by upper node and Gray rank. Nodes of up to ``block``
-    records give their close pairs, larger ones are cut into lower nodes."""
-
-    def small(node, key, ranks) -> pa.RecordBatch:
-        code, out_a, out_b = _codes(ranks), [], []
-        for lag in range(1, len(key)):
-            at = np.flatnonzero(node[lag:] == node[:-lag])
+    """Rows come sorted by upper node, part and Gray rank. Nodes of up to ``block``
+    records that lie here whole give their close pairs, others are cut in blocks."""
+
+    def pairs(rows: np.ndarray) -> pa.RecordBatch:
+        """Of whole nodes: small ones side by side, the others through their hierarchy."""
+        node, key, code = rows[:, 0], rows[:, 2], _codes(rows[:, 3:])
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        sizes = np.diff(np.r_[starts, len(rows)])
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        few = np.repeat(sizes <= FEW, sizes)
+        for lag in range(1, FEW):
+            at = np.flatnonzero(few[lag:] & (node[lag:] == node[:-lag]))
             if not len(at):
                 break
             at = at[_close(code[at], code[at + lag], most)]
             out_a.append(key[at])
             out_b.append(key[at + lag])
-        return _pair_rows(*(np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b)))
+        for at, n in zip(starts[sizes > FEW], sizes[sizes > FEW]):
+            nodes = Nodes(code[at : at + n])
+            i, j = close_pairs(nodes, nodes, most)
+            out_a.append(key[at + i])
+            out_b.append(key[at + j])
+        return _pair_rows(np.concatenate(out_a), np.concatenate(out_b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 2 + len(RANKS)
+        width = 3 + len(RANKS)
         rest = np.empty((0, width), np.int64)
-        cut: tuple[int, int] | None = None  # the large node that is open, and its next block
+        cut: int | None = None  # the large node that is open
 
         def split(rows: np.ndarray, last: bool):
-            """Whole nodes of ``rows``; what may go on stays in ``rest``."""
             nonlocal rest, cut
-            blocks = []
+            blocks, rest = [], rows[:0]
             while len(rows):
                 node = rows[:, 0]
                 starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-                if cut and node[0] != cut[0]:
+                ends = np.r_[starts[1:], len(rows)]
+                # spread ones (a part other than 0) and those that are too large
+                large = np.flatnonzero((ends - starts > block) | (rows[starts, 1] != 0) | (node[starts] == cut if cut is not None else False))
+                whole = starts[large[0]] if len(large) else (len(rows) if last else starts[-1])
+                if whole:
+                    yield pairs(rows[:whole])
+                    rows = rows[whole:]
                     cut = None
-                tail = starts[-1]
-                if cut or (len(starts) == 1 and len(rows) > block):
-                    end = starts[1] if len(starts) > 1 else len(rows)
-                    whole = len(starts) > 1 or last
-                    mask, at = int(node[0]), cut[1] if cut else 0
-                    own, rows = rows[:end], rows[end:]
-                    while len(own) >= block or (whole and len(own)):
-                        blocks.append(_block_row(mask, at, own[:block, 1].copy(), own[:block, 2:]))
-                        own, at = own[block:], at + 1
-                    cut = (mask, at)
-                    if not whole:
-                        rest = own
-                        break
-                    continue
-                sizes = np.diff(np.r_[starts, len(rows)])
-                large = np.flatnonzero(sizes > block)
-                upto = starts[large[0]] if len(large) else (len(rows) if last else tail)
-                if upto:
-                    part = rows[:upto]
-                    yield small(part[:, 0], part[:, 1], part[:, 2:])
-                rows = rows[upto:]
                 if not len(large):
                     rest = rows
                     break
-                if len(np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])) == 1 and not last:
-                    if len(rows) <= block:
-                        rest = rows
-                        break
-                    continue
-                own = rows[rows[:, 0] == rows[0, 0]]
-                for at in range(0, len(own), block):
-                    blocks.append(_block_row(int(own[0, 0]), at // block, own[at : at + block, 1].copy(), own[at : at + block, 2:]))
+                own = rows[: ends[large[0]] - whole]
                 rows = rows[len(own) :]
-            else:
-                rest = rows
+                cut = int(own[0, 0])
+                ended = last or len(rows) > 0
+                while len(own) >= block or (ended and len(own)):
+                    blocks.append(_block_row(cut, own[:block, 2].copy(), own[:block, 3:]))
+                    own = own[block:]
+                if ended:
+                    cut = None
+                else:
+                    rest = own
             if blocks:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*blocks), _NODE)], schema=_NODE)
 
@@ -252,52 +327,70 @@ def _walk_nodes(most: int, block: int):
 
 
 def _block_pairs(most: int, words: int):
-    """Pairs of lower nodes of one upper node; those whose shared bits differ too often are dropped whole."""
+    """Close pairs of two blocks, through their hierarchies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                one, two = (np.frombuffer(r[c], np.uint64).reshape(-1, words + 1) for c in ("members", "others"))
-                i, j = np.nonzero(_close(one[:, None, 1:], two[None, :, 1:], most))
-                a, z = one[i, 0].view(np.int64), two[j, 0].view(np.int64)
-                rows = _pair_rows(a[a != z], z[a != z])
+            for one, two in zip(b.column("members").to_pylist(), b.column("others").to_pylist()):
+                x = np.frombuffer(one, np.uint64).reshape(-1, words + 1)
+                y = x if one == two else np.frombuffer(two, np.uint64).reshape(-1, words + 1)
+                nodes = Nodes(np.ascontiguousarray(x[:, 1:]))
+                i, j = close_pairs(nodes, nodes if y is x else Nodes(np.ascontiguousarray(y[:, 1:])), most)
+                rows = _pair_rows(x[i, 0].view(np.int64), y[j, 0].view(np.int64))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"])
 
     return run
 
 
-def candidates(reps: DataFrame, most: int = MAX_DIFF, block: int = BLOCK) -> DataFrame:
-    """a, b: keys of sets whose fingerprints share a masked pattern and differ in at most ``most`` bits."""
-    nodes = reps.select(F.explode("masks").alias("mask"), "set_key", *RANKS)
-    shared = nodes.withColumn("n", F.count("*").over(Window.partitionBy("mask"))).where("n > 1").drop("n")
-    walked = written(shared.sortWithinPartitions("mask", *RANKS).mapInArrow(_walk_nodes(most, block), NODE), "nodes")
-    blocks = walked.where("mask is not null")
-    one = blocks.select("mask", "block", "members", F.col("all_set").alias("all_x"), F.col("any_set").alias("any_x"))
-    two = blocks.select("mask", F.col("block").alias("block_y"), F.col("members").alias("others"), F.col("all_set").alias("all_y"), F.col("any_set").alias("any_y"))
-    large = (
-        one.join(two, "mask").where("block <= block_y")
-        .mapInArrow(_apart(most), "members binary, others binary")
-        .mapInArrow(_block_pairs(most, len(RANKS)), "a bigint, b bigint")
-    )
-    return walked.where("a is not null").select("a", "b").unionByName(large).distinct()
-
-
 def _apart(most: int):
-    """Pairs of lower nodes that may hold a close pair: bits that all of one have
-    set and all of the other clear, or the reverse, differ in every pair."""
+    """Pairs of blocks whose shared bits don't differ too often already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            ax, ox, ay, oy = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("all_x", "any_x", "all_y", "any_y"))
-            least = np.bitwise_count((ax & ~oy) | (ay & ~ox)).sum(1, dtype=np.int64)
+            sx, px, sy, py = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("shared_x", "pattern_x", "shared_y", "pattern_y"))
+            least = np.bitwise_count((px ^ py) & sx & sy).sum(1, dtype=np.int64)
             keep = pa.array(least <= most)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("members", "others")], names=["members", "others"])
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("mask", "block", "block_y")], names=["mask", "block", "block_y"])
 
     return run
 
 
+def _wide_masks(reps: DataFrame, least_rows: int) -> DataFrame:
+    """Masked patterns that very many records share (mask, parts), from the records whose key a
+    number divides; at most about one in ``SPREAD_SHARE`` of all rows can be that frequent."""
+    drawn = reps.where(F.pmod(F.xxhash64("set_key"), F.lit(SAMPLED)) == 0).select(F.explode("masks").alias("mask"))
+    total = drawn.agg(F.count("*").alias("total"))
+    n = drawn.groupBy("mask").agg((F.count("*") * SAMPLED).alias("n"))
+    return n.join(F.broadcast(total), F.lit(True)).where(F.col("n") >= F.greatest(F.lit(least_rows), F.col("total") * SAMPLED * SPREAD_SHARE)).select("mask", F.ceil(F.col("n") / least_rows * 4).cast("bigint").alias("parts"))
+
+
+def candidates(reps: DataFrame, most: int = MAX_DIFF, block: int = BLOCK, spread_rows: int = SPREAD_ROWS) -> DataFrame:
+    """a, b: keys of sets whose fingerprints share a masked pattern and differ in at most ``most`` bits."""
+    wide = written(_wide_masks(reps, spread_rows), "wide-masks")
+    rows = reps.select(F.explode("masks").alias("mask"), "set_key").join(F.broadcast(wide), "mask", "left")
+    several = Window.partitionBy("mask")
+    counted = rows.where("parts is null").withColumn("n", F.count("*").over(several)).where("n > 1").drop("n")
+    shared = counted.unionByName(rows.where("parts is not null")).join(reps.select("set_key", *RANKS), "set_key")
+    # of a spread pattern each range of Gray ranks is a part of its own, numbered from 1
+    top = F.shiftrightunsigned(RANKS[0], 33)
+    part = F.coalesce(1 + F.floor(top * F.col("parts") / (1 << 31)), F.lit(0)).cast("bigint")
+    nodes = shared.select("mask", part.alias("part"), "set_key", *RANKS).repartition("mask", "part")
+    walked = written(nodes.sortWithinPartitions("mask", "part", *RANKS).mapInArrow(_walk_nodes(most, block), NODE), "nodes")
+    blocks = walked.where("mask is not null")
+    one = blocks.select("mask", "block", F.col("shared").alias("shared_x"), F.col("pattern").alias("pattern_x"))
+    two = blocks.select("mask", F.col("block").alias("block_y"), F.col("shared").alias("shared_y"), F.col("pattern").alias("pattern_y"))
+    # shared bits meet first, records only where they may be close
+    met = one.join(two, "mask").where("block <= block_y").mapInArrow(_apart(most), "mask bigint, block binary, block_y binary")
+    large = (
+        met.join(blocks.select("mask", "block", "members"), ["mask", "block"])
+        .join(blocks.select("mask", F.col("block").alias("block_y"), F.col("members").alias("others")), ["mask", "block_y"])
+        .select("members", "others").mapInArrow(_block_pairs(most, len(RANKS)), "a bigint, b bigint")
+    )
+    return walked.where("a is not null").select("a", "b").unionByName(large).distinct()
+
+
 VERIFIED = "src_table string, hash_a binary, hash_b binary, jaccard double"
 
 
@@ -325,9 +418,8 @@ class NearDuplicates:
         rows = pick(rows, "src_table", "id", "content")
         sig = written(signatures(rows, words, per_mask, masks), "fingerprints")
         self.members = sig.select("src_table", "set_hash", "id").distinct()
-        reps = sig.groupBy("src_table", "set_hash").agg(
-            F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("set_key", *RANKS, "masks"))
-        )
+        reps = sig.groupBy("src_table", "set_hash").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("set_key", *RANKS, "masks")))
+        reps = written(reps, "classes")
         pairs = candidates(reps, most)
         # the texts of the sets that stand in a pair, once each
         keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
@@ -352,27 +444,26 @@ class NearDuplicates:
         apart = self.links.join(one, ["src_table", "hash_a"]).join(two, ["src_table", "hash_b"]).select("src_table", "x", "y")
         return same.unionByName(apart).select("src_table", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
-    def groups(self, rounds: int = 30) -> DataFrame:
-        """src_table, id, group_id (smallest id of the connected records), n_links (to different texts)."""
+    def groups(self) -> DataFrame:
+        """src_table, id, group_id (smallest id of the connected records), class_id (smallest id of
+        the records with the same triples), n_links (to classes with other triples)."""
         ends = self.links.select("src_table", F.inline(F.array(F.struct(F.col("hash_a").alias("u"), F.col("hash_b").alias("v")), F.struct(F.col("hash_b").alias("u"), F.col("hash_a").alias("v")))))
-        # connected components: large star, small star by minimum labels, halving paths each round
-        edges = ends
+        # connected components: minimum labels of neighbours, and of labels' labels, which halves paths each round
         labels = written(ends.groupBy("src_table", "u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
-        for _ in range(rounds):
-            near = edges.join(labels.withColumnRenamed("u", "v"), ["src_table", "v"]).groupBy("src_table", "u").agg(F.min("label").alias("near"))
+        while True:
+            near = ends.join(labels.withColumnRenamed("u", "v"), ["src_table", "v"]).groupBy("src_table", "u").agg(F.min("label").alias("near"))
             jump = labels.join(labels.select("src_table", F.col("u").alias("label"), F.col("label").alias("over")), ["src_table", "label"], "left")
             new = jump.join(near, ["src_table", "u"]).select("src_table", "u", F.least("label", F.coalesce("over", "label"), "near").alias("label"), F.col("label").alias("old"))
             new = written(new, "labels")
-            if new.where("label <> old").isEmpty():
-                break
+            settled = new.where("label <> old").isEmpty()
+            discard(labels)
             labels = new.drop("old")
-        else:
-            raise RuntimeError("components did not settle; raise rounds")
+            if settled:
+                break
         links = ends.groupBy("src_table", F.col("u").alias("set_hash")).agg(F.count("*").alias("n_links"))
-        full = self.members.join(labels.withColumnRenamed("u", "set_hash"), ["src_table", "set_hash"], "left").join(links, ["src_table", "set_hash"], "left")
+        sets = self.members.groupBy("src_table", "set_hash").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+        full = sets.join(labels.withColumnRenamed("u", "set_hash"), ["src_table", "set_hash"], "left").join(links, ["src_table", "set_hash"], "left")
         full = full.withColumn("label", F.coalesce("label", "set_hash"))
-        names = full.groupBy("src_table", "label").agg(F.min("id").alias("group_id"), F.count("*").alias("n"))
-        return (
-            full.join(names.where("n > 1"), ["src_table", "label"])
-            .select("src_table", "id", "group_id", F.hex("set_hash").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-        )
+        names = full.groupBy("src_table", "label").agg(F.min("class_id").alias("group_id"), F.sum("n").alias("size")).where("size > 1")
+        classes = full.join(names, ["src_table", "label"]).select("src_table", "set_hash", "group_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        return self.members.join(classes, ["src_table", "set_hash"]).select("src_table", "id", "group_id", "class_id", "n_links")

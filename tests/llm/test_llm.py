@@ -411,33 +411,71 @@ def test_near_duplicates_against_brute_force(spark):
     assert {(r["src_table"], r["id"], r["group_id"]) for r in groups} == {(t, i, root((t, i))[1]) for t, a, b in want for i in (a, b)}
 
 
+def codes(r, n, centres=5, flips=45):
+    words = len(N.RANKS)
+    code = r.integers(0, 2**63, (centres, words)).astype(np.uint64)[r.integers(0, centres, n)]
+    for k in range(n):
+        for _ in range(int(r.integers(0, flips))):
+            code[k, r.integers(0, words)] ^= np.uint64(1) << np.uint64(r.integers(0, 64))
+    return code
+
+
 def test_walk_over_nodes_equals_brute_force():
     r = np.random.default_rng(1)
     words = len(N.RANKS)
     for trial in range(60):
         n, block = int(r.integers(1, 200)), int(r.integers(2, 20))
         node = np.sort(r.integers(0, int(r.integers(1, 30)), n))
-        code = r.integers(0, 2**63, (5, words)).astype(np.uint64)[r.integers(0, 5, n)]
-        for k in range(n):
-            for _ in range(int(r.integers(0, 45))):
-                code[k, r.integers(0, words)] ^= np.uint64(1) << np.uint64(r.integers(0, 64))
+        code = codes(r, n)
         rank = N.gray_rank(code)
         assert (N.gray_code(rank) == code).all()
-        rows = np.concatenate([node[:, None], np.arange(n)[:, None], rank.view(np.int64)], 1)
-        rows = rows[np.lexsort((*(rows[:, c] for c in range(rows.shape[1] - 1, 1, -1)), rows[:, 0]))]
-        cuts = [0, *sorted(r.integers(0, n + 1, int(r.integers(0, 6))).tolist()), n]
-        batches = [pa.RecordBatch.from_arrays([pa.array(rows[a:b, k]) for k in range(rows.shape[1])], names=[f"c{k}" for k in range(rows.shape[1])]) for a, b in zip(cuts, cuts[1:])]
+        part = np.where(node % 7 == 3, 1 + (rank[:, 0] >> np.uint64(62)).astype(np.int64), 0)  # patterns that are spread
+        rows = np.concatenate([node[:, None], part[:, None], np.arange(n)[:, None], rank.view(np.int64)], 1)
+        rows = rows[np.lexsort((*(rows[:, c] for c in range(rows.shape[1] - 1, 2, -1)), rows[:, 1], rows[:, 0]))]
+        tasks = [rows[rows[:, 1] % 2 == k] for k in (0, 1)]
         got, blocks = set(), []
-        for b in N._walk_nodes(60, block)(iter(batches)):
-            for x in b.to_pylist():
-                got.add((x["a"], x["b"])) if x["mask"] is None else blocks.append(x)
+        for own in tasks:
+            cuts = [0, *sorted(r.integers(0, len(own) + 1, int(r.integers(0, 6))).tolist()), len(own)]
+            batches = [pa.RecordBatch.from_arrays([pa.array(own[a:b, k]) for k in range(rows.shape[1])], names=[f"c{k}" for k in range(rows.shape[1])]) for a, b in zip(cuts, cuts[1:])]
+            for b in N._walk_nodes(66, block)(iter(batches)):
+                for x in b.to_pylist():
+                    got.add((x["a"], x["b"])) if x["mask"] is None else blocks.append(x)
+        assert len({(x["mask"], x["block"]) for x in blocks}) == len(blocks)
         for x in blocks:
             for y in blocks:
                 if x["mask"] == y["mask"] and x["block"] <= y["block"]:
-                    pair = pa.RecordBatch.from_pylist([dict(members=x["members"], others=y["members"], all_x=x["all_set"], any_x=x["any_set"], all_y=y["all_set"], any_y=y["any_set"])])
-                    for k in N._block_pairs(60, words)(N._apart(60)(iter([pair]))):
-                        got |= {(z["a"], z["b"]) for z in k.to_pylist()}
-        assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if node[i] == node[j] and np.bitwise_count(code[i] ^ code[j]).sum() <= 60}
+                    pair = pa.RecordBatch.from_pylist([dict(mask=1, block=x["block"], block_y=y["block"], shared_x=x["shared"], pattern_x=x["pattern"], shared_y=y["shared"], pattern_y=y["pattern"])])
+                    if next(N._apart(66)(iter([pair]))).num_rows:
+                        for k in N._block_pairs(66, words)(iter([pa.RecordBatch.from_pylist([dict(members=x["members"], others=y["members"])])])):
+                            got |= {(z["a"], z["b"]) for z in k.to_pylist()}
+        assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if node[i] == node[j] and np.bitwise_count(code[i] ^ code[j]).sum() <= 66}
+
+
+def test_differences_of_groups_drop_most_pairs():
+    """Clusters of close records: groups of them are told apart by what they share."""
+    r = np.random.default_rng(2)
+    code = codes(r, 1000, centres=60, flips=12)
+    code = code[np.lexsort(N.gray_rank(code).T[::-1])]
+    tally, nodes = Counter(), N.Nodes(code)
+    i, j = N.close_pairs(nodes, nodes, 66, tally)
+    close = np.bitwise_count(code[:, None] ^ code[None]).sum(2) <= 66
+    assert set(zip(i, j)) == {(a, b) for a, b in zip(*np.nonzero(close)) if a < b}
+    assert tally["dropped"] > 0.5 * tally["nodes"] and tally["records"] < 0.2 * 1000 * 1001 / 2 and tally["nodes"] < 0.3 * 1000 * 1001 / 2
+    # two hierarchies of different depth
+    one, two = N.Nodes(code[:37]), N.Nodes(code[37:])
+    i, j = N.close_pairs(one, two, 66)
+    assert set(zip(i, j)) == set(zip(*np.nonzero(close[:37, 37:])))
+    j, i = N.close_pairs(two, one, 66)
+    assert set(zip(i, j)) == set(zip(*np.nonzero(close[:37, 37:])))
+
+
+def test_nodes_are_masked_bits_of_the_fingerprint():
+    slots = np.random.default_rng(3).integers(0, 1 << 16, (4, N.SLOTS)).astype(np.uint16)
+    slots[1, 3:6] = slots[0, 3:6]
+    tag = np.array([5, 5, 6, 6], np.uint64)
+    masks = N.masked(slots, 3, N.BANDS, tag)
+    assert masks[0, 1] == masks[1, 1] and len(set(masks.ravel().tolist())) == 4 * N.BANDS - 1
+    assert int(masks[2, 4]) & 0xFFFF == slots[2, 14] and int(masks[2, 4]) >> 48 == (6 << 6 | 4)
 
 
 def test_hot_node_is_cut_in_blocks(spark):
@@ -448,6 +486,15 @@ def test_hot_node_is_cut_in_blocks(spark):
     assert got == 60 * 59 // 2 == N.candidates(sig).count()
 
 
+def test_patterns_of_very_many_records_are_spread(spark):
+    base = texts(10, 1, 90)[0].split()
+    rows = [("t", f"{i:04d}", " ".join([*base, f"x{i}", f"y{i}"])) for i in range(400)]
+    sig = N.signatures(spark.createDataFrame(rows, ROWS)).cache()
+    wide = N._wide_masks(sig, 128)
+    assert 0 < wide.count() <= N.BANDS
+    assert N.candidates(sig, block=32, spread_rows=128).count() == 400 * 399 // 2
+
+
 def test_near_duplicates_of_nothing(spark, clash):
     nd = N.NearDuplicates(clash(spark.createDataFrame([], ROWS), "masks", "set_hash", "rep"))
     assert nd.pairs().count() == 0 and nd.groups().count() == 0
