@@ -96,11 +96,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
 _written: dict[str, list[str]] = {}
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the tables of ``written`` that ``df`` reads; nothing may be derived from it afterwards."""
+    spark = df.sparkSession
+    mine = _written.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in mine if any(f"{p.split('://')[-1]}/" in f for f in df.inputFiles())]
+    _delete(spark, gone)
+    mine[:] = [p for p in mine if p not in gone]
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables ``written`` made in this application; every frame that
     was derived from them must have been used by then."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+    _delete(spark, _written.pop(spark.sparkContext.applicationId, []))
