@@ -2,7 +2,7 @@
 
 A record is the set of its triples of consecutive words. Its fingerprint has
 ``SLOTS`` minimum-hash slots of 16 bits, and the share of equal slots is that of
-common triples. Two bits of each slot make its *code* of 192 bits. The index over
+common triples. A bit of each slot makes its *code*. The index over
 fingerprints is a hierarchy of masked bit patterns:
 
 * *upper nodes*: each of ``BANDS`` masks leaves the 48 bits of three slots of a
@@ -50,8 +50,8 @@ from lodestack.operators.columns import pick
 from lodestack.session import discard, spread, written
 
 THRESHOLD, WORDS = 0.6, 3
-SLOTS, ROWS, BANDS = 96, 3, 32
-MAX_DIFF = 66
+SLOTS, ROWS, BANDS = 192, 3, 32
+MAX_DIFF = 60
 #: Bits that the records of a lower node share; records of a node that are compared side by side; of a block.
 SHARED, FEW, BLOCK = 150, 8, 1024
 #: A masked pattern is spread from so many records on, or this share of all rows, whichever is more;
@@ -118,9 +118,8 @@ def gray_code(rank: np.ndarray) -> np.ndarray:
 
 
 def _code(slots: np.ndarray) -> np.ndarray:
-    """Two bits of each slot, in words of 64."""
-    bits = np.concatenate([slots & 1, slots >> 1 & 1], 1).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+    """A bit of each slot, in words of 64."""
+    return np.packbits((slots & 1).astype(np.uint8), axis=1).view(">u8").astype(np.uint64)
 
 
 def masked(slots: np.ndarray, rows: int, bands: int, tag: np.ndarray) -> np.ndarray:
@@ -134,7 +133,7 @@ def masked(slots: np.ndarray, rows: int, bands: int, tag: np.ndarray) -> np.ndar
     return out
 
 
-RANKS = [f"rank_{k}" for k in range(2 * SLOTS // 64)]
+RANKS = [f"rank_{k}" for k in range(SLOTS // 64)]
 SIGNATURE = "src_table string, id string, set_hash binary, set_key bigint, " + ", ".join(f"{r} bigint" for r in RANKS) + ", masks array<bigint>"
 
 
