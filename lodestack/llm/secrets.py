@@ -7,8 +7,8 @@ the literal's characters change and all code around them stays.
 
 A literal without a mixture of character classes (a plain word, a number, a few
 characters) is looked at only where a credential is expected: in the place of
-the value of a name or flag that means one, or of a password in an address or
-login. There the field decides by its shape, quotes and surroundings; anywhere
+the value of a name or flag that means one, of a password in an address or
+login, or of a command's input that is one. There the field decides by its shape, quotes and surroundings; anywhere
 else it is outside. A line that holds neither decodes to nothing but outside and
 is passed over without running the chain; this is exact, not a sample.
 Of a phrase with blanks only the mixed words are looked at.
@@ -16,7 +16,8 @@ Of a phrase with blanks only the mixed words are looked at.
 Labels O, B, I. The field is fitted by ``train`` on lines that
 ``labelled_lines`` makes (``TRAIN_LINES`` of them, a bound), and its weights
 are kept in ``secret_weights.json`` beside this file. A private key in PEM form
-is one token per line; the key's body goes with its first line. A literal that
+is one token per line; the key's body goes with its first line, up to the key's end
+or a line that is no part of one, however long its lines are. A literal that
 goes on in the next line is redacted there too, but counts where it starts.
 
 Each row is one chunk and nothing is shuffled but the lines found, to drop
@@ -89,7 +90,7 @@ _KINDS = [
     ("crypt", re.compile(r"^\$(?:2[aby]|5|6|argon2\w*|pbkdf2[\w\-]*)\$|^pbkdf2|^scrypt")), ("prefix", PREFIX), ("jwt", re.compile(r"^eyJ[\w\-]{8,}")),
     ("uuid", re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")), ("color", re.compile(r"^#[0-9a-fA-F]{3,8}$")),
     ("holder", re.compile(r"(?i)your[-_]|change[-_]?me|replace[-_]?me|x{6,}|\*{3,}|insert[-_]|example|placeholder|dummy|redacted|todo|\.\.\.|<[^>]*>|\{\{|\$\{|^\$[A-Z_(]|^%[A-Z_]+%$|^\$\(")),
-    ("pointer", re.compile(r"(?i)^(?:vault|env|ref|ssm|arn|secretmanager|keyring|file|aws-sm|op):|os\.environ|getenv|process\.env|#[A-Za-z_]+$")),
+    ("pointer", re.compile(r"(?i)^(?:vault|env|ref|ssm|arn|secretmanager|keyring|file|aws-sm|op):|os\.environ|getenv|process\.env|[:/][\w.\-/]*#[A-Za-z_]+$")),
     ("url", re.compile(r"^[a-z][a-z0-9+.\-]*://")), ("version", re.compile(r"^v?\d+(?:\.\d+)+[\w.\-]*$")), ("date", re.compile(r"^\d{4}-\d\d-\d\d")), ("likeprefix", _LIKE_PREFIX),
     ("groups", re.compile(r"^[A-Z0-9]{4,6}(?:-[A-Z0-9]{1,6})+$")), ("hex", re.compile(r"^[0-9a-f]{14,}$|^[0-9A-F]{16,}$")), ("hexnum", re.compile(r"(?i)^0x[0-9a-f]+$")),
     ("path", re.compile(r"^[\w.\-@]*/[\w./\-@:*{}$]*$")), ("b64", re.compile(r"^[A-Za-z0-9+/\-_]{16,}={1,2}$|^(?=.*[+/])[A-Za-z0-9+/]{16,}$")),
@@ -117,10 +118,21 @@ def name_class(name: str) -> str:
     return "plain"
 
 
+_ENCODED = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
+
+
+def scrambled(tok: str) -> bool:
+    """Encoded bytes, told from a path by how often the kind of character changes."""
+    if not _ENCODED.fullmatch(tok):
+        return False
+    kinds = ["/" if c in "+/=" else "9" if c.isdigit() else "A" if c.isupper() else "a" for c in tok]
+    return sum(a != b for a, b in zip(kinds, kinds[1:])) >= 0.4 * len(tok)
+
+
 def kind_of(tok: str) -> str:
     for kind, rx in _KINDS:
         if rx.search(tok):
-            return kind
+            return "b64" if kind == "path" and scrambled(tok) else kind
     return "other"
 
 
@@ -132,9 +144,20 @@ class Token:
         self.gap = self.after = ""
 
 
+#: Commands that read a password from a pipe, and clients whose flag -p takes one with no blank between.
+_PIPED = re.compile(r"\|\s*(?:sudo\s+(?:-[a-zA-Z]+\s+){0,4}-S\b|chpasswd\b|passwd\s+--stdin\b|[^|]{0,200}--(?:password|passphrase|token)-stdin\b|[^|]{0,200}-pass(?:in)?\s+stdin\b)")
+_CLIENT = re.compile(r"\b(?:mysql\w*|mariadb\w*|sshpass|mongo\w*|7z)\b")
+
+
+def _reads_pipe(line: str) -> bool:
+    return "|" in line and ("sudo" in line or "stdin" in line or "chpasswd" in line)
+
+
 def tokens(line: str) -> list[Token]:
     """Lexical tokens with their places; slots name the part of a composite one."""
     out: list[Token] = []
+    piped = {len(line[: m.start()].rstrip(" \t\"'")) for m in _PIPED.finditer(line)} if _reads_pipe(line) else set()
+    client = "-p" in line and _CLIENT.search(line)
     for m in _TOKEN.finditer(line):
         quoted = m.start() > 0 and line[m.start() - 1] in "\"'`"
         if m["pem"]:
@@ -149,6 +172,13 @@ def tokens(line: str) -> list[Token]:
             if not text:
                 continue
         before = out[-1].text if out else ""
+        if client and start > client.end() and (text[:2] == "-p" and len(text) > 2 and not quoted and text[2] not in "-=" or before == "-p" and line[out[-1].end : start] in ("'", '"', *(" ", " '", ' "') * (client[0] == "sshpass"))):
+            at = start + 2 * (text[:2] == "-p" and before != "-p")
+            out.append(Token(line[at : m.end()], at, m.end(), "login", quoted))
+            continue
+        if m.end() in piped:
+            out.append(Token(text, start, m.end(), "login", quoted))
+            continue
         inner = _URL.search(text) if "://" in text else None
         if inner:
             named = _KEYED.match(text[: inner.start()] + "x")
@@ -156,13 +186,17 @@ def tokens(line: str) -> list[Token]:
                 out.append(Token(named[2], start + named.start(2), start + named.end(2), "key"))
             out.append(Token(inner[2], start + inner.start(2), start + inner.end(2), "userinfo", quoted))
             continue
+        if before in ("-u", "--user") and ":" in text.lstrip(":")[:-1]:  # a login, whatever its password begins with
+            user, _, word = text.partition(":")
+            out.append(Token(user, start, start + len(user), "user"))
+            out.append(Token(word, start + len(user) + 1, m.end(), "login", quoted))
+            continue
         key = _KEYED.match(text)
         if key and not text.startswith(("vault:", "env:", "arn:", "data:", "sha")) and "://" not in text[: len(key[2]) + 4]:
             at = start + key.start(2)
             flag = text.startswith("--")
-            out.append(Token(key[2], at, at + len(key[2]), "flag" if flag else "user" if before in ("-u", "--user") and key[4] == ":" else "key"))
-            text, start = key[5], start + key.start(5)
-            slot = "login" if out[-1].slot == "user" else "value"
+            out.append(Token(key[2], at, at + len(key[2]), "flag" if flag else "key"))
+            text, start, slot = key[5], start + key.start(5), "value"
         else:
             slot = "value" if out and line[out[-1].end : start].strip(" \t\"'`(\\") in ("=", ":", ":=", "||=", "+=", "=>") else ""
             bare = text.strip("{}<>*:.=")
@@ -195,7 +229,7 @@ def admissible(t: Token) -> bool:
     if t.slot == "pem":
         return t.text.startswith("-----BEGIN")
     # an address without a password in it, and the rest of one behind a placeholder, hold none
-    if t.slot in ("key", "flag", "user") or t.text[0] in "@:/" or "://" in t.text:
+    if t.slot in ("key", "flag", "user") or (t.text[0] in "@:/" and not scrambled(t.text)) or "://" in t.text:
         return False
     if not _ADMIT.fullmatch(t.text) or _MEMBER.fullmatch(t.text):
         return False
@@ -209,7 +243,7 @@ def expected(toks: list[Token], carried: str = "none") -> list[bool]:
     for i, t in enumerate(toks):
         if t.slot in ("userinfo", "login"):
             out.append(True)
-        elif t.slot in ("key", "flag", "user", "pem") or t.text[0] in "@:/" or "://" in t.text:
+        elif t.slot in ("key", "flag", "user", "pem") or (t.text[0] in "@:/" and not scrambled(t.text)) or "://" in t.text:
             out.append(False)
         elif i == 0:
             out.append(carried == "secret" and t.quoted)
@@ -383,7 +417,7 @@ def _secret_value(r: random.Random) -> str:
     n = r.randint(20, 40)
     return r.choice([
         lambda: _password(r), lambda: _password(r), lambda: _strong(r), lambda: _rand(r, n, _ALNUM), lambda: _rand(r, r.choice([16, 20, 32, 40, 64]), _09 + "abcdef"), lambda: "-".join(_rand(r, 5, _AZ + _09) for _ in range(r.randint(3, 5))),
-        lambda: _rand(r, n, _ALNUM + "+/") + "=" * r.randint(1, 2), lambda: _b64(r, _password(r)), lambda: "-".join(_rand(r, 5, _AZ + _09) for _ in range(2)) + "-" + _rand(r, 2, _AZ), lambda: _rand(r, r.randint(11, 18), _ALNUM),
+        lambda: r.choice(["", "", "/"]) + _rand(r, n, _ALNUM + "+/") + "=" * r.randint(0, 2), lambda: _b64(r, _password(r)), lambda: "-".join(_rand(r, 5, _AZ + _09) for _ in range(2)) + "-" + _rand(r, 2, _AZ), lambda: _rand(r, r.randint(11, 18), _ALNUM),
     ])()
 
 
@@ -481,6 +515,9 @@ def labelled_lines(n: int = TRAIN_LINES, seed: int = 7) -> Iterator[tuple[str, s
             kind = r.choice(["Basic", "Bearer"])
             v = _b64(r, f"{_word(r)}:{_password(r)}") if kind == "Basic" else r.choice([_rand(r, 34, _ALNUM), "eyJ" + _rand(r, 20, _ALNUM) + ".eyJ" + _rand(r, 40, _ALNUM) + "." + _rand(r, 43, _ALNUM + "-_"), _rand(r, 64, _09 + "abcdef"), "-".join(_rand(r, 5, _AZ + _09) for _ in range(5)), _rand(r, 38, _ALNUM + "+/")])
             yield form.format(k=r.choice(["header", "auth_header", "hdr"]), v=f"Authorization: {kind} {v}"), v
+        elif p < 0.59:
+            v = _password(r) if r.random() < 0.8 else _plain_value(r).replace("#", "x").replace("%", "y")
+            yield r.choice(["{c} mysql -h {w}.invalid -u {w} -p'{v}' {w}", "{c} echo {v} | sudo -S {w}", '{c} mysqldump -u{w} -p"{v}" {w} > x.sql', "{c} sshpass -p '{v}' ssh {w}@x.invalid", "{c} echo '{v}' | docker login -u {w} --password-stdin", "{c} mysql -u {w} -p{v}"]).format(c=r.choice(["# run:", "$", "//", ";", "-- run:", ""]), w=_word(r), v=v), v
         elif p < 0.6:
             v = _password(r)
             yield r.choice(["# run: curl -u {w}:{v} https://{w}.invalid/{w}", "$ curl -u {w}:{v} https://{w}.invalid", "// curl -s -u {w}:{v} http://x.invalid"]).format(w=_word(r), v=v), v
@@ -581,6 +618,8 @@ def train(lines: int = TRAIN_LINES, epochs: int = 150, seed: int = 7, l2: float
 _RUNS = re.compile(rf"[^{_SEP}]{{6,}}")
 _OPENS = re.compile(r"[=:(\\>|+]\s*[\"'`]?\s*$")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{8,}")
+#: A line of a private key: encoded bytes within quotes, marks of a comment or of joining; or a header of an encrypted one.
+_KEY_LINE = re.compile(r"""[\s"'`#/*;>|\-.+]*(?:[A-Za-z0-9+/=]{1,}(?:\\[nr])*)+[\s"'`+;,.)\\|]*|\s*(?:Proc-Type|DEK-Info|Comment|Version):.*""")
 #: The same within a line, where the letter of an escaped line break comes before it.
 _INLINE = re.compile(r"(?:(?<=\\)[nr])?([A-Za-z0-9+/=]{8,})")
 #: The rest of a literal that was broken over lines: as one of its own, or within open quotes; and how such a line ends.
@@ -604,7 +643,8 @@ _DIGIT, _CAPITALS = re.compile(r"\d"), re.compile(r"[A-Z]{2}")
 def _may_hold(line: str) -> bool:
     """Whether any token of the line may be offered. An admissible one is a part of a run, so
     none is where the runs are words, numbers, or names joined by marks."""
-    if "-----BEGIN" in line or (_EXPECTS.search(line) and ("=" in line or ":" in line or "--" in line) and any(offered(tokens(line)))):
+    placed = _EXPECTS.search(line) and ("=" in line or ":" in line or "--" in line) or ("-p" in line and _CLIENT.search(line)) or _reads_pipe(line)
+    if "-----BEGIN" in line or (placed and any(offered(tokens(line)))):
         return True
     for run in _RUNS.findall(line):
         if _DIGIT.search(run):
@@ -626,13 +666,14 @@ def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[i
     for no, line in enumerate(content.split("\n"), 1):
         start, at = at, at + len(line) + 1
         if in_pem:  # the body of a private key goes with its first line
-            if "-----END" in line or not _BODY.search(line) or len(line.strip()) > 90:
+            if "-----END" in line:
                 in_pem = False
-                if "-----END" in line or not line.strip():
-                    continue
-            else:
-                out[-1][1].extend((start + m.start(), start + m.end()) for m in _BODY.finditer(line))
+                out[-1][1].extend((start + m.start(1), start + m.end(1)) for m in _INLINE.finditer(line.split("-----END")[0]))
+                continue
+            if not line.strip() or _KEY_LINE.fullmatch(line):
+                out[-1][1].extend((start + m.start(1), start + m.end(1)) for m in _INLINE.finditer(line) if ":" not in line)
                 continue
+            in_pem = False
         if goes_on:  # the rest of a literal that was broken over lines
             m = (_INSIDE if goes_on == "inside" else _NEXT).match(line)
             if m:
