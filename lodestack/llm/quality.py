@@ -1,17 +1,28 @@
 """Text quality statistics of each document, and which texts are no prose.
 
 Statistics: words, mean word length, symbol share, share of lines that end in
-punctuation, share of common words; and of repetition: shares of characters in
-duplicate lines and paragraphs, coverage of the dominant n-grams. From the
-combined rules below each stretch of text is prose or not, and a document with
-less than half of its characters in readable running sentences is no prose.
-
-Lines are read in context: a line that is laid out as a table row, a log
+punctuation, share of common words; the share of characters in running sentences;
+and of repetition: shares of characters in duplicate lines, paragraphs and
+sentences, coverage of the dominant n-grams. A document is no prose by the first
+of these rules that holds, which ``rule`` names:
+
+* ``blank``: nothing but blanks;
+* ``structure``: less than ``PROSE_SHARE`` of its characters lie in running
+  sentences, repeats included (lists, tables, logs, code, junk);
+* ``repeated sentences``, ``repeated lines``, ``repeated paragraphs``: what runs
+  falls under that share once each repeat is taken out;
+* ``repeated words``: from ``REPEAT_WORDS`` words on the dominant 4-gram covers
+  ``REPEAT_SHARE`` of the words' characters, or the dominant 2- or 3-gram more than
+  half, so the text says one thing over and over without a mark between;
+* ``unlike a language``: its symbols outnumber ``MOST_SYMBOLS`` of its characters,
+  its words are longer or shorter than any language's, or less than ``LEAST_COMMON`` of them are common ones.
+
+What runs is found line by line, in context: a line that is laid out as a table row, a log
 entry, a path, a listing, a key with its value or an item without a sentence
 is structure, and the lines between are joined again and cut into sentences,
-so that hard-wrapped text is read whole. A stretch counts if it is readable
+so that hard-wrapped text is read whole. A sentence counts if it is readable
 (few symbols, words that aren't broken by them) and runs (function words of
-one of four languages come often enough). A sentence that repeats counts once.
+one of four languages come often enough).
 
 Each row is one document: the work is per row, nothing is shuffled. Cases:
 null and blank texts have zero words, null means and shares of zero, and are no
@@ -34,16 +45,17 @@ from lodestack.session import spread
 
 PROSE_SHARE = 0.5
 #: From so many words on, a text whose dominant 4-gram covers so much of it only repeats.
-REPEAT_WORDS, REPEAT_SHARE = 40, 0.35
+REPEAT_WORDS, REPEAT_SHARE, REPEAT_PAIR = 40, 0.35, 0.5
+MOST_SYMBOLS, WORD_LENGTHS, LEAST_COMMON = 0.4, (2.0, 12.0), 0.1
 MIN_COMMON = 0.14
 MAX_SYMBOLS = 0.12
 
 #: Frequent function words of English, German, French and Spanish.
 COMMON = {
-    "en": "a about after again all also an and any are as asked at be because been before but by can could did do does each even ever everything far few for from good had has have her him his how i if in into is it its just last later least left like long made make many more most much must my no not nothing now of off on one only or other our out over own people please rest same she should since so some still such than that the their them then there these they this those through time to too twice under until up us very want was way we well were what when where whether which while who whole why will with without would yet you your",
-    "de": "aber alle alles als also am an andere auch auf aus bei beide beim bereits bis da damit dann das dass dem den denken denn der des die dies diese dieser doch dort du durch ein eine einem einen einer eines er erst es etwa fehlte für führte haben hat hatte hängen ich ihr im immer in ist ja jede jeder jetzt kann kein keine können man mehr mit muss müssen nach nicht nichts noch nun nur ob oder offen ohne schon schuld sehr sein seit sich sie sind so sondern steht über um und uns unter vom von vor waren warum was weil wenn werden wieder wie wir wird wo wurde wurden zu zum zur zweite deshalb anders früher langsam entschieden dafür stehen",
-    "fr": "a ai alors au aucun aussi autre aux avant avec avoir avons bien car ce cela ces cet cette chaque comme dans de depuis des deux dont du elle elles en encore entre est et eu faire fait faut il ils je jour la le les leur leurs lorsque lui mais même moins mêler ne ni non nos notre nous on ont ou où par parce pas pendant penser peu peut plus pour pourquoi qu quand que quelle quels qui s sa sait sans se ses si sont sous sur tout toute toutes tous très trop un une vers vous y été étaient était ils cas cause moitié retour posait problèmes choisi lents l d n c j m t",
-    "es": "a al algo ante antes aún aunque bajo bien cada como con cosa cuando de del desde después donde dos el él ella ellas ellos en entre era eran es esa ese eso esta está están estas este esto estos fue fueron ha habían había hacia han hasta hay hemos la las le les lo los más me mientras mitad muy nada ni no nos nosotros nuestro o otra otro otros para pero poco por porque pues que qué quien se según ser si sí siempre sin sobre solo son su sus también tan tanto te tiene todavía toda todas todo todos tras tu un una unas unos van ya y yo decidido mezclar despacio problemas daba volvieron vuelto faltaba unos",
+    "en": "a about after again all also an and any are as at be because been before but by can could did do does each even ever everything far few for from good had has have her him his how i if in into is it its just last later least left like long made make many more most much must my no not nothing now of off on one only or other our out over own same she should since so some still such than that the their them then there these they this those through time to too twice under until up us very want was way we well were what when where whether which while who whole why will with without would yet you your",
+    "de": "aber alle alles als also am an andere auch auf aus bei beide beim bereits bis da damit dann das dass dem den denn der des die dies diese dieser doch dort du durch ein eine einem einen einer eines er erst es etwa für haben hat hatte ich ihr im immer in ist ja jede jeder jetzt kann kein keine können man mehr mit muss müssen nach nicht nichts noch nun nur ob oder offen ohne schon sehr sein seit sich sie sind so sondern steht über um und uns unter vom von vor waren warum was weil wenn werden wieder wie wir wird wo wurde wurden zu zum zur zweite deshalb anders früher dafür",
+    "fr": "a ai alors au aucun aussi autre aux avant avec avoir avons bien car ce cela ces cet cette chaque comme dans de depuis des deux dont du elle elles en encore entre est et eu faire fait faut il ils je jour la le les leur leurs lorsque lui mais même moins ne ni non nos notre nous on ont ou où par parce pas pendant peu peut plus pour pourquoi qu quand que quelle quels qui s sa sans se ses si sont sous sur tout toute toutes tous très trop un une vers vous y été étaient était l d n c j m t",
+    "es": "a al algo ante antes aún aunque bajo bien cada como con cuando de del desde después donde dos el él ella ellas ellos en entre era eran es esa ese eso esta está están estas este esto estos fue fueron ha habían había hacia han hasta hay hemos la las le les lo los más me mientras muy nada ni no nos nosotros nuestro o otra otro otros para pero poco por porque pues que qué quien se según ser si sí siempre sin sobre solo son su sus también tan tanto te tiene todavía toda todas todo todos tras tu un una unas unos van ya y yo",
 }
 _COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
 #: For each word the languages it is common in, as a number in base 4096 with a place per language.
@@ -54,11 +66,12 @@ _TOKEN = re.compile(r"\S+")
 _CODE = re.compile(r"`[^`\n]*`|\b[^\W_]*+_\w+(?:\(\))?|\b[\w\-]++(?:/[\w\-.]+)+|https?://\S+|\b\w++\(\)")
 _ODD = re.compile(r"[^\w\s.,;:!?'’\"“”„«»()¿¡\-–—…%&/]")
 _SYMBOL = re.compile(r"[^\w\s]")
+_ASCII_NO_SYMBOL = {c: None for c in range(128) if chr(c).isalnum() or chr(c).isspace()}
 _BROKEN = re.compile(r"[^\W\d_](?:[^\w\s'’\-./,)(\"“”»«][^\W\d_]|\d)|\d[^\W\d_]")
 #: What any odd or broken place holds.
 _SUSPECT = re.compile(r"[^\w\s.,'’\"“”«»()¿¡\-–—…/;:!?%&]|[;:!?%&“”«»¿¡–—…][^\W\d_]|[^\W\d_]\d|\d[^\W\d_]")
 _UNPLAIN = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ \n.,'’\"()\-/]")
-_END = re.compile(r"""(?<=[.!?…])["'”»)\]]*\s+(?=[^\s])|(?<=[.!?…])$""")
+_END = re.compile(r"""[.!?…]["'”»)\]]*\s+""")
 _STRUCTURE = re.compile(
     r"""(?x)^\s*(?:
       \|.*\|?\s*$ | [+|][-=+|\s]{3,}$ | [-=_~\#.*^+]{3,}\s*$        # rules and frames of tables
@@ -103,9 +116,18 @@ def readable(bare: str) -> bool:
 _EDGES = ".,;:!?…\"'“”„«»()¿¡-–—"
 
 
+_ZEROS = (0,) * 4000
+
+
 def _common(words: list[str]) -> int:
-    """How many are common in the language that has most of them."""
+    """How many are common in the language that has most of them; at least, where those are enough to run."""
     get, total = _PLACES.get, 0
+    if len(words) <= 4000:  # as most words have no mark at their edges, they alone often are enough
+        total = sum(map(get, words, _ZEROS))
+        best = max(total & 4095, (total >> 12) & 4095, (total >> 24) & 4095, total >> 36)
+        if best >= 2 and best >= MIN_COMMON * len(words):
+            return best
+    total = 0
     for w in words:
         n = get(w)
         if n is None and not w.isalpha():
@@ -151,8 +173,12 @@ def sentences(text: str | list[str]) -> list[str]:
 
     def close():
         if part:
-            whole = " ".join(part)
-            out.extend(s for s in _END.split(whole) if s and s.strip())
+            whole, at = " ".join(part), 0
+            for m in _END.finditer(whole):
+                out.append(whole[at : m.start() + 1])
+                at = m.end()
+            if at < len(whole):
+                out.append(whole[at:])
             part.clear()
 
     for line in text.splitlines() if isinstance(text, str) else text:
@@ -176,19 +202,21 @@ def sentences(text: str | list[str]) -> list[str]:
     return out
 
 
-def prose_chars(text: str | list[str]) -> int:
-    """Characters of readable running sentences, a repeated one once."""
-    seen, n = set(), 0
+def prose_chars(text: str | list[str]) -> tuple[int, int]:
+    """Characters of readable running sentences, and those of them that stood before."""
+    seen, n, again = set(), 0, 0
     for s in sentences(text):
         low = s.lower()
         key = " ".join(low.split())
         if key in seen:
+            n += len(s) + 1
+            again += len(s) + 1
             continue
         bare = _bare(low)
         if runs(bare) and readable(bare):
             seen.add(key)
             n += len(s) + 1
-    return n
+    return n, again
 
 
 def _share(part: float, whole: float) -> float:
@@ -248,14 +276,14 @@ def dominant_ngrams(texts: list[list[str]], sizes: tuple[int, ...] = (2, 3, 4))
 
 FIELDS = [
     ("n_chars", "bigint"), ("n_words", "bigint"), ("mean_word_length", "double"), ("symbol_share", "double"), ("ended_line_share", "double"),
-    ("common_word_share", "double"), ("duplicate_line_share", "double"), ("duplicate_paragraph_share", "double"), ("top_2gram_share", "double"),
-    ("top_3gram_share", "double"), ("top_4gram_share", "double"), ("prose_share", "double"), ("is_prose", "boolean"),
+    ("common_word_share", "double"), ("duplicate_line_share", "double"), ("duplicate_paragraph_share", "double"), ("running_share", "double"), ("repeated_sentence_share", "double"),
+    ("top_2gram_share", "double"), ("top_3gram_share", "double"), ("top_4gram_share", "double"), ("rule", "string"), ("is_prose", "boolean"),
 ]
-_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 SCHEMA = "doc_id bigint, " + ", ".join(f"{k} {t}" for k, t in FIELDS)
 
 
-def _measured(text: str | None) -> tuple[tuple, list[str], tuple]:
+def _measured(text: str | None) -> tuple[tuple, list[str]]:
     text = text or ""
     size = len(text)
     if "\r" in text:
@@ -266,24 +294,41 @@ def _measured(text: str | None) -> tuple[tuple, list[str], tuple]:
     lines = [x for x in map(str.strip, raw) if x]
     paragraphs = [x for x in map(str.strip, _PARAGRAPH.split(text)) if x]
     solid = len("".join(text.split()))
-    share = _share(prose_chars(raw), len(text.strip()))
-    first = (
-        size, len(words), chars / len(words) if words else None, _share(len(_SYMBOL.findall(text)) + text.count("_"), solid),
+    symbols = len(text.translate(_ASCII_NO_SYMBOL)) if text.isascii() else len(_SYMBOL.findall(text)) + text.count("_")
+    running, again = prose_chars(raw)
+    whole = len(text.strip())
+    return (
+        size, len(words), chars / len(words) if words else None, _share(symbols, solid),
         _share(sum(x[-1] in ".!?…:;\"'”»)" for x in lines), len(lines)), _share(sum(map(_PLACES.__contains__, words)), len(words)),
-        duplicate_share(lines), duplicate_share(paragraphs),
-    )
-    return first, words, (min(1.0, share), bool(text.strip()) and share >= PROSE_SHARE)
+        duplicate_share(lines), duplicate_share(paragraphs), min(1.0, _share(running, whole)), min(1.0, _share(again, whole)),
+    ), words
+
+
+def rule_of(n_words: int, word_length: float | None, symbols: float, common: float, lines: float, paragraphs: float, running: float, repeated: float, grams: tuple[float, float, float]) -> str | None:
+    """The first rule by which a document with these statistics is no prose."""
+    if word_length is None and not running:
+        return "blank" if not symbols else "structure"
+    if running < PROSE_SHARE:
+        return "structure"
+    for what, share in (("sentences", repeated), ("lines", lines), ("paragraphs", paragraphs)):
+        if running - share < PROSE_SHARE:
+            return f"repeated {what}"
+    if n_words >= REPEAT_WORDS and (grams[2] >= REPEAT_SHARE or max(grams[:2]) >= REPEAT_PAIR):
+        return "repeated words"
+    if symbols > MOST_SYMBOLS or common < LEAST_COMMON or not WORD_LENGTHS[0] <= (word_length or 0) <= WORD_LENGTHS[1]:
+        return "unlike a language"
+    return None
 
 
 def statistics(texts: list[str | None]) -> list[tuple]:
     """The fields of each text."""
     parts = [_measured(t) for t in texts]
-    grams = dominant_ngrams([w for _, w, _ in parts])
+    grams = dominant_ngrams([w for _, w in parts])
     out = []
-    for (first, words, (share, prose)), g in zip(parts, grams):
-        # a sentence over and over without a mark between is found by its n-grams
-        again = len(words) >= REPEAT_WORDS and g[-1] >= REPEAT_SHARE
-        out.append((*first, *map(float, g), share, prose and not again))
+    for (row, _), g in zip(parts, grams):
+        g = tuple(map(float, g))
+        rule = rule_of(row[1], row[2], row[3], row[5], row[6], row[7], row[8], row[9], g)
+        out.append((*row, *g, rule, rule is None))
     return out
 
 

@@ -730,6 +730,20 @@ def test_prose_or_not(text):
     assert Q.statistics([text])[0][-1] is DOCS[text]
 
 
+def test_rules_of_no_prose():
+    other = "They said that the pump had been replaced by one of us, and that it would have to do for now."
+    rule = lambda t: Q.statistics([t])[0][-2]
+    assert rule(" \n ") == "blank" and rule("| a | b |\n" * 9) == "structure" and rule("!!! ???\n") == "structure" and rule(PROSE) is None
+    assert rule(f"{PROSE} {PROSE} {PROSE}") == "repeated sentences"  # counted once it is a third
+    assert rule(f"{PROSE}\n{other}\n{PROSE}") is None
+    line = "and that is what we have for you in this"  # no sentence ends, so lines tell
+    assert rule(f"{line}\n" * 6) == "repeated lines"
+    assert rule("\n\n".join([f"{line}\nof which there is more than one" + " and more" * 3] * 5)) in ("repeated sentences", "repeated lines", "repeated paragraphs")
+    assert rule("so we have that and " * 30) == "repeated words"
+    assert Q.rule_of(9, 4.0, 0.1, 0.5, 0, 0.6, 1.0, 0, (0, 0, 0)) == "repeated paragraphs" and Q.rule_of(9, 4.0, 0.1, 0.05, 0, 0, 1.0, 0, (0, 0, 0)) == "unlike a language"
+    assert Q.rule_of(50, 4.0, 0.1, 0.5, 0, 0, 1.0, 0, (0.55, 0.2, 0.1)) == "repeated words" and Q.rule_of(30, 4.0, 0.1, 0.5, 0, 0, 1.0, 0, (0.55, 0.2, 0.1)) is None
+
+
 def slow_gram(words, n):
     grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
     count = Counter(grams)
@@ -752,7 +766,7 @@ def test_dominant_ngrams(lists):
 @given(st.lists(st.text(max_size=200), max_size=4))
 def test_statistics_take_any_text(some):
     for t, row in zip(some, Q.statistics(some)):
-        assert row[0] == len(t) and 0 <= row[11] <= 1 and (row[2] is None) == (row[1] == 0)
+        assert row[0] == len(t) and 0 <= row[9] <= row[8] <= 1 and (row[2] is None) == (row[1] == 0) and row[-1] == (row[-2] is None)
 
 
 def test_statistics_rows(spark, clash):
