@@ -5,11 +5,13 @@ budget holds all of its documents they are all taken, at most ``max_repeats``
 times; what remains is a fraction, filled by Efraimidis and Spirakis: each
 document draws an exponential key over its quality weight, and the documents
 with the smallest keys are taken while their prefix sum of tokens stays within
-the budget. The weight comes from characters per token: natural language needs few
-tokens, tables, dumps and noise many.
+the budget. The weight is a document's quality: the share of it that is running sentences,
+each counted once, and at least ``LEAST_WEIGHT``.
 
 Scale: no source is sorted in one task, whatever its size. Keys fall into
-``BUCKETS`` ranges a source; their token sums (a table of bounded size) are
+``BUCKETS`` ranges for each doubling; as a key is an exponential number over a weight, a
+range holds at most 0.37 ln 2 / ``BUCKETS`` of a source (0.2 %), whatever the weights are.
+The ranges' token sums (a table of bounded size) are
 accumulated and tell which ranges are taken whole and in which one the budget
 ends; only that range is ordered, in a window of its own. What the last document
 that didn't fit leaves over goes to the one that fills it best. The random number of
@@ -26,15 +28,20 @@ asks for nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import tokens as T
+from lodestack.llm.quality import prose_weight
 from lodestack.operators.columns import pick
-from lodestack.session import written
+from lodestack.session import spread, written
 
 SIZE_SHARE = 0.5
-BUCKETS = 1024
+BUCKETS = 128
+LEAST_WEIGHT = 0.05
 SEED = 20
 
 
@@ -42,13 +49,26 @@ def source_name(c):
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_")
 
 
+def sized(documents: DataFrame, vocabulary: str = T.VOCABULARY) -> DataFrame:
+    """doc_id, source, tokens, weight of every row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b.drop(columns="text")
+            out["tokens"] = [T.count(t, vocabulary) for t in b["text"]]
+            out["weight"] = [prose_weight(t) for t in b["text"]]
+            yield out
+
+    rows = pick(documents, "doc_id", "source", "text").select(F.col("doc_id").cast("bigint"), "source", "text")
+    return spread(rows).mapInPandas(run, "doc_id bigint, source string, tokens bigint, weight double")
+
+
 def keyed(sizes: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, source, tokens, key: exponential of rate ``weight``."""
     unit = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    weight = F.least(F.greatest((F.col("chars") / F.col("tokens") - 1) / 3.5, F.lit(0.05)), F.lit(1.0))
     return (
         sizes.where(F.col("source").isNotNull() & (F.col("tokens") > 0))
-        .withColumn("weight", weight)
+        .withColumn("weight", F.greatest("weight", F.lit(LEAST_WEIGHT)))
         .select("doc_id", source_name(F.col("source")).alias("source"), "tokens", "weight", (-F.log(unit) / F.col("weight")).alias("key"))
     )
 
@@ -73,8 +93,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float, seed: int = SEED, bu
     """doc_id, source, tokens, n_uses: how often each chosen document is used."""
     docs = keyed(sizes, seed)
     plan = F.broadcast(budgets(docs, targets, total))  # a row per target
-    # equal ranges of the distribution of an exponential of the mean weight's rate
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1))
+    bucket = F.floor(F.log2("key") * buckets)
     mine = docs.join(plan.select("source", "epochs", "fraction"), "source").withColumn("bucket", bucket)
     sums = mine.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,7 +131,7 @@ class Mixture:
     """``rows``: the mix; ``report``: shares asked for and reached."""
 
     def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, size_share: float = SIZE_SHARE, seed: int = SEED, vocabulary: str = T.VOCABULARY):
-        sizes = written(T.sizes(documents, "source", path=vocabulary).dropDuplicates(["doc_id"]), "sizes")
+        sizes = written(sized(documents, vocabulary).dropDuplicates(["doc_id"]), "sizes")
         if total_tokens is None:
             total_tokens = size_share * (sizes.agg(F.sum("tokens")).first()[0] or 0)
         self.rows = mix(sizes, targets, total_tokens, seed)

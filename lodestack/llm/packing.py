@@ -2,17 +2,19 @@
 
 A solution is a list of containers, not of items, so what crossover passes on
 is whole containers: some well-filled ones of one parent are injected in the
-other, containers that share an item with them are taken apart, and the items
-displaced go by best fit to where they leave least room. The fitness is the
-mean squared fill.
+other, and containers that share an item with them are taken apart. The items
+displaced first replace one in a container whose room they, alone or in pairs, use better
+(what they replace is displaced in turn, and is smaller); the rest goes by best fit to where it leaves
+least room. The fitness is the mean squared fill. An epoch ends early where no solution can be better.
 
 Scale: items are dealt by hash into instances of about ``INSTANCE`` items; an
 instance is one row of arrays. Each is worked on by ``ISLANDS`` populations in
 tasks of their own, and after every epoch the elite of an island migrates to
 the next one (a join of bounded rows). The best island's containers stay if
 they are filled to ``GOOD``; the items of the others are dealt into new, far
-fewer instances, until one instance holds them all. No instance depends on the
-number of documents, and nothing is collected.
+fewer instances, until one instance holds them all, or until a level makes them no
+fewer by a fifth (items of more than half a container, say, have no partner). No instance
+depends on the number of documents, and nothing is collected.
 
 A text larger than the container is divided: full pieces fill a container each
 and the rest is an item. Cases: null and empty texts have no tokens and lie in
@@ -24,7 +26,7 @@ a repeated doc_id is packed as often as it comes.
 from __future__ import annotations
 
 import random
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,9 +37,13 @@ from lodestack.llm import tokens as T
 from lodestack.operators.columns import pick
 from lodestack.session import written
 
-INSTANCE, ISLANDS, EPOCHS, POPULATION, CHILDREN = 400, 2, 2, 4, 6
-GOOD = 0.98
-MAX_LEVELS = 12
+INSTANCE, ISLANDS, EPOCHS, POPULATION, CHILDREN = 400, 2, 2, 4, 10
+#: A container that stays; and what the others hold, on average, where an epoch can end.
+GOOD, FULL = 0.98, 0.999
+#: A further level has to make the loose items fewer by so much.
+FEWER = 0.8
+#: Rows of an instance and island that one task works on, at most about.
+TASK_INSTANCES = 256
 
 Bins = list[list[int]]
 
@@ -61,6 +67,46 @@ def fitness(bins: Bins, size: list[int], capacity: int) -> float:
     return sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins) / len(bins) if bins else 1.0
 
 
+def least_bins(size: list[int], capacity: int) -> int:
+    """No solution has fewer containers."""
+    return max(-(-sum(size) // capacity), sum(2 * x > capacity for x in size), int(bool(size)))
+
+
+def replaced(displaced: list[int], size: list[int], capacity: int, bins: Bins) -> list[int]:
+    """Let displaced items take the place of one item of a container where they, alone or two of them,
+    fill it better; what is displaced then. Containers are changed in place."""
+    loose = sorted(displaced, key=lambda i: (size[i], i))
+    for b in bins:
+        room = capacity - sum(size[i] for i in b)
+        if not room or not loose:
+            continue
+        sizes, best = [size[i] for i in loose], (0, None, None)
+        for at, i in enumerate(b):
+            goal = size[i] + room
+            k = bisect_right(sizes, goal) - 1
+            if k >= 0 and sizes[k] - size[i] > best[0]:
+                best = (sizes[k] - size[i], at, (k,))
+            if best[0] == room:
+                break
+            lo, hi = 0, len(sizes) - 1
+            while lo < hi:  # the two that come nearest to the goal
+                both = sizes[lo] + sizes[hi]
+                if both > goal:
+                    hi -= 1
+                else:
+                    if both - size[i] > best[0]:
+                        best = (both - size[i], at, (lo, hi))
+                    lo += 1
+        gain, at, gifts = best
+        if gain:
+            out = b[at]
+            b[at : at + 1] = [loose[k] for k in gifts]
+            for k in sorted(gifts, reverse=True):
+                del loose[k]
+            insort(loose, out, key=lambda i: (size[i], i))
+    return loose
+
+
 def crossover(one: Bins, two: Bins, size: list[int], capacity: int, r: random.Random) -> Bins:
     """Some well-filled containers of ``two`` injected whole in ``one``."""
     ranked = sorted(two, key=lambda b: -sum(size[i] for i in b))
@@ -77,20 +123,32 @@ def crossover(one: Bins, two: Bins, size: list[int], capacity: int, r: random.Ra
     if len(kept) > 1:
         worst = min(range(len(kept)), key=lambda k: sum(size[i] for i in kept[k]))
         displaced.extend(kept.pop(worst))
+    bins = [list(b) for b in gift] + kept
+    displaced = replaced(displaced, size, capacity, bins)
     displaced.sort(key=lambda i: (-size[i], i))
-    return best_fit(displaced, size, capacity, [list(b) for b in gift] + kept)
+    return best_fit(displaced, size, capacity, bins)
 
 
 def evolve(size: list[int], capacity: int, seeds: list[Bins], population: int, children: int, seed: int) -> Bins:
     """One epoch of one island; ``seeds`` are its elite and the one that migrated."""
     r = random.Random(seed)
+    least = least_bins(size, capacity)
+
+    def perfect(bins: Bins) -> bool:
+        """As few as can be, and nearly all that is left over is in one of them."""
+        return len(bins) == least and sum(size) - min((sum(size[i] for i in b) for b in bins), default=0) >= FULL * (least - 1) * capacity
+
     down = sorted(range(len(size)), key=lambda i: (-size[i], i))
     people = [s for s in seeds if s]
     while len(people) < population:
         order = down if not people else sorted(down, key=lambda i: -size[i] * r.uniform(0.8, 1.0))
         people.append(best_fit(order, size, capacity, []))
+        if perfect(people[-1]):
+            return max(people, key=lambda p: fitness(p, size, capacity))
     scored = sorted(((fitness(p, size, capacity), n, p) for n, p in enumerate(people)), key=lambda x: (-x[0], x[1]))
     for c in range(children):
+        if perfect(scored[0][2]):
+            break
         a, b = r.sample(scored[: max(2, population - 1)], 2) if len(scored) > 1 else (scored[0], scored[0])
         child = crossover(a[2], b[2], size, capacity, r)
         scored.append((fitness(child, size, capacity), population + c, child))
@@ -146,8 +204,10 @@ def items(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     return cut.select("container", "capacity", "doc_id", F.col("k").cast("int").alias("piece_no"), F.least(F.col("capacity"), F.col("total") - (F.col("k") - 1) * F.col("capacity")).alias("tokens"))
 
 
-def _solve(loose: DataFrame, level: int, size: int, islands: int, epochs: int, population: int, children: int) -> DataFrame:
+def _solve(loose: DataFrame, level: int, n_loose: int, size: int, islands: int, epochs: int, population: int, children: int) -> DataFrame:
     """The best solution of each instance, one row per item with its container's fill."""
+    # few small rows, much work each: without a number they would be put together in a few tasks
+    parts = max(2 * loose.sparkSession.sparkContext.defaultParallelism, -(-n_loose * islands // size // TASK_INSTANCES))
     counts = loose.groupBy("container").agg(F.count("*").alias("n"))
     # the row's place tells copies of one id apart, which would else all meet in one instance;
     # it is the same for a task that runs again, as what is read here lies written
@@ -166,7 +226,7 @@ def _solve(loose: DataFrame, level: int, size: int, islands: int, epochs: int, p
             state = state.join(moved, ["container", "instance", "island"])
         else:
             state = state.withColumn("migrant", F.lit(None).cast("array<int>"))
-        state = written(state.repartition("container", "instance", "island").mapInPandas(_epoch(e, population, children), STATE), "islands")
+        state = written(state.repartition(parts, "container", "instance", "island").mapInPandas(_epoch(e, population, children), STATE), "islands")
     best = state.groupBy("container", "capacity", "instance").agg(F.max_by(F.struct("ids", "pieces", "sizes", "elite"), F.struct("score", -F.col("island"))).alias("b"))
     flat = best.select("container", "capacity", "instance", F.inline(F.arrays_zip(F.col("b.ids").alias("doc_id"), F.col("b.pieces").alias("piece_no"), F.col("b.sizes").alias("tokens"), F.col("b.elite").alias("k"))))
     bins = flat.groupBy("container", "instance", "k").agg(F.sum("tokens").alias("filled"))
@@ -182,16 +242,15 @@ def pack(sizes: DataFrame, containers: DataFrame, instance: int = INSTANCE, isla
     full = F.col("tokens") == F.col("capacity")
     done = [loose.where(full).select("container", F.concat_ws("-", F.lit("full"), F.monotonically_increasing_id()).alias("bin"), "doc_id", "piece_no", "tokens")]
     loose = loose.where(~full)
-    for level in range(MAX_LEVELS):
-        solved = written(_solve(loose, level, instance, islands, epochs, population, children), "packed")
-        n = {r["container"]: (r["n"], r["low"]) for r in solved.groupBy("container").agg(F.count("*").alias("n"), F.sum(F.when(F.col("filled") < good * F.col("capacity"), 1).otherwise(0)).alias("low")).collect()}
-        # a kind whose loose items no longer get fewer, or fit one instance, is finished
-        ends = [c for c, (total, low) in n.items() if total <= instance or low > 0.8 * total or low == 0 or level == MAX_LEVELS - 1]
+    level, before = 0, {r["container"]: r["n"] for r in loose.groupBy("container").agg(F.count("*").alias("n")).collect()}
+    while before:
+        solved = written(_solve(loose, level, sum(before.values()), instance, islands, epochs, population, children), "packed")
+        low = {r["container"]: r["low"] for r in solved.groupBy("container").agg(F.sum(F.when(F.col("filled") < good * F.col("capacity"), 1).otherwise(0)).alias("low")).collect()}
+        ends = [c for c, n in before.items() if n <= instance or low[c] > FEWER * n or low[c] == 0]
         over = F.col("container").isin(ends) | (F.col("filled") >= good * F.col("capacity"))
         done.append(solved.where(over).select(*OUT))
-        if len(ends) == len(n):
-            break
         loose = solved.where(~over).select("container", "capacity", "doc_id", "piece_no", "tokens")
+        level, before = level + 1, {c: low[c] for c in before if c not in ends}
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

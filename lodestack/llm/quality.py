@@ -219,6 +219,12 @@ def prose_chars(text: str | list[str]) -> tuple[int, int]:
     return n, again
 
 
+def prose_weight(text: str | None) -> float:
+    """The share of a text that is running sentences, each counted once."""
+    running, again = prose_chars(text or "")
+    return min(1.0, _share(running - again, len((text or "").strip())))
+
+
 def _share(part: float, whole: float) -> float:
     return part / whole if whole else 0.0
 

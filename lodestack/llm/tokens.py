@@ -34,16 +34,12 @@ def count(text: str | None, path: str = VOCABULARY) -> int:
     return len(encoding(path).encode_ordinary(text)) if text else 0
 
 
-def sizes(documents: DataFrame, *keep: str, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, the columns in ``keep``, tokens and chars; one row per row."""
+def sizes(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """doc_id and tokens; one row per row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = b.drop(columns="text")
-            out["tokens"] = [count(t, path) for t in b["text"]]
-            out["chars"] = [len(t) if t else 0 for t in b["text"]]
-            yield out
-
-    rows = pick(documents, "doc_id", *keep, "text").select(F.col("doc_id").cast("bigint"), *keep, "text")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return spread(rows).mapInPandas(run, schema + ", tokens bigint, chars bigint")
+            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [count(t, path) for t in b["text"]]})
+
+    rows = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")
+    return spread(rows).mapInPandas(run, "doc_id bigint, tokens bigint")
