@@ -4,12 +4,15 @@ A reference is (table, field, record, key, time). Its key is looked up among
 the targets of its kind; what comes out is one row per distinct record, field
 and key whose target is missing, deleted or came only later.
 
-Scale: references are first counted per key and period (map-side combine). The
-``HEAVY_KEYS`` most used keys, a fixed number, are resolved apart: their state
+Scale: references are combined to one row each, written once, and counted per key and period.
+The ``HEAVY_KEYS`` most used keys, a fixed number, are resolved apart: their state
 is a table of at most that many rows, broadcast to their references, so that a
 key which holds a third of all references never meets in one task. The other
 keys go through shuffle joins, which AQE may split further. Both parts are
 united. Targets are combined to one row per key before they are shuffled.
+Counts of orphans come from the keys' periods alone: a period with its number of
+references and their first and last time tells how many are deleted, missing or late;
+only of periods in which the target came are the references themselves compared.
 
 Cases: null keys and empty paths are no references; a key that is no UUID is
 compared as written; a reference without a readable time has the month
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.columns import pick
+from lodestack.session import written
 
 HEAVY_KEYS = 256
 DAY_US = 86_400_000_000
@@ -42,7 +46,9 @@ def canonical_id(c: Column) -> Column:
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zone-less UTC timestamp, whatever the session's zone."""
-    return F.unix_micros(F.concat(ts.cast("string"), F.lit("Z")).try_cast("timestamp"))
+    since = ts.cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda name: F.extract(F.lit(name), since)
+    return part("DAY").cast("bigint") * DAY_US + part("HOUR").cast("bigint") * 3_600_000_000 + part("MINUTE").cast("bigint") * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
 
 
 def iso_micros(text: Column) -> Column:
@@ -149,49 +155,68 @@ def targets(entities: DataFrame, chunks: DataFrame, removals: DataFrame, file_ev
     )
 
 
-def key_periods(refs: DataFrame) -> DataFrame:
-    """How often each key is referred to in each month."""
-    return refs.groupBy("kind", "key", month_of(F.col("ref_us")).alias("ref_month")).agg(F.count("*").alias("n"))
-
-
-def heavy_keys(refs: DataFrame, most: int = HEAVY_KEYS) -> DataFrame:
-    """The ``most`` most used keys (kind, key): a number of rows that doesn't grow with the data."""
-    return (
-        key_periods(refs).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "kind", "key").limit(most).select("kind", "key")
-    )
+FIELDS = ["ref_table", "ref_field", "kind", "key"]
 
 
-def _state(refs: DataFrame) -> DataFrame:
-    there = F.coalesce(F.col("there"), F.lit(False))
-    late = there & (F.col("there_us") > F.col("ref_us"))
-    state = (
-        F.when(~there & F.coalesce(F.col("removed"), F.lit(False)), "deleted").when(~there, "missing").when(late, "late")
-    )
-    return refs.withColumn("ref_state", state).where(F.col("ref_state").isNotNull()).select(
-        "ref_table", "ref_field", "record_id", "ref_key", "ref_state", month_of(F.col("ref_us")).alias("ref_month")
-    )
+def key_periods(refs: DataFrame) -> DataFrame:
+    """How often each key is referred to in each month, by field, and the first and last time."""
+    return refs.groupBy(*FIELDS, month_of(F.col("ref_us")).alias("ref_month")).agg(F.count("*").alias("n"), F.min("ref_us").alias("first_us"), F.max("ref_us").alias("last_us"))
 
 
-def orphan_references(
-    relations: DataFrame,
-    entities: DataFrame,
-    chunks: DataFrame,
-    removals: DataFrame,
-    file_events: DataFrame,
-    most_heavy: int = HEAVY_KEYS,
-) -> DataFrame:
+def heavy_keys(periods: DataFrame, most: int = HEAVY_KEYS) -> DataFrame:
+    """The ``most`` most used keys (kind, key): a number of rows that doesn't grow with the data."""
+    return periods.groupBy("kind", "key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "key").limit(most).select("kind", "key")
+
+
+def _with_targets(rows: DataFrame, heavy: DataFrame, goals: DataFrame) -> DataFrame:
+    """``rows`` with the state of their key's target: heavy keys by broadcast, the others by shuffle."""
+    heavy = F.broadcast(heavy)
+    # at most as many rows as there are heavy keys, whatever the size of the tables
+    hot = rows.join(F.broadcast(heavy.join(goals, ["kind", "key"], "left")), ["kind", "key"])
+    rest = rows.join(heavy, ["kind", "key"], "left_anti").join(goals, ["kind", "key"], "left")
+    return hot.unionByName(rest.select(*hot.columns)).withColumns({"there": F.coalesce("there", F.lit(False)), "removed": F.coalesce("removed", F.lit(False))})
+
+
+class References:
+    """All references of a workspace, combined and written once."""
+
+    def __init__(self, relations: DataFrame, entities: DataFrame, chunks: DataFrame, removals: DataFrame, file_events: DataFrame, most_heavy: int = HEAVY_KEYS):
+        self.refs = written(references(relations, entities), "references")
+        self.periods = key_periods(self.refs)
+        self.heavy = written(heavy_keys(self.periods, most_heavy), "heavy-keys")
+        self.goals = targets(entities, chunks, removals, file_events)
+
+    def orphans(self) -> DataFrame:
+        """One row per distinct record, field and key whose target is missing, deleted or late."""
+        rows = _with_targets(self.refs, self.heavy, self.goals)
+        late = F.col("there") & (F.col("there_us") > F.col("ref_us"))
+        state = F.when(~F.col("there"), F.when(F.col("removed"), "deleted").otherwise("missing")).when(late, "late")
+        # a file's key holds its project too, which the result doesn't
+        return (
+            rows.withColumn("ref_state", state).where(F.col("ref_state").isNotNull())
+            .select("ref_table", "ref_field", "record_id", "ref_key", "ref_state", month_of(F.col("ref_us")).alias("ref_month")).distinct()
+        )
+
+    def counts(self) -> DataFrame:
+        """Orphans per table, field, month and state, from the keys' periods."""
+        rows = _with_targets(self.periods, self.heavy, self.goals)
+        clear = F.when(~F.col("there"), F.when(F.col("removed"), "deleted").otherwise("missing")).when(F.col("there_us") > F.col("last_us"), "late")
+        out = ["ref_table", "ref_field", "ref_month", "ref_state", "n"]
+        told = rows.withColumn("ref_state", clear).where(F.col("ref_state").isNotNull()).select(*out)
+        # the target came within the period: its references are looked at one by one
+        within = rows.where(F.col("there") & (F.col("there_us") > F.col("first_us")) & (F.col("there_us") <= F.col("last_us"))).select(*FIELDS, "ref_month", "there_us")
+        late = (
+            self.refs.withColumn("ref_month", month_of(F.col("ref_us"))).join(within, [*FIELDS, "ref_month"]).where(F.col("there_us") > F.col("ref_us"))
+            .groupBy("ref_table", "ref_field", "ref_month").agg(F.count("*").alias("n")).withColumn("ref_state", F.lit("late")).select(*out)
+        )
+        return told.unionByName(late).groupBy(*out[:-1]).agg(F.sum("n").alias("n_references"))
+
+
+def orphan_references(relations: DataFrame, entities: DataFrame, chunks: DataFrame, removals: DataFrame, file_events: DataFrame, most_heavy: int = HEAVY_KEYS) -> DataFrame:
     """One row per distinct record, field and key whose target is missing, deleted or late."""
-    refs = references(relations, entities)
-    goals = targets(entities, chunks, removals, file_events)
-    heavy = F.broadcast(heavy_keys(refs, most_heavy))
-    # at most most_heavy rows, whatever the size of the tables
-    heavy_goals = F.broadcast(heavy.join(goals, ["kind", "key"], "left"))
-    hot = refs.join(heavy_goals, ["kind", "key"])
-    rest = refs.join(heavy, ["kind", "key"], "left_anti").join(goals, ["kind", "key"], "left")
-    return _state(hot).unionByName(_state(rest)).distinct()
+    return References(relations, entities, chunks, removals, file_events, most_heavy).orphans()
 
 
-def orphan_counts(orphans: DataFrame) -> DataFrame:
+def orphan_counts(relations: DataFrame, entities: DataFrame, chunks: DataFrame, removals: DataFrame, file_events: DataFrame, most_heavy: int = HEAVY_KEYS) -> DataFrame:
     """Orphans per table, field, month and state."""
-    return orphans.groupBy("ref_table", "ref_field", "ref_month", "ref_state").agg(F.count("*").alias("n_references"))
+    return References(relations, entities, chunks, removals, file_events, most_heavy).counts()

@@ -9,13 +9,16 @@ from lodestack.plans.bindings import canon_sql as _canon
 from lodestack.session import table
 
 
+def _references(spark: SparkSession, d: str) -> R.References:
+    return R.References(*(table(spark, d, n) for n in ("relations", "entities", "chunks", "removals", "file_events")))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    t = lambda n: table(spark, d, n)
-    return R.orphan_references(t("relations"), t("entities"), t("chunks"), t("removals"), t("file_events"))
+    return _references(spark, d).orphans()
 
 
 def p1_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
-    return R.orphan_counts(p1_found(spark, d))
+    return _references(spark, d).counts()
 
 
 _TIME = """CASE WHEN regexp_matches(x, '(Z|[+-][0-9]{2}:[0-9]{2})$') THEN try_cast(x AS TIMESTAMPTZ)

@@ -1,5 +1,9 @@
+import random
+from collections import Counter
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from lodestack import schemas as S
 from lodestack.operators import references as R
 
@@ -87,8 +91,24 @@ def test_empty_tables_and_clashing_columns(spark, clash):
     assert run(spark, rel, [entity(B)], wrap=wrap) == run(spark, rel, [entity(B)])
 
 
-def test_counts_add_up(spark):
-    rel = [relation(f"r{i}", C, B) for i in range(5)]
-    f = lambda rows, schema: spark.createDataFrame([tuple(r[c.name] for c in schema) for r in rows], schema)
-    out = R.orphan_references(f(rel, S.RELATIONS), f([entity(B)], S.ENTITIES), f([], S.CHUNKS), spark.createDataFrame([], REMOVED), spark.createDataFrame([], S.FILE_EVENTS))
-    assert [tuple(r) for r in R.orphan_counts(out).collect()] == [("relations", "source_id", "2025-03", "missing", 5)]
+def test_counts_of_periods_equal_counted_rows(spark):
+    """Also where a target came in the middle of a month in which it was referred to."""
+    r = random.Random(3)
+    there = [entity(f"e{i}", created_at=day(r.randint(1, 28))) for i in range(12)]
+    rel = [relation(f"r{i}", f"e{r.randrange(16)}", f"e{r.randrange(16)}", r.choice([None, "{}", f'{{"extracted_at": "2025-0{r.randint(2, 4)}-{r.randint(10, 28)}T0{r.randint(0, 9)}:00:00Z"}}'])) for i in range(300)]
+    f = lambda rows, schema: spark.createDataFrame([tuple(x[c.name] for c in schema) for x in rows], schema)
+    gone = spark.createDataFrame([("entities", "e14", day(3))], REMOVED)
+    for heavy in (1, 256):
+        refs = R.References(f(rel, S.RELATIONS), f(there, S.ENTITIES), f([], S.CHUNKS), gone, spark.createDataFrame([], S.FILE_EVENTS), heavy)
+        want = Counter((x[0], x[1], x[5], x[4]) for x in refs.orphans().collect())
+        assert {tuple(x)[:4]: x[4] for x in refs.counts().collect()} == want and {k[3] for k in want} == {"late", "missing", "deleted"}
+
+
+def test_times_don_t_depend_on_the_session(spark):
+    df = spark.createDataFrame([(datetime(2025, 3, 30, 2, 30, 1, 5),), (datetime(1969, 12, 31, 23, 59, 59, 999999),), (None,)], "t timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # where this hour doesn't exist
+        assert [x[0] for x in df.select(R.micros(F.col("t"))).collect()] == [1743301801000005, -1, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
