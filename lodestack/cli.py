@@ -52,7 +52,7 @@ def parser() -> argparse.ArgumentParser:
     add("context", "what is known about a task", "project", "workspace").add_argument("task")
     g = sub.add_parser("graph", help="entities and their edges").add_subparsers(dest="what", required=True)
     for name, text in (("show", "an entity and its edges"), ("deps", "what it depends on"), ("dependents", "what depends on it")):
-        add(name, text, into=g).add_argument("name")
+        add(name, text, "project", into=g).add_argument("name")
     c = add("observe", "note something", "project")
     c.add_argument("text")
     c.add_argument("--type", "-t", default="fact")
@@ -65,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(w, a: argparse.Namespace, say=print) -> int:
     """Carry out one command on a workspace; the exit code."""
+    from lodestack.operators import graph, review
     from lodestack.operators.context import markdown
 
     def out(data) -> int:
@@ -113,14 +114,21 @@ def run(w, a: argparse.Namespace, say=print) -> int:
         say(markdown(w.context(a.task, scope), a.task))
         return 0
     if a.command == "graph":
-        found = w.graph(a.name, a.what != "dependents", a.what != "deps")
+        found = w.graph(a.name, a.what != "dependents", a.what != "deps", project)
         if found is None:
             say(f"no entity {a.name}")
             return 1
-        return out(found)
+        if a.json:
+            return out(found)
+        say(graph.text(found, graph.SHOWN_EVIDENCE if a.what == "show" else graph.LISTED_EVIDENCE))
+        return 0
     if a.command == "observe":
         return out({"id": w.observe(a.text, a.type, a.source, project, a.tags, a.confidence)})
-    return out(w.review(project))
+    found = w.review(project)
+    if a.json:
+        return out(found)
+    say(review.markdown(found))
+    return 0
 
 
 def main(argv: list[str] | None = None) -> int:

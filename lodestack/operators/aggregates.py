@@ -21,11 +21,15 @@ def count_by(df: DataFrame, column: str, label: str = "(none)") -> DataFrame:
     return df.groupBy(none_label(F.col(column), label).alias(column)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
+def export_rows(chunks: DataFrame, project: str | None = None, prefix: str | None = None) -> DataFrame:
+    """The chunks an export pages through."""
+    df = chunks.where(F.col("project") == project) if project else chunks
+    return df.where(like_prefix(F.col("source_file"), prefix)) if prefix else df
+
+
 def export_page(chunks: DataFrame, limit: int = 200, offset: int = 0, project: str | None = None, prefix: str | None = None) -> DataFrame:
     """A page of chunks in the order of file and line, unknown lines last."""
-    df = chunks.where(F.col("project") == project) if project else chunks
-    if prefix:
-        df = df.where(like_prefix(F.col("source_file"), prefix))
+    df = export_rows(chunks, project, prefix)
     return df.orderBy(F.asc_nulls_last("source_file"), F.asc_nulls_last("line_start"), "id").offset(offset).limit(limit)
 
 

@@ -3,7 +3,7 @@
 ``windows`` is the fixed form, in built-in functions only: windows of ``size``
 characters, a new one every ``size - overlap``. ``chunk_files`` is the form for
 whole files: code is packed by blocks that a blank line or a dedent ends,
-prose by sentences, both to ``size`` characters; the splitters are
+prose by sentences that overlap, both to ``size`` characters; the splitters are
 approximations of syntax- and token-based ones and keep only their invariants
 (order, limit, no blank chunk, line numbers that are true).
 """
@@ -41,18 +41,27 @@ def _blocks(text: str, language: str | None) -> list[str]:
 
 
 def chunk_text(text: str, language: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    out, current = [], ""
+    """Pieces of at most ``size`` characters. Of prose each begins with the last sentences of the one
+    before, as many as ``overlap`` holds; code isn't repeated but where a block has no boundary."""
+    blocks = []
     for block in _blocks(text, language):
         while len(block) > size:  # no boundary within the limit: fixed windows
-            if current.strip():
-                out.append(current)
-            out.append(block[:size])
-            current, block = "", block[size - overlap :]
-        if len(current) + len(block) > size:
-            out.append(current)
-            current = ""
-        current += block
-    out.append(current)
+            blocks.append((block[:size], False))
+            block = block[size - overlap :]
+        blocks.append((block, True))
+    out, current, again = [], [], language not in CODE_LANGUAGES
+    for block, whole in blocks:
+        if current and (sum(map(len, current)) + len(block) > size or not whole):
+            out.append("".join(current))
+            tail = []
+            while again and whole and current and sum(map(len, tail)) + len(current[-1]) <= min(overlap, size - len(block)):
+                tail.insert(0, current.pop())
+            current = tail
+        current.append(block)
+        if not whole:
+            out.append(block)
+            current = []
+    out.append("".join(current))
     return [c for c in out if c.strip()]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,15 +55,36 @@ def bundle_rows(c: Context) -> DataFrame:
     return out
 
 
+def entity_rows(c: Context) -> list[dict]:
+    """The entities with their connections, all of them; for reports."""
+    of: dict[str, list[dict]] = {}
+    for r in c.connections.orderBy("entity_id", "direction", "relation_type", "other_name", "relation_id").collect():
+        of.setdefault(r["entity_id"], []).append({"direction": r["direction"], "entity": r["other_name"], "entity_type": r["other_type"], "relation": r["relation_type"], "evidence": r["evidence"]})
+    fields = ["id", "name", "entity_type", "description", "project", "source_file"]
+    return [{**{k: r[k] for k in fields}, "connections": of.get(r["id"], [])} for r in c.entities.select(*fields).orderBy("name", "id").collect()]
+
+
+def _place(r) -> str:
+    return f"{r['source_file']}:{r['line_start']}-{r['line_end']}" if r["line_start"] and r["line_end"] else f"{r['source_file']}"
+
+
 def markdown(c: Context, title: str) -> str:
-    """The bundle for reading; every section is bounded by its limit but entities, of which 200 are shown."""
-    out = [f"# Context: {title}"]
-    for name, df, line in (
-        ("Chunks", c.chunks, lambda r: f"- {r['source_file']} ({r['score']:.2f})"),
-        ("Entities", c.entities.orderBy("name", "id").limit(200), lambda r: f"- {r['name']} [{r['entity_type']}]"),
-        ("Connections", c.connections.orderBy("entity_id", "direction", "relation_id").limit(200), lambda r: f"- {r['direction']} {r['relation_type']} {r['other_name']}"),
-        ("Observations", c.observations, lambda r: f"- [{r['obs_type']}] {r['content'][:200]}"),
-    ):
-        rows = [line(r) for r in df.collect()]
-        out += ["", f"## {name}", *(rows or ["(none)"])]
-    return "\n".join(out)
+    """The whole bundle for reading."""
+    out = [f"# Context: {title}", "", "## Chunks"]
+    chunks = c.chunks.collect()
+    for r in chunks:
+        # a fence longer than any in the text
+        fence = "`" * max(3, 1 + max(map(len, re.findall("`+", r["content"] or "")), default=0))
+        out += ["", f"### {_place(r)}{' (' + r['language'] + ')' if r['language'] else ''}, similarity {r['score']:.2%}", "", f"{fence}{r['language'] or ''}", r["content"] or "", fence]
+    out += [] if chunks else ["", "(no chunk matches)"]
+    out += ["", "## Entities"]
+    entities = entity_rows(c)
+    for e in entities:
+        out += ["", f"- **{e['name']}** ({e['entity_type']}){': ' + e['description'] if e['description'] else ''}"]
+        out += [f"  - {x['direction']} {x['entity']} ({x['relation']})" for x in e["connections"]]
+    out += [] if entities else ["", "(no entity of these files is known)"]
+    if c.projects is not None:
+        out += ["", "## Projects", "", *(f"- {r['project']}: {r['n']}" for r in c.projects.collect())]
+    out += ["", "## Observations", ""]
+    notes = [f"- [{r['obs_type']}] {r['content']} (confidence {r['confidence'] or 0:.0%}, similarity {r['score']:.2%}{', from ' + r['source'] if r['source'] else ''})" for r in c.observations.collect()]
+    return "\n".join([*out, *(notes or ["(no observation matches)"])])

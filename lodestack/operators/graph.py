@@ -10,13 +10,14 @@ class AmbiguousEntity(ValueError):
     """Several entities have the name asked for."""
 
 
-def find_entities(entities: DataFrame, name: str) -> DataFrame:
-    return entities.where(F.lower("name") == name.lower())
+def find_entities(entities: DataFrame, name: str, project: str | None = None) -> DataFrame:
+    named = entities.where(F.lower("name") == name.lower())
+    return named.where(F.col("project") == project) if project else named
 
 
-def find_entity(entities: DataFrame, name: str):
-    """The entity of a name whatever its case, None if there is none."""
-    found = find_entities(entities, name).limit(2).collect()
+def find_entity(entities: DataFrame, name: str, project: str | None = None):
+    """The entity of a name whatever its case, of a project if one is given; None if there is none."""
+    found = find_entities(entities, name, project).limit(2).collect()
     if len(found) > 1:
         raise AmbiguousEntity(name)
     return found[0] if found else None
@@ -36,10 +37,12 @@ def incoming(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def connections(chosen: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edges of the chosen entities in both directions; a self-loop shows twice."""
+    """Edges of the chosen entities in both directions; a self-loop shows twice. Relations are cut down
+    to those first, and joined with the entities at their other ends once."""
     ids = chosen.select(F.col("id").alias("entity_id")).distinct()
-    both = outgoing(relations, entities).withColumn("direction", F.lit("-->")).unionByName(incoming(relations, entities).withColumn("direction", F.lit("<--")))
-    return both.join(ids, "entity_id", "left_semi")
+    way = lambda mark, mine, other: F.struct(F.lit(mark).alias("direction"), F.col(mine).alias("entity_id"), F.col(other).alias("other_id"))
+    ends = relations.select(F.col("id").alias("relation_id"), "relation_type", "weight", "evidence", F.inline(F.array(way("-->", "source_id", "target_id"), way("<--", "target_id", "source_id"))))
+    return ends.join(ids, "entity_id", "left_semi").join(_ends(entities), "other_id")
 
 
 def endpoints(relations: DataFrame) -> DataFrame:
@@ -112,3 +115,17 @@ def degree_ranked(entities: DataFrame, relations: DataFrame, most: int) -> DataF
     return entities.join(ends, "id").orderBy(F.desc("degree"), "id").limit(most)
 
 
+
+
+SHOWN_EVIDENCE, LISTED_EVIDENCE = 120, 80
+
+
+def text(found: dict, evidence: int = SHOWN_EVIDENCE) -> str:
+    """An entity and its edges (as ``Workspace.graph`` gives them) for reading, evidence cut to so many characters."""
+    e = found["entity"]
+    out = [f"{e['name']} ({e['entity_type']})", *([e["description"]] if e["description"] else [])]
+    for way, mark in (("outgoing", "-->"), ("incoming", "<--")):
+        for x in found.get(way, []):
+            out.append(f"  {mark} {x['relation_type']} {x['other_name']} ({x['other_type']})")
+            out += [f"      {x['evidence'][:evidence]}"] if x["evidence"] else []
+    return "\n".join(out if len(out) > 1 or any(found.get(w) for w in ("outgoing", "incoming")) else [*out, "  (no edges)"])

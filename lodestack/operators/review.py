@@ -69,3 +69,22 @@ def findings(chunks: DataFrame, entities: DataFrame, relations: DataFrame, obs:
 
 def summary(found: DataFrame) -> DataFrame:
     return found.agg(F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("severity") == "suggestion").alias("suggestions"), F.count_if(F.col("severity") == "info").alias("infos"))
+
+
+_SIGNS = {"warning": "!", "suggestion": "~", "info": "-"}
+_SAYS = {
+    "no_decisions": "No decision is noted", "no_warnings": "No warning is noted", "low_confidence": "{n} observations are held with little confidence", "staleness": "{n} observations are older than ninety days",
+    "orphans": "{n} entities have no relation ({percent:.0f} %)", "no_description": "{n} entities have no description ({percent:.0f} %)", "coverage_gap": "Project {project} has {n} chunks and no entity",
+}
+
+
+def markdown(data: dict) -> str:
+    """A review (as ``Workspace.review`` gives it) for reading: counts, then findings by category."""
+    out = ["# Review", "", f"- entities: {data['n_entities']}", f"- chunks: {data['n_chunks']}"]
+    if data["entity_chunk_ratio"] is not None:
+        out.append(f"- entities for each chunk: {data['entity_chunk_ratio']}")
+    out += [f"- observations, {k}: {n}" for k, n in sorted(data["observations"].items())]
+    for category in dict.fromkeys(f["category"] for f in data["findings"]):
+        out += ["", f"## {category.replace('_', ' ').capitalize()}", ""]
+        out += [f"[{_SIGNS[f['severity']]}] {_SAYS[category].format(**{**f, 'percent': f['percent'] or 0})}" for f in data["findings"] if f["category"] == category]
+    return "\n".join(out if data["findings"] else [*out, "", "(nothing to mend)"])

@@ -2,20 +2,31 @@
 
 Parquet has no update; a change is a frame that joins the old snapshot with
 what changes it (anti-joins and unions, so a change of a million files is one
-pass), written to a new version and made current by replacing a small pointer
-file. A reader holds the version it started with, and nothing is overwritten
-while it is read.
+pass), written beside it. A version is a small numbered file that lists the
+folders of its rows; it is written whole under another name and then renamed to its
+number, which fails if another writer was first. A change is made anew on that
+one's version then, so no writer's change is lost, and a reader always finds a
+whole version: it holds the one it started with, and nothing is overwritten.
+New rows alone (``append``) add a folder and rewrite nothing.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.schemas import TABLES
 
+ATTEMPTS = 20
+
+
+class Conflict(RuntimeError):
+    """Other writers were first again and again."""
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -24,45 +35,84 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, table: str):
-        return self._path(f"{self.root}/{table}/CURRENT")
-
-    def version(self, table: str) -> str | None:
-        at = self._pointer(table)
+    def _versions(self, table: str) -> list[int]:
+        at = self._path(f"{self.root}/{table}/_versions")
         if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _folders(self, table: str, number: int) -> list[str]:
+        stream = self._fs.open(self._path(f"{self.root}/{table}/_versions/{number:012d}"))
         try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def version(self, table: str) -> int | None:
+        numbers = self._versions(table)
+        return numbers[-1] if numbers else None
+
+    def _claim(self, table: str, number: int, folders: list[str]) -> bool:
+        """Make a version of this number, unless there is one."""
+        target = self._path(f"{self.root}/{table}/_versions/{number:012d}")
+        fresh = self._path(f"{self.root}/{table}/_versions/new-{uuid.uuid4().hex}")
+        out = self._fs.create(fresh, True)
+        out.write(bytearray(json.dumps(folders), "utf-8"))
+        out.close()
+        done = not self._fs.exists(target) and self._fs.rename(fresh, target)
+        if not done:
+            self._fs.delete(fresh, False)
+        return done
+
     def create(self) -> None:
         """Make the tables that aren't there; twice is once."""
         for name, schema in TABLES.items():
             if self.version(name) is None:
-                self.write(name, self.spark.createDataFrame([], schema))
+                self._claim(name, 1, [self._put(name, self.spark.createDataFrame([], schema))])
+
+    def _at(self, table: str, number: int) -> DataFrame:
+        return self.spark.read.schema(TABLES[table]).parquet(*(f"{self.root}/{table}/{f}" for f in self._folders(table, number)))
 
     def read(self, table: str) -> DataFrame:
-        v = self.version(table)
-        if v is None:
+        number = self.version(table)
+        if number is None:
             raise LookupError(f"no table {table} in {self.root}")
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{v}")
-
-    def write(self, table: str, df: DataFrame) -> str:
-        """A new version; the pointer moves once it is whole."""
-        v = f"v-{uuid.uuid4().hex}"
-        names = [f.name for f in TABLES[table]]
-        df.select(*names).write.parquet(f"{self.root}/{table}/{v}")
-        fresh = self._path(f"{self.root}/{table}/CURRENT.{v}")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(v, "utf-8"))
-        out.close()
-        at = self._pointer(table)
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        self._fs.rename(fresh, at)
-        return v
+        return self._at(table, number)
+
+    def _put(self, table: str, df: DataFrame) -> str:
+        folder = f"v-{uuid.uuid4().hex}"
+        df.select(*(f.name for f in TABLES[table])).write.parquet(f"{self.root}/{table}/{folder}")
+        return folder
+
+    def update(self, table: str, change: Callable[[DataFrame], DataFrame]) -> int:
+        """The version after ``change``, which gets the table as it is; it may be called again."""
+        for _ in range(ATTEMPTS):
+            number = self.version(table)
+            if number is None:
+                raise LookupError(f"no table {table} in {self.root}")
+            if self._claim(table, number + 1, [self._put(table, change(self._at(table, number)))]):
+                return number + 1
+        raise Conflict(table)
+
+    def write(self, table: str, df: DataFrame) -> int:
+        """All rows replaced by those of ``df``, whatever they are now."""
+        folder = self._put(table, df)
+        for _ in range(ATTEMPTS):
+            if self._claim(table, number := (self.version(table) or 0) + 1, [folder]):
+                return number
+        raise Conflict(table)
+
+    def append(self, table: str, df: DataFrame) -> int:
+        """Rows added, none rewritten."""
+        folder = self._put(table, df)
+        for _ in range(ATTEMPTS):
+            number = self.version(table)
+            if number is None:
+                raise LookupError(f"no table {table} in {self.root}")
+            if self._claim(table, number + 1, [*self._folders(table, number), folder]):
+                return number + 1
+        raise Conflict(table)
 
     def missing(self) -> list[str]:
         return [t for t in TABLES if self.version(t) is None]

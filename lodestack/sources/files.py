@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import is_indexable
+from lodestack.functions.text import EXTRA_SUFFIXES, LANGUAGES, is_indexable
 from lodestack.sources.ignore import Ignore, read_rules, rerooted
 
 IGNORE_FILES = (".gitignore", ".lodestackignore")
@@ -28,11 +29,21 @@ def gather_rules(root: str, base: list[str] | None = None) -> list[str]:
     return rules
 
 
-def read_files(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
-    """source_file (relative to the root, or to its folder if it is a file), text; undecodable bytes become U+FFFD."""
+def wanted(paths: list[str], rules: list[str] | None = None) -> list[str]:
+    """Those of some paths below a root that a walk of it would index: of a known suffix, and not ignored."""
+    ignored, known = Ignore(rules or None), {*LANGUAGES, *EXTRA_SUFFIXES}
+    return [p for p in paths if os.path.splitext(p)[1].lower() in known and not ignored(p)]
+
+
+def read_files(spark: SparkSession, root: str, rules: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
+    """source_file (relative to the root, or to its folder if it is a file), text; undecodable bytes become U+FFFD.
+    With ``paths`` only those below the root are opened."""
     single = os.path.isfile(root)
     base = os.path.dirname(root) if single else root
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    load = [root] if paths is None else [os.path.join(root, p) for p in paths]
+    # a path is taken as it is, not as a pattern of names
+    load = [re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in load]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(load)
     start = len(os.path.abspath(base).rstrip("/")) + 2
     local = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "%20", " ")
     files = raw.select(F.substr(local, F.lit(start)).alias("source_file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))

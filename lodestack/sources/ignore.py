@@ -14,15 +14,13 @@ def read_rules(text: str) -> list[str]:
 
 
 def rerooted(pattern: str, folder: str) -> str:
-    """A rule of a folder's own file as one of the root: ``/x`` and ``a/b`` start in
-    the folder, a bare name matches anywhere below it."""
+    """A rule of a folder's own file as one of the root. A slash at the start or within ties
+    it to that folder; one at the end only says that it means folders."""
     if folder in ("", "."):
         return pattern
-    mark = "!" if pattern.startswith("!") else ""
-    body = pattern[len(mark) :]
-    if body.startswith("/"):
-        return f"{mark}{folder}{body}"
-    return f"{mark}{folder}/{body}" if "/" in body else f"{mark}{folder}/**/{body}"
+    back, body = pattern[:1] == "!", pattern.removeprefix("!")
+    tied = "/" in body.rstrip("/")
+    return "!" * back + "/".join([folder, *([] if tied else ["**"]), body.lstrip("/")])
 
 
 def compiled(pattern: str) -> tuple[re.Pattern[str], bool]:
@@ -53,6 +51,8 @@ def compiled(pattern: str) -> tuple[re.Pattern[str], bool]:
 
 
 class Ignore:
+    """Whether a path is ignored: the last rule that matches it says so."""
+
     def __init__(self, rules: list[str] | None = None):
         self.rules = [compiled(r) for r in (rules if rules else DEFAULT)]
 

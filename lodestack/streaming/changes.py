@@ -2,7 +2,9 @@
 handler that keeps the chunks of a store in step.
 
 A file stream tracks paths, not versions, and never reports deletes; so the
-source lists the folder for each offset and emits what differs.
+source lists the folder and emits what differs. Listings are kept as files in
+the watch's checkpoint; an offset is the number of one, however many files there are. What
+a walk would not index (ignored paths, other kinds of files) makes no event.
 """
 
 from __future__ import annotations
@@ -16,19 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from lodestack.sources.files import gather_rules, wanted
+
 EVENT = "path string, action string, ts timestamp, seq bigint"
 
 
-def listing(root: str) -> dict[str, list[int]]:
-    out = {}
-    for folder, _, names in os.walk(root):
-        for n in names:
-            at = os.path.join(folder, n)
+def listing(root: str, rules: list[str] | None = None) -> dict[str, list[int]]:
+    """Time and size of each file that is to be indexed."""
+    all_rules, out = gather_rules(root, rules), {}
+    for folder, dirs, names in os.walk(root):
+        here = os.path.relpath(folder, root)
+        dirs[:] = [d for d in dirs if d != ".git"]
+        for p in wanted([os.path.normpath(os.path.join(here, n)) for n in names], all_rules):
             try:
-                s = os.stat(at)
+                s = os.stat(os.path.join(root, p))
             except OSError:
                 continue
-            out[os.path.relpath(at, root)] = [s.st_mtime_ns, s.st_size]
+            out[p] = [s.st_mtime_ns, s.st_size]
     return out
 
 
@@ -39,30 +45,50 @@ def difference(old: dict[str, list[int]], new: dict[str, list[int]]) -> list[tup
 
 
 class _Reader(SimpleDataSourceStreamReader):
-    def __init__(self, root: str):
-        self.root = root
+    """Runs on the driver; ``state`` is a folder of the checkpoint."""
+
+    def __init__(self, root: str, state: str, rules: list[str]):
+        self.root, self.state, self.rules = root, state, rules
+
+    def _file(self, n: int) -> str:
+        return os.path.join(self.state, f"{n}.json")
+
+    def _load(self, n: int) -> dict[str, list[int]]:
+        if not n:
+            return {}
+        with open(self._file(n), encoding="utf-8") as f:
+            return json.load(f)
 
     def initialOffset(self) -> dict:
-        return {"n": 0, "files": "{}"}
+        return {"listing": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        old, new = json.loads(start["files"]), listing(self.root)
-        found = difference(old, new)
-        now, n = datetime.now(timezone.utc).replace(tzinfo=None), int(start["n"])
-        rows = [(p, a, now, n + i) for i, (p, a) in enumerate(found)]
-        return iter(rows), {"n": n + len(rows), "files": json.dumps(new, sort_keys=True)}
+        n = int(start["listing"])
+        new = listing(self.root, self.rules)
+        if not difference(self._load(n), new):
+            return iter([]), start
+        os.makedirs(self.state, exist_ok=True)
+        fresh = f"{self._file(n + 1)}.new"
+        with open(fresh, "w", encoding="utf-8") as f:
+            json.dump(new, f)
+        os.replace(fresh, self._file(n + 1))
+        end = {"listing": n + 1}
+        return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        found = difference(json.loads(start["files"]), json.loads(end["files"]))
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        return iter([(p, a, now, int(start["n"]) + i) for i, (p, a) in enumerate(found)])
+        a, b = int(start["listing"]), int(end["listing"])
+        found, now = difference(self._load(a), self._load(b)), datetime.now(timezone.utc).replace(tzinfo=None)
+        return iter([(p, action, now, (b << 32) + i) for i, (p, action) in enumerate(found)])
 
     def commit(self, end: dict) -> None:
-        return
+        for name in os.listdir(self.state) if os.path.isdir(self.state) else []:
+            if name.endswith(".json") and int(name[:-5]) < int(end["listing"]):
+                os.remove(os.path.join(self.state, name))
 
 
 class FolderChanges(DataSource):
-    """``spark.dataSource.register(FolderChanges)``, then ``readStream.format("folder_changes").load(root)``."""
+    """``spark.dataSource.register(FolderChanges)``, then ``readStream.format("folder_changes")`` with the
+    options ``state`` (a folder to keep listings in) and ``rules`` (JSON), ``.load(root)``."""
 
     @classmethod
     def name(cls) -> str:
@@ -72,9 +98,7 @@ class FolderChanges(DataSource):
         return EVENT
 
     def simpleStreamReader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
-
-
+        return _Reader(self.options["path"], self.options["state"], json.loads(self.options.get("rules", "[]")))
 
 
 def debounced(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -111,24 +135,24 @@ class Activity:
         self.recent = [*self.recent, (path, action)][-self.most :]
 
 
-def watch(spark, root: str, store, checkpoint: str, project: str | None = None, interval: str = "1 second"):
-    """A streaming query that re-indexes what changes under ``root`` in the store's chunks.
+def watch(indexer, root: str, checkpoint: str, project: str | None = None, interval: str = "500 milliseconds"):
+    """A streaming query that re-indexes what changes under ``root`` in the indexer's store.
 
     A batch is the unit of debounce: of each path the last action counts. It is
     idempotent, as it replaces whole files by what is on disk now."""
-    from lodestack.operators.ingest import ingest_paths
-
+    spark = indexer.spark
     spark.dataSource.register(FolderChanges)
     seen = Activity()
 
     def handle(batch: DataFrame, _: int) -> None:
         rows = last_actions(batch).select("path", "action").collect()  # paths of one interval
         if rows:
-            ingest_paths(spark, store, root, [r["path"] for r in rows], project)
+            indexer.ingest_paths(root, [r["path"] for r in rows], project)
             for r in rows:
                 seen.add(r["path"], r["action"])
 
-    q = spark.readStream.format("folder_changes").load(root).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    source = spark.readStream.format("folder_changes").option("state", os.path.join(checkpoint, "listings")).option("rules", json.dumps(indexer.rules or []))
+    q = source.load(root).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     q = q.trigger(processingTime=interval).start()
     q.activity = seen
     return q

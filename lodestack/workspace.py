@@ -11,6 +11,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ from lodestack.functions.embed import Embedder, hashing_embedder
 from lodestack.operators import aggregates as A
 from lodestack.operators import context as C
 from lodestack.operators import graph, review, search
-from lodestack.operators import ingest as I
-from lodestack.operators.store import Store
+from lodestack.operators.ingest import Indexer
+from lodestack.operators.store import Store, invalidate, patch_observations
+from lodestack.session import discard, written
 from lodestack.sources import config as settings
 from lodestack.sources import git
 from lodestack.sources.files import read_extraction
@@ -48,11 +50,28 @@ def rows(df: DataFrame, limit: int | None = None) -> list[dict]:
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, config: dict | None = None, embedder: Embedder = hashing_embedder, clock: Callable[[], datetime] = utc_now):
-        self.spark, self.config, self.embedder, self.clock = spark, config or settings.load(), embedder, clock
+    def __init__(self, spark: SparkSession, config: dict | None = None, embedder: Embedder | None = None, clock: Callable[[], datetime] = utc_now, make: Callable[[], Embedder] | None = None):
+        """``make`` loads the model of vectors, here for questions and in each Python worker for files; or ``embedder``
+        is one. Where neither is given, words are hashed to as many dimensions as are configured."""
+        self.spark, self.config, self.clock = spark, config or settings.load(), clock
+        dimensions = int(self.config["embedding"]["dimensions"])
+        self._make = make or ((lambda: embedder) if embedder else (lambda: partial(hashing_embedder, dimensions=dimensions)))
+        self._loaded: Embedder | None = embedder
         root = self.config["store"]["root"]
         self.store = Store(spark, root if "://" in root else f"file://{os.path.abspath(root)}")
 
+    @property
+    def embedder(self) -> Embedder:
+        """Loaded when first asked."""
+        if self._loaded is None:
+            self._loaded = self._make()
+        return self._loaded
+
+    @property
+    def indexer(self) -> Indexer:
+        cut = self.config["chunking"]
+        return Indexer(self.spark, self.store, self._make, self.config["workspace"]["ignore"], int(cut["size"]), int(cut["overlap"]))
+
     # --- setup
 
     def init(self) -> list[str]:
@@ -89,64 +108,62 @@ class Workspace:
     def ingest(self, root: str, project: str | None = None, prune_first: bool = False) -> Iterator[dict]:
         """Events of the work, the last with the counts."""
         self.store.create()
+        if not os.path.exists(root):
+            yield {"event": "error", "message": f"no such path: {root}"}
+            raise FileNotFoundError(root)
         if prune_first:
-            gone = I.prune(self.spark, self.store, root, project)
-            yield {"event": "prune", "status": "done", "files": gone}
-        yield {"event": "chunking", "status": "start", "path": root}
+            yield {"event": "prune", "status": "done", **self.indexer.prune(root, project)}
         try:
-            n = I.ingest(self.spark, self.store, root, project, self.config["workspace"]["ignore"])
+            yield from self.indexer.ingest(root, project)
         except Exception as e:
             yield {"event": "error", "message": str(e)[:500]}
             raise
-        yield {"event": "complete", **n}
 
     def ingest_commit(self, root: str, project: str | None = None, base: str = "HEAD~1") -> dict:
-        """Re-index what the last commit changed and note the commit; nothing changed, nothing noted."""
+        """Re-index what the last commit changed and note the commit; nothing to index changed, nothing noted."""
         self.store.create()
         paths = [r["source_file"] for r in git.changed_paths(self.spark, root, base).collect()]
-        if not paths:
-            return {"indexed": 0, "deleted": 0}
-        n = I.ingest_paths(self.spark, self.store, root, paths, project)
-        self._add_observation(git.commit_observation(git.commit_info(root), paths, project))
-        return {"indexed": n, "deleted": len(paths) - n}
+        n = self.indexer.ingest_paths(root, paths, project)
+        if n["indexed"] or n["deleted"]:
+            self._add_observation(git.commit_observation(git.commit_info(root), paths, project))
+        return n
 
     def prune(self, root: str, project: str | None = None, dry_run: bool = False) -> dict:
-        out = {"files": I.prune(self.spark, self.store, root, project, dry_run)}
-        return {**out, "dry_run": True} if dry_run else out
+        return self.indexer.prune(root, project, dry_run)
 
     def watch(self, root: str, checkpoint: str, project: str | None = None):
         from lodestack.streaming.changes import watch
 
         self.store.create()
-        return watch(self.spark, root, self.store, checkpoint, project)
+        return watch(self.indexer, root, checkpoint, project)
 
     # --- extraction
 
     def export(self, project: str | None = None, unextracted: bool = False, path: str | None = None, limit: int = 200, offset: int = 0) -> dict:
         t = self._tables()
         chunks = A.unextracted(t["chunks"], t["entities"], project) if unextracted else t["chunks"]
-        matching = A.export_page(chunks, 2**31 - 1, 0, project, path).select("id")
+        total = A.export_rows(chunks, project, path).count()
         page = A.export_page(chunks, limit, offset, project, path).drop("embedding").collect()
         files: dict[str, dict] = {}
         for r in page:
-            f = files.setdefault(r["source_file"] or "(unknown)", {"file": r["source_file"] or "(unknown)", "language": r["language"] or "", "chunks": []})
-            f["chunks"].append({k: plain(r[k]) for k in ("id", "content", "line_start", "line_end", "chunk_type")})
-        out = {"total": matching.count(), "offset": offset, "limit": limit, "count": len(page), "files_count": len(files), "files": list(files.values())}
+            f = files.setdefault(r["source_file"] or "(unknown)", {"source_file": r["source_file"], "language": r["language"] or "", "chunks": []})
+            f["chunks"].append({"chunk_id": r["id"], **{k: r[k] for k in ("content", "line_start", "line_end")}})
+        out = {"total": total, "offset": offset, "limit": limit, "count": len(page), "files_count": len(files), "files": list(files.values())}
         return {**out, "filter": "unextracted"} if unextracted else out
 
     def import_extraction(self, path: str, project: str | None = None) -> dict:
         self.store.create()
         ent, rel = read_extraction(self.spark, path)
         batch = ent.withColumn("project", F.lit(project).cast("string"))
-        old = self.store.read("entities")
-        before = old.count()
-        self.store.write("entities", graph.upsert_entities(old, batch, F.lit(self.clock()).cast("timestamp_ntz")))
+        before = self.store.read("entities").count()
+        self.store.update("entities", lambda old: graph.upsert_entities(old, batch, F.lit(self.clock()).cast("timestamp_ntz")))
         now = self.store.read("entities")
-        new = graph.resolve_relations(rel, now, project).withColumns({"id": F.expr("uuid()"), "metadata": F.lit(None).cast("string")})
-        kept = self.store.read("relations")
-        n = kept.count()
-        self.store.write("relations", kept.unionByName(new.select(*kept.columns)))
-        return {"entities": now.count() - before, "relations": self.store.read("relations").count() - n}
+        # written, so that ids drawn and rows counted are those stored
+        new = written(graph.resolve_relations(rel, now, project).withColumns({"id": F.expr("uuid()"), "metadata": F.lit(None).cast("string")}), "relations")
+        n = new.count()
+        self.store.append("relations", new)
+        discard(new)
+        return {"entities": now.count() - before, "relations": n}
 
     # --- questions
 
@@ -177,13 +194,13 @@ class Workspace:
 
     def context_data(self, task: str, project: Scope = None) -> dict:
         c = self.context(task, project)
-        out = {"query": task, "chunks": rows(c.chunks), "entities": rows(c.entities.drop("properties")), "connections": rows(c.connections), "observations": rows(c.observations)}
+        out = {"query": task, "chunks": rows(c.chunks), "entities": C.entity_rows(c), "observations": rows(c.observations)}
         return {**out, "projects": rows(c.projects)} if c.projects is not None else out
 
-    def graph(self, name: str, outgoing: bool = True, incoming: bool = True) -> dict | None:
-        """An entity and its edges, one hop; None if there is none, an error if there are several."""
+    def graph(self, name: str, outgoing: bool = True, incoming: bool = True, project: str | None = None) -> dict | None:
+        """An entity, of a project if one is given, and its edges, one hop; None if there is none, an error if there are several."""
         t = self._tables()
-        e = graph.find_entity(t["entities"], name)
+        e = graph.find_entity(t["entities"], name, project)
         if e is None:
             return None
         mine = F.col("entity_id") == e["id"]
@@ -199,7 +216,7 @@ class Workspace:
     def _add_observation(self, o: dict) -> str:
         o = {"id": str(uuid.uuid4()), "embedding": self.embedder(o["content"]), "valid_from": self.clock(), "valid_until": None, "metadata": None, **o}
         new = self.spark.createDataFrame([tuple(o[f.name] for f in S.OBSERVATIONS)], S.OBSERVATIONS)
-        self.store.write("observations", self.store.read("observations").unionByName(new))
+        self.store.append("observations", new)
         return o["id"]
 
     def observe(self, content: str, obs_type: str = "fact", source: str | None = None, project: str | None = None, tags: str | None = None, confidence: float = 1.0) -> str:
@@ -207,6 +224,32 @@ class Workspace:
         parts = [t.strip() for t in tags.split(",")] if tags else None
         return self._add_observation({"content": content, "obs_type": obs_type, "source": source, "project": project, "tags": parts, "confidence": confidence})
 
+    def list_observations(self, limit: int = 50, offset: int = 0, project: str | None = None, obs_type: str | None = None) -> list[dict]:
+        """Newest first, expired ones too."""
+        return rows(search.list_observations(self.store.read("observations"), limit, offset, project, obs_type).drop("embedding"))
+
+    def _observation(self, key: str) -> dict | None:
+        found = rows(self.store.read("observations").where(F.col("id") == key).drop("embedding"), 1)
+        return found[0] if found else None
+
+    def update_observation(self, key: str, content: str | None = None, obs_type: str | None = None, project: str | None = None, confidence: float | None = None) -> dict | None:
+        """The observation after the change of what is given, None if there is none; a new content gets its vector."""
+        if self._observation(key) is None:
+            return None
+        patch = self.spark.createDataFrame([(key, content, obs_type, project, confidence)], "id string, content string, obs_type string, project string, confidence double")
+        vector = F.lit(self.embedder(content)).cast("array<float>") if content is not None else F.col("embedding")
+        mine = F.when(F.col("id") == key, vector).otherwise(F.col("embedding"))
+        self.store.update("observations", lambda old: patch_observations(old, patch).withColumn("embedding", mine))
+        return self._observation(key)
+
+    def invalidate_observation(self, key: str) -> dict | None:
+        """The observation, which ends now; None if there is none."""
+        if self._observation(key) is None:
+            return None
+        gone = self.spark.createDataFrame([(key,)], "id string")
+        self.store.update("observations", lambda old: invalidate(old, gone, F.lit(self.clock()).cast("timestamp_ntz")))
+        return self._observation(key)
+
     def review(self, project: str | None = None) -> dict:
         t = self._tables(project)
         everything = self._tables()

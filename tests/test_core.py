@@ -8,7 +8,7 @@ from lodestack import schemas as S
 from lodestack.functions import text as X
 from lodestack.functions.embed import hashing_embedder
 from lodestack.operators import chunking, graph, review, search, store
-from lodestack.operators.ingest import ingest, ingest_paths, prune
+from lodestack.operators.ingest import Indexer
 from lodestack.sources import config, git
 from lodestack.sources.files import read_extraction
 from lodestack.sources.ignore import Ignore, rerooted, should_ignore
@@ -119,7 +119,7 @@ def test_ignore_rules():
     assert should_ignore(".git/config", [".git"]) and should_ignore("a/node_modules/x.js", ["node_modules"]) and not should_ignore("src/main.py", [".git"])
     ig = Ignore(["*.log", "!keep.log", "/top", "a/**/z", "dir/"])
     assert ig("x/y.log") and not ig("x/keep.log") and ig("top/f") and not ig("x/top") and ig("a/b/c/z") and ig("dir/f") and not ig("dir2/f")
-    assert rerooted("/x", "d") == "d/x" and rerooted("x", "d") == "d/**/x" and rerooted("!a/b", "d") == "!d/a/b" and rerooted("x", ".") == "x"
+    assert rerooted("/x", "d") == "d/x" and rerooted("x", "d") == "d/**/x" and rerooted("!a/b", "d") == "!d/a/b" and rerooted("x", ".") == "x" and rerooted("x/", "d") == "d/**/x/" and rerooted("!/a/", "d") == "!d/a/"
 
 
 def test_config_order(tmp_path):
@@ -150,15 +150,16 @@ def test_ingest_prune_and_reindex(spark, tmp_path):
     s = store.Store(spark, f"file://{at}")
     s.create()
     s.create()
-    assert ingest(spark, s, str(root), "p") == {"chunks": 2, "files": 2}
-    assert ingest(spark, s, str(root), "p") == {"chunks": 2, "files": 2}  # replaced, not added
+    index = Indexer(spark, s)
+    assert list(index.ingest(str(root), "p"))[-1] == {"event": "complete", "chunks": 2, "files": 2}
+    assert list(index.ingest(str(root), "p"))[-1] == {"event": "complete", "chunks": 2, "files": 2} and s.read("chunks").count() == 2  # replaced, not added
     rows = {r["source_file"]: r for r in s.read("chunks").collect()}
     assert rows["a.py"]["language"] == "python" and "�" in rows["b.md"]["content"] and len(rows["a.py"]["embedding"]) == 64
     (root / "a.py").write_text("")
-    ingest_paths(spark, s, str(root), ["a.py"], "p")
+    assert index.ingest_paths(str(root), ["a.py", "c.bin", "node_modules/x.js"], "p") == {"indexed": 1, "deleted": 0}
     assert [r["source_file"] for r in s.read("chunks").collect()] == ["b.md"]
     os.remove(root / "b.md")
-    assert prune(spark, s, str(root), "q", dry_run=True) == [] and prune(spark, s, str(root), "p") == ["b.md"] and s.read("chunks").count() == 0
+    assert index.prune(str(root), "q", dry_run=True)["stale_files"] == [] and index.prune(str(root), "p") == {"stale_files": ["b.md"], "chunks_deleted": 1, "entities_marked_stale": 0} and s.read("chunks").count() == 0
     assert s.missing() == []
 
 
@@ -174,17 +175,57 @@ def test_folder_stream_sees_modify_and_delete(spark, tmp_path):
     (root / "a.py").write_text("x = 1\n")
     s = store.Store(spark, f"file://{tmp_path}/s")
     s.create()
-    q = changes.watch(spark, str(root), s, str(tmp_path / "cp"), "p", "200 milliseconds")
+    (root / ".gitignore").write_text("b_*.py\n")
+    q = changes.watch(Indexer(spark, s), str(root), str(tmp_path / "cp"), "p", "200 milliseconds")
     try:
         q.processAllAvailable()
         assert [r["source_file"] for r in s.read("chunks").collect()] == ["a.py"]
         (root / "b.py").write_text("y = 2\n")
+        (root / "b_ignored.py").write_text("y = 2\n")
+        (root / "b.bin").write_text("y = 2\n")
         os.remove(root / "a.py")
         q.processAllAvailable()
         assert [r["source_file"] for r in s.read("chunks").collect()] == ["b.py"]
     finally:
         q.stop()
-    assert q.activity.counts["delete"] == 1
+    assert q.activity.counts == {"create": 2, "delete": 1}
+    offsets = [f.read_text() for f in (tmp_path / "cp" / "offsets").iterdir() if f.name.isdigit()]
+    assert offsets and all(len(x) < 1000 and "a.py" not in x for x in offsets) and len(list((tmp_path / "cp" / "listings").iterdir())) <= 2
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    s, other = store.Store(spark, f"file://{tmp_path}/s"), store.Store(spark, f"file://{tmp_path}/s")
+    s.create()
+    row = lambda i: spark.createDataFrame([(i, "c", None, "fact", None, None, None, 1.0, datetime(2025, 1, 1), None, None)], S.OBSERVATIONS)
+    held, calls = s.read("observations"), []
+
+    def change(old):
+        if not calls:  # another one is first, between this one's read and its write
+            other.append("observations", row("b"))
+        calls.append(1)
+        return old.unionByName(row("a"))
+
+    assert s.update("observations", change) == 3 and len(calls) == 2
+    assert sorted(r["id"] for r in s.read("observations").collect()) == ["a", "b"] and held.count() == 0
+    folders = set((tmp_path / "s" / "observations").glob("v-*"))
+    s.append("observations", row("c"))
+    (new,) = set((tmp_path / "s" / "observations").glob("v-*")) - folders  # nothing is rewritten
+    assert s.read("observations").count() == 3 and spark.read.parquet(str(new)).count() == 1
+    with pytest.raises(LookupError):
+        store.Store(spark, f"file://{tmp_path}/nowhere").read("chunks")
+
+
+def test_chunks_of_prose_overlap_by_sentences():
+    text = " ".join(f"Sentence number {i} says something about the pump." for i in range(100))
+    parts = chunking.chunk_text(text, "markdown", 400, 120)
+    assert all(len(p) <= 400 for p in parts)
+    for a, b in zip(parts, parts[1:]):
+        both = next(n for n in range(120, 0, -1) if a.endswith(b[:n]))
+        assert both > 40 and b.lstrip().startswith("Sentence")
+    rows = chunking.located(text, parts)
+    assert all(r[1] == 1 for r in rows) and "".join(p[next((n for n in range(120, 0, -1) if a.endswith(p[:n])), 0) :] for a, p in zip(["", *parts], parts)) == text
+    wide = chunking.chunk_text("y" * 1000 + ". End of it.", "text", 400, 100)
+    assert [len(p) for p in wide[:3]] == [400, 400, 400] and "End" in wide[-1] and all(len(p) <= 400 for p in wide)
 
 
 def test_git_fallbacks(spark, tmp_path):
