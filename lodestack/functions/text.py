@@ -81,6 +81,11 @@ def none_label(c: Column, label: str = "(none)") -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(label))
 
 
+def percent_text(share: Column, digits: int = 2) -> Column:
+    """A share as percents with so many digits."""
+    return F.format_string(f"%.{digits}f%%", F.round(share * 100, digits))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Whole percents, halves to even; null over nothing."""
     return F.bround(F.try_divide(part * 100.0, whole), 0)

@@ -44,12 +44,24 @@ class Tables:
     def observations(self) -> DataFrame:
         return current(self.raw("observations"))
 
+    def entities_in(self, few: DataFrame, column: str) -> DataFrame:
+        """Entities whose ``column`` is among a few rows; as it is alike in all copies of one, those are cut down first."""
+        rows = self.raw("entities").withColumn("id", canonical_id(F.col("id")))
+        return current(rows.join(F.broadcast(few), column, "left_semi"), "updated_at")
+
+    def relations_of(self, few: DataFrame) -> DataFrame:
+        """Relations that touch one of a few entities (``id``)."""
+        both = self.edges
+        ends = F.broadcast(few.select("id").distinct())
+        mine = both.join(ends.withColumnRenamed("id", "source_id"), "source_id", "left_semi").unionByName(both.join(ends.withColumnRenamed("id", "target_id"), "target_id", "left_semi"))
+        return current(mine)
+
     def query_vector(self, vec_id: int = 0) -> list[float]:
-        row = self.raw("embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
-        return [float(x) for x in row[0]]
+        return self.query_vectors([vec_id])[vec_id]
 
     def query_vectors(self, ids: list[int]) -> dict[int, list[float]]:
-        return {i: self.query_vector(i) for i in ids}
+        rows = self.raw("embeddings").where(F.col("vec_id").isin(ids)).select("vec_id", "embedding").collect()
+        return {r[0]: [float(x) for x in r[1]] for r in rows}
 
 
 def canon_sql(c: str) -> str:

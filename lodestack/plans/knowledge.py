@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from lodestack.functions import text as X
 from lodestack.functions.vectors import cosine
 from lodestack.operators import aggregates as A
 from lodestack.operators import chunking, context, graph, review, search, store
+from lodestack import schemas as S
 from lodestack.plans.bindings import ACTIVE_NOW, REVIEW_NOW, Tables, sql, stamp
+from lodestack.session import shared_dir, written
 from lodestack.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,6 +315,11 @@ def coverage_gaps(t: Tables) -> DataFrame:
     return review.coverage_gaps(t.chunks, t.entities)
 
 
+@query(sql("ce", _GAPS.replace("FROM e WHERE", "FROM e WHERE entity_type = 'service' AND length(name) > 14 AND")))
+def coverage_gaps_of_services(t: Tables) -> DataFrame:
+    return review.coverage_gaps(t.chunks, t.entities.where("entity_type = 'service' AND length(name) > 14"))
+
+
 @query(sql("c", "SELECT project, source_file, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT unnest(list_distinct(list(checksum))) AS x)), '') AS checksums, count(*) AS n_chunks FROM c GROUP BY project, source_file"))
 def indexed_files(t: Tables) -> DataFrame:
     return A.indexed_files(t.chunks)
@@ -435,10 +443,14 @@ _LIVE = f"valid_from <= TIMESTAMP '{ACTIVE_NOW}' AND (valid_until IS NULL OR val
  UNION ALL SELECT 'observation', id, obs_type, CAST(score AS VARCHAR) FROM ({_knn(_LIVE, 5, "o", _OF)})""", f"top AS ({_knn(k=5)})", _NEAR))
 def context_bundle(t: Tables) -> DataFrame:
     """Chunks, entities, connections and observations for one task, as one table."""
-    top, q = _nearest(t, 5), t.query_vector()
-    near = context.context_entities(t.entities, top)
+    q = t.query_vector()
+    # a few rows each, asked for several times
+    top = written(search.search_repeated(t.raw("chunks"), q, 5, search.CHUNK_FIELDS, "indexed_at"), "top")
+    near = written(t.entities_in(top.where("source_file is not null").select("source_file"), "source_file"), "near")
+    edges = written(t.relations_of(near), "edges")
+    ends = t.entities_in(edges.select(F.explode(F.array("source_id", "target_id")).alias("id")), "id")
     obs = search.search_repeated(t.raw("observations").where(search.active(stamp(ACTIVE_NOW))), q, 5, search.OBS_FIELDS)
-    return context.bundle_rows(context.Context(top, near, graph.connections(near, t.relations, t.entities), obs))
+    return context.bundle_rows(context.Context(top, near, graph.connections(near, edges, ends), obs))
 
 
 # --- changes of tables, as the new snapshot -------------------------------------------------------------------------
@@ -507,12 +519,18 @@ def _import_batch(t: Tables) -> DataFrame:
 
 
 @query(sql("e", """SELECT coalesce(e.name, b.name) AS name, coalesce(e.entity_type, b.entity_type) AS entity_type, CASE WHEN e.id IS NULL THEN b.project ELSE e.project END AS project,
- CASE WHEN b.name IS NOT NULL THEN coalesce(b.description, '') ELSE e.description END AS description, CASE WHEN b.name IS NOT NULL THEN b.source_file ELSE e.source_file END AS source_file, e.id IS NULL AS inserted
+ CASE WHEN b.name IS NOT NULL THEN coalesce(b.description, '') ELSE e.description END AS description, CASE WHEN b.name IS NOT NULL THEN b.source_file ELSE e.source_file END AS source_file, e.id IS NULL AS inserted, e.created_at, CASE WHEN b.name IS NOT NULL THEN NULL ELSE e.updated_at END AS unchanged_since,
+ coalesce(array_to_string(list_sort(CASE WHEN b.name IS NULL THEN e.properties.chunk_ids ELSE list_distinct(list_concat(coalesce(e.properties.chunk_ids, []), ['added-chunk'])) END), ','), '') AS chunk_ids
  FROM e FULL JOIN b ON e.name = b.name AND e.entity_type = b.entity_type AND e.project IS NOT DISTINCT FROM b.project""", _BATCH_ENT.replace("arg_max(description,", "arg_max(coalesce(description, ''),")))
 def entity_upsert(t: Tables) -> DataFrame:
     now = t.entities.select("id").withColumn("old", F.lit(True))
     after = graph.upsert_entities(t.entities, _import_batch(t), stamp(ACTIVE_NOW))
-    return after.join(now, "id", "left").select("name", "entity_type", "project", "description", "source_file", F.col("old").isNull().alias("inserted"))
+    fresh = F.array_contains("properties.chunk_ids", "added-chunk")
+    ids = F.array_join(F.array_sort("properties.chunk_ids"), ",")
+    return after.join(now, "id", "left").select(
+        "name", "entity_type", "project", "description", "source_file", F.col("old").isNull().alias("inserted"), F.when(F.col("old"), F.col("created_at")).alias("created_at"),
+        F.when(~F.coalesce(fresh, F.lit(False)), F.col("updated_at")).alias("unchanged_since"), F.coalesce(ids, F.lit("")).alias("chunk_ids"),
+    )
 
 
 @query(sql("er", """SELECT s.id AS source_id, g.id AS target_id, x.relation_type, CAST(1.0 AS DOUBLE) AS weight FROM x
@@ -539,7 +557,93 @@ def debounce_last_action(t: Tables) -> DataFrame:
 _TOUCHED = "SELECT DISTINCT path FROM file_events WHERE ts >= TIMESTAMP '2026-01-01 00:00:00'"
 
 
-@query(sql("c", f"SELECT id, project, source_file FROM c WHERE CASE WHEN project IS NULL THEN source_file ELSE project || '/' || source_file END NOT IN ({_TOUCHED})"))
+_LAST = "SELECT path, arg_max(lower(action), (ts, seq)) AS action FROM file_events WHERE ts >= TIMESTAMP '2026-01-01 00:00:00' GROUP BY path"
+
+
+@query(sql("c", f"SELECT id, project, source_file FROM c WHERE CASE WHEN project IS NULL THEN source_file ELSE project || '/' || source_file END NOT IN ({_TOUCHED}) UNION ALL SELECT 'new-' || path, NULL, path FROM ({_LAST}) WHERE action <> 'delete'"))
 def delta_apply(t: Tables) -> DataFrame:
+    """What was deleted loses its chunks, what was made or modified gets new ones."""
     actions = changes.last_actions(t.raw("file_events").where("ts >= TIMESTAMP_NTZ '2026-01-01 00:00:00'"))
-    return changes.apply_changes(t.chunks, actions).select("id", "project", "source_file")
+    new = actions.where("action <> 'delete'").select(F.concat(F.lit("new-"), "path").alias("id"), F.lit(None).cast("string").alias("project"), F.col("path").alias("source_file"))
+    return changes.apply_changes(t.chunks.select("id", "project", "source_file"), actions, new)
+
+
+# --- answers as JSON and text ---------------------------------------------------------------------------------------
+
+
+def _json(fields: list[str]) -> str:
+    return "to_json({" + ", ".join(f"{f}: {f}" for f in fields) + "})"
+
+
+_QUERY_FIELDS = ["content", "source_file", "line_start", "line_end", "chunk_type", "language", "project", "id"]
+
+
+@query(sql("c", f"SELECT id, {_json(_QUERY_FIELDS)}::VARCHAR AS result, score FROM ({_knn()})"))
+def query_json(t: Tables) -> DataFrame:
+    """Each result of a question as the machine-readable answer has it, nulls named."""
+    return _nearest(t, 10).select("id", F.to_json(F.struct(*_QUERY_FIELDS), {"ignoreNullFields": "false"}).alias("result"), "score")
+
+
+@query(sql("o", f"SELECT id, strftime(valid_from, '%Y-%m-%dT%H:%M:%S') AS valid_from, strftime(valid_until, '%Y-%m-%dT%H:%M:%S') AS valid_until, coalesce(metadata, '{{}}') AS metadata, printf('%.0f%%', round(confidence * 100, 0)) AS confidence FROM o"))
+def observation_texts(t: Tables) -> DataFrame:
+    """Times as ISO text, an absent bag as an empty one, shares in percent."""
+    stamp_ = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c)
+    return t.observations.select("id", stamp_("valid_from"), stamp_("valid_until"), F.coalesce("metadata", F.lit("{}")).alias("metadata"), X.percent_text(F.col("confidence"), 0).alias("confidence"))
+
+
+@query(sql("c", f"SELECT id, printf('%.2f%%', round(score * 100, 2)) AS similarity FROM ({_knn(k=50)})"))
+def similarity_texts(t: Tables) -> DataFrame:
+    return _nearest(t, 50).select("id", X.percent_text(F.col("score"), 2).alias("similarity"))
+
+
+@query(sql("r", "SELECT id, coalesce(evidence, '')[1:120] AS shown, coalesce(evidence, '')[1:80] AS listed FROM r"))
+def evidence_cuts(t: Tables) -> DataFrame:
+    e = F.col("evidence")
+    return t.relations.select("id", X.clipped(e, graph.SHOWN_EVIDENCE).alias("shown"), X.clipped(e, graph.LISTED_EVIDENCE).alias("listed"))
+
+
+@query(sql("ce", "SELECT (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FROM e) AS entities, (SELECT count(DISTINCT source_file) FROM c) AS files, (SELECT count(DISTINCT project) FROM c) AS projects"))
+def status_report(t: Tables) -> DataFrame:
+    c = t.chunks.agg(F.count("*").alias("chunks"), F.countDistinct("source_file").alias("files"), F.countDistinct("project").alias("projects"))
+    return c.join(t.entities.agg(F.count("*").alias("entities")), F.lit(True))  # one row each
+
+
+@query(sql("e", "SELECT id, name, entity_type, project FROM e WHERE lower(name) IN (SELECT lower(name) FROM e GROUP BY 1 HAVING count(DISTINCT project) > 1) AND project = 'brimstack'"))
+def entity_lookup_in_project(t: Tables) -> DataFrame:
+    """Names that several projects have, resolved within one."""
+    e = t.entities
+    several = e.groupBy(F.lower("name").alias("low")).agg(F.countDistinct("project").alias("n")).where("n > 1")
+    return e.where("project = 'brimstack'").join(several, F.lower("name") == F.col("low"), "left_semi").select("id", "name", "entity_type", "project")
+
+
+@query(sql("o", "SELECT id, content, obs_type, project FROM o UNION ALL SELECT 'added-' || project, 'noted', 'fact', project FROM (SELECT DISTINCT project FROM o WHERE project IS NOT NULL)"))
+def observation_append(t: Tables) -> DataFrame:
+    """Notes added to a table of versions, read back from it."""
+    from lodestack.operators.store import Store
+
+    s = Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    s.create()
+    old = t.observations
+    s.write("observations", old)
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in S.OBSERVATIONS}
+    said = {"id": F.concat(F.lit("added-"), "project"), "content": F.lit("noted"), "obs_type": F.lit("fact"), "project": F.col("project")}
+    s.append("observations", old.where("project is not null").select("project").distinct().select(*(said.get(n, c).alias(n) for n, c in none.items())))
+    return s.read("observations").select("id", "content", "obs_type", "project")
+
+
+@query(sql("ce", "SELECT count(*) FILTER (source_file IN (SELECT source_file FROM g)) AS chunks_deleted, (SELECT count(*) FROM g) AS stale_files, (SELECT count(*) FROM e WHERE source_file IN (SELECT source_file FROM g)) AS entities_marked_stale FROM c",
+ "g AS (SELECT DISTINCT source_file FROM chunks WHERE source_file LIKE 'src/util/%')"))
+def prune_counts(t: Tables) -> DataFrame:
+    gone = t.raw("chunks").where("source_file LIKE 'src/util/%'").select("source_file").distinct()
+    return (
+        t.chunks.join(gone, "source_file", "left_semi").agg(F.count("*").alias("chunks_deleted")).join(gone.agg(F.count("*").alias("stale_files")), F.lit(True))
+        .join(store.mark_stale(t.entities.withColumn("properties", F.lit(None).cast(S.PROPERTIES)), gone).agg(F.count_if("properties.stale").alias("entities_marked_stale")), F.lit(True))
+    )
+
+
+@query(sql("c", f"""SELECT coalesce(nullif(source_file, ''), '(unknown)') AS file, count(*) AS n, string_agg(id, ',' ORDER BY coalesce(line_start, 2147483647), id) AS chunk_ids FROM ({_PAGE}) GROUP BY 1"""))
+def export_contract(t: Tables) -> DataFrame:
+    """Files of a page of an export with the ids importers refer to."""
+    page = A.export_page(t.chunks, 200, 20, prefix="src/")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("line_start", F.lit(2147483647)).alias("line"), F.col("id").alias("chunk_id"))))
+    return page.groupBy(X.none_label(F.col("source_file"), "(unknown)").alias("file")).agg(F.count("*").alias("n"), F.array_join(F.transform(order, lambda x: x["chunk_id"]), ",").alias("chunk_ids"))
