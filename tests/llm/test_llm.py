@@ -174,7 +174,7 @@ def test_neighbours_recall_and_blocks(spark):
     want = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
     assert len(want) > 200
-    for options in ({}, {"leaves": 8}, {"leaves": 4, "leaf_floats": 600, "trees": 2}, {"sample_floats": 1600, "leaves": 4}):
+    for options in ({}, {"leaves": 8, "cell": 30}, {"leaves": 4, "leaf_floats": 600, "trees": 2}, {"sample_floats": 1600, "leaves": 4, "cell": 50}):
         near = V.Neighbours(df, 5, 0.9, **options).neighbours()
         got = {(r["src_table"], *sorted((r["id"], r["neighbour"]))) for r in near.collect()}
         assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
@@ -198,7 +198,7 @@ def test_neighbours_far_apart_are_all_found(spark):
     np.fill_diagonal(cos, -2)
     want = {(f"id{i:04d}", f"id{j:04d}") for i, row in enumerate(cos) for j in np.argsort(-row)[:5]}
     for options in ({}, {"exact": 0}):  # without and after the index
-        got = {(r["id"], r["neighbour"]) for r in V.Neighbours(df, 5, leaves=32, **options).neighbours().collect()}
+        got = {(r["id"], r["neighbour"]) for r in V.Neighbours(df, 5, leaves=32, cell=40, **options).neighbours().collect()}
         assert len(got) == len(want) and len(got & want) >= 0.999 * len(want)
 
 
@@ -207,7 +207,7 @@ def test_neighbours_of_the_index_alone_and_finished(spark):
     want = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
     for options in ({"exact": 0}, {"finish": False}):
-        got = {(r["src_table"], *sorted((r["id"], r["neighbour"]))) for r in V.Neighbours(df, 5, 0.9, leaves=8, **options).neighbours().collect()}
+        got = {(r["src_table"], *sorted((r["id"], r["neighbour"]))) for r in V.Neighbours(df, 5, 0.9, leaves=8, cell=30, **options).neighbours().collect()}
         assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
@@ -281,7 +281,7 @@ def test_nearest_with_and_without_a_bar():
     want = {(i, j) for i, row in enumerate(cos) for j in np.argsort(-row)[:4]}
     for bar in (np.full(700, -1.0), np.sort(cos, 1)[:, -4] - 1e-5):
         r, c, _ = V.nearest(x, x, bar, 3)
-        assert len(want ^ set(zip(r, c))) <= 4
+        assert len(want - set(zip(r, c))) <= 2 and len(r) <= 700 * (4 + V.SPARE)
 
 
 def test_neighbours_of_nothing(spark):
