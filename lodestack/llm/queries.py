@@ -47,7 +47,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.credentials(table(spark, d, "chunks"))
+    return secrets.credentials(table(spark, d, "chunks")).withColumn("line_nos", F.array_join(F.col("line_nos").cast("array<string>"), ","))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

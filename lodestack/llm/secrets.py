@@ -17,7 +17,8 @@ Labels O, B, I. The field is fitted by ``train`` on lines that
 ``labelled_lines`` makes (``TRAIN_LINES`` of them, a bound), and its weights
 are kept in ``secret_weights.json`` beside this file. A private key in PEM form
 is one token per line; the key's body goes with its first line, up to the key's end
-or a line that is no part of one, however long its lines are. A literal that
+or a line that is no part of one, however long its lines are. A text that begins within a
+key and holds its end has that part redacted too; it starts no credential. A literal that
 goes on in the next line is redacted there too, but counts where it starts.
 
 Each row is one chunk and nothing is shuffled but the lines found, to drop
@@ -658,11 +659,30 @@ def _may_hold(line: str) -> bool:
     return False
 
 
+_KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY-----")
+
+
+def _rest_of_key(before: str) -> list[tuple[int, int]]:
+    """Spans of key lines, if all that comes before a key's end is such."""
+    lines, at, out = before.split("\n"), 0, []
+    for n, line in enumerate(lines):
+        # the last is what stands before the mark of the end in its line
+        if "-----BEGIN" in line or (line.strip(" \t\r\"'`#/*;+") and not _KEY_LINE.fullmatch(line)):
+            return []
+        out.extend((at + m.start(1), at + m.end(1)) for m in _INLINE.finditer(line) if ":" not in line)
+        at += len(line) + 1
+    return out
+
+
 def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(line number, spans of characters in ``content``) of each credential."""
+    """(line number, spans of characters in ``content``) of each credential; number 0 for the
+    rest of a key that began before ``content`` does."""
     crf = crf or field()
     out: list[tuple[int, list[tuple[int, int]]]] = []
     at, carried, goes_on, in_pem = 0, "none", "", False
+    end = _KEY_END.search(content) if "PRIVATE KEY-----" in content else None
+    if end and (rest := _rest_of_key(content[: end.start()])):
+        out.append((0, rest))
     for no, line in enumerate(content.split("\n"), 1):
         start, at = at, at + len(line) + 1
         if in_pem:  # the body of a private key goes with its first line
@@ -720,7 +740,7 @@ def redact(content: str, found: list[tuple[int, list[tuple[int, int]]]]) -> str:
     return "".join([*out, content[at:]])
 
 
-FOUND = "chunk_id string, line_no bigint, redacted string"
+FOUND = "chunk_id string, line_nos array<bigint>, redacted string"
 
 
 def _rows(keep_text: bool):
@@ -730,26 +750,27 @@ def _rows(keep_text: bool):
             rows = []
             for i, text in zip(b["chunk_id"], b["content"]):
                 found = find(text, crf) if text else []
-                clean = redact(text, found) if keep_text and found else None
-                rows += [(i, no, clean) for no in sorted({n for n, _ in found})]
-            yield pd.DataFrame(rows, columns=["chunk_id", "line_no", "redacted"])
+                if found:
+                    rows.append((i, sorted({n for n, _ in found if n}), redact(text, found) if keep_text else None))
+            yield pd.DataFrame(rows, columns=["chunk_id", "line_nos", "redacted"])
 
     return run
 
 
-def credentials(chunks: DataFrame) -> DataFrame:
-    """One row per chunk and line where a credential starts, with the chunk's redacted content."""
-    return _lines(chunks, True)
+def _found(chunks: DataFrame, keep_text: bool) -> DataFrame:
+    rows = pick(chunks, "id", "content").where(F.col("content").isNotNull() & F.col("id").isNotNull())
+    return spread(rows.select(F.col("id").alias("chunk_id"), "content")).mapInPandas(_rows(keep_text), FOUND)
 
 
-def credential_lines(chunks: DataFrame) -> DataFrame:
-    return _lines(chunks, False).select("chunk_id", "line_no")
+def credentials(chunks: DataFrame) -> DataFrame:
+    """One row per chunk that holds credentials, or the rest of one: the lines where they start, and its redacted content."""
+    return _found(chunks, True).dropDuplicates(["chunk_id"])
 
 
-def _lines(chunks: DataFrame, keep_text: bool) -> DataFrame:
-    rows = pick(chunks, "id", "content").where(F.col("content").isNotNull() & F.col("id").isNotNull())
+def credential_lines(chunks: DataFrame) -> DataFrame:
+    """chunk_id, line_no: one row per line where a credential starts."""
     # copies of an id give the same lines: dropping those moves less than dropping texts
-    return spread(rows.select(F.col("id").alias("chunk_id"), "content")).mapInPandas(_rows(keep_text), FOUND).dropDuplicates(["chunk_id", "line_no"])
+    return _found(chunks, False).select("chunk_id", F.explode("line_nos").alias("line_no")).dropDuplicates(["chunk_id", "line_no"])
 
 
 if __name__ == "__main__":
