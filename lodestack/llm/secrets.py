@@ -36,6 +36,7 @@ import random
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 from pathlib import Path
 
@@ -101,6 +102,7 @@ _KINDS = [
 ]
 
 
+@lru_cache(1 << 16)
 def name_class(name: str) -> str:
     words = [w.lower() for w in _CAMEL.findall(name)]
     if not words:
@@ -617,6 +619,7 @@ def train(lines: int = TRAIN_LINES, epochs: int = 150, seed: int = 7, l2: float
 # --- use ------------------------------------------------------------------------------------------------------------
 
 _RUNS = re.compile(rf"[^{_SEP}]{{6,}}")
+_OPEN_ENDS = frozenset("=:(\\>|+\"'`")
 _OPENS = re.compile(r"[=:(\\>|+]\s*[\"'`]?\s*$")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{8,}")
 #: A line of a private key: encoded bytes within quotes, marks of a comment or of joining; or a header of an encrypted one.
@@ -674,6 +677,14 @@ def _rest_of_key(before: str) -> list[tuple[int, int]]:
     return out
 
 
+def _left_open(line: str) -> str:
+    """The class of the name whose value the next line holds, if this one ends that way."""
+    if line.rstrip()[-1:] not in _OPEN_ENDS or not _OPENS.search(line):
+        return "none"
+    words = re.findall(r"[\w.\-]+", line)
+    return name_class(words[-1]) if words else "none"
+
+
 def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
     """(line number, spans of characters in ``content``) of each credential; number 0 for the
     rest of a key that began before ``content`` does."""
@@ -705,8 +716,7 @@ def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[i
                 goes_on = ""
         if not _may_hold(line) and not (carried == "secret" and any(offered(tokens(line), carried))):
             if line.strip():
-                words = re.findall(r"[\w.\-]+", line)
-                carried = name_class(words[-1]) if words and _OPENS.search(line) else "none"
+                carried = _left_open(line)
             continue
         toks = tokens(line)
         labels = crf.decode(features(toks, carried)) if any(offered(toks, carried)) else []  # linear in the line's length
@@ -725,8 +735,7 @@ def find(content: str, crf: Field | None = None) -> list[tuple[int, list[tuple[i
                     goes_on = "inside"
             elif y == 2 and out:
                 out[-1][1].append(span)
-        words = re.findall(r"[\w.\-]+", line)
-        carried = name_class(words[-1]) if words and _OPENS.search(line) else "none"
+        carried = _left_open(line)
     return out
 
 
