@@ -37,9 +37,9 @@ from lodestack.llm import tokens as T
 from lodestack.operators.columns import pick
 from lodestack.session import written
 
-INSTANCE, ISLANDS, EPOCHS, POPULATION, CHILDREN = 400, 2, 2, 4, 10
+INSTANCE, ISLANDS, EPOCHS, POPULATION, CHILDREN = 400, 2, 2, 4, 6
 #: A container that stays; and what the others hold, on average, where an epoch can end.
-GOOD, FULL = 0.999, 0.999
+GOOD, FULL = 0.998, 0.999
 #: A further level has to make the loose items fewer by so much.
 FEWER = 0.8
 #: Rows of an instance and island that one task works on, at most about.
