@@ -15,7 +15,8 @@ def cosine(vec: Column, query: list[float]) -> Column:
     norm = math.sqrt(sum(float(x) * float(x) for x in query))
     own = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     dot = F.aggregate(F.zip_with(vec, q, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
-    sound = (F.size(vec) == len(query)) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x))
+    # a null or NaN in it shows in the sum
+    sound = (F.size(vec) == len(query)) & own.isNotNull() & ~F.isnan(own)
     if norm == 0:
         return F.when(sound, F.lit(float("nan")))
     return F.when(sound & (own > 0), dot / (own * F.lit(norm))).when(sound, F.lit(float("nan")))

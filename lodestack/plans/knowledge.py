@@ -444,8 +444,9 @@ _LIVE = f"valid_from <= TIMESTAMP '{ACTIVE_NOW}' AND (valid_until IS NULL OR val
 def context_bundle(t: Tables) -> DataFrame:
     """Chunks, entities, connections and observations for one task, as one table."""
     q = t.query_vector()
-    # a few rows each, asked for several times
-    top = written(search.search_repeated(t.raw("chunks"), q, 5, search.CHUNK_FIELDS, "indexed_at"), "top")
+    # a few rows each, asked for several times; of the chunks there are five at most
+    best = search.search_repeated(t.raw("chunks"), q, 5, search.CHUNK_FIELDS, "indexed_at")
+    top = t.spark.createDataFrame(best.collect(), best.schema)
     near = written(t.entities_in(top.where("source_file is not null").select("source_file"), "source_file"), "near")
     edges = written(t.relations_of(near), "edges")
     ends = t.entities_in(edges.select(F.explode(F.array("source_id", "target_id")).alias("id")), "id")
