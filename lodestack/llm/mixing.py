@@ -14,7 +14,7 @@ range holds at most 0.37 ln 2 / ``BUCKETS`` of a source (0.2 %), whatever the we
 The ranges' token sums (a table of bounded size) are
 accumulated and tell which ranges are taken whole and in which one the budget
 ends; only that range is ordered, in a window of its own. What the last document
-that didn't fit leaves over goes to the one that fills it best. The random number of
+that didn't fit leaves over goes to those, ``FILLS`` at most, that fill it best, one after another. The random number of
 a document is a hash of its id and the seed, so a lost task draws it again.
 
 A target without documents, or whose repeats are used up, falls short; its
@@ -42,6 +42,8 @@ from lodestack.session import spread, written
 SIZE_SHARE = 0.5
 BUCKETS = 128
 LEAST_WEIGHT = 0.05
+#: Documents a source may get to fill its budget beyond the prefix.
+FILLS = 4
 SEED = 20
 
 
@@ -105,13 +107,21 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float, seed: int = SEED, bu
     split = placed.where((F.col("before") < F.col("fraction")) & (F.col("before") + F.col("in_bucket") > F.col("fraction")))
     reached = F.col("before") + F.sum("tokens").over(inside)
     split = split.withColumn("extra", (reached <= F.col("fraction")).cast("int"))
-    drawn = written(whole.unionByName(beyond).unionByName(split), "drawn")
-    # what is left of a budget goes to the one document not drawn that fills it best
-    gaps = drawn.groupBy("source").agg((F.first("fraction") - F.sum(F.col("extra") * F.col("tokens"))).alias("gap"))
-    fits = drawn.where("extra = 0").join(F.broadcast(gaps), "source").where(F.col("tokens") <= F.col("gap"))
-    last = fits.groupBy("source").agg(F.max_by("doc_id", F.struct("tokens", -F.col("key"), -F.col("doc_id"))).alias("last"))
-    uses = F.col("epochs") + F.col("extra") + F.coalesce((F.col("doc_id") == F.col("last")).cast("int"), F.lit(0))
-    return drawn.join(F.broadcast(last), "source", "left").select("doc_id", "source", "tokens", uses.cast("bigint").alias("n_uses")).where("n_uses > 0")
+    drawn = base = written(whole.unionByName(beyond).unionByName(split), "drawn")
+    # what is left of a budget goes to the document not drawn that fills it best, and what that leaves to the next
+    spark, filled = sizes.sparkSession, []
+    for _ in range(FILLS):
+        gaps = drawn.groupBy("source").agg((F.first("fraction") - F.sum(F.col("extra") * F.col("tokens"))).alias("gap"))
+        fits = drawn.where("extra = 0").join(F.broadcast(gaps), "source").where(F.col("tokens") <= F.col("gap"))
+        last = fits.groupBy("source").agg(F.max_by("doc_id", F.struct("tokens", -F.col("key"), -F.col("doc_id"))).alias("last"))
+        new = [tuple(r) for r in last.collect()]  # a row per source at most
+        if not new:
+            break
+        filled += new
+        mine = F.broadcast(spark.createDataFrame(filled, "source string, doc_id bigint")).withColumn("fill", F.lit(1))
+        drawn = base.join(mine, ["source", "doc_id"], "left").withColumn("extra", F.greatest("extra", F.coalesce("fill", F.lit(0)))).drop("fill")
+    uses = F.col("epochs") + F.col("extra")
+    return drawn.select("doc_id", "source", "tokens", uses.cast("bigint").alias("n_uses")).where("n_uses > 0")
 
 
 def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
