@@ -2,7 +2,8 @@
 
 A text over ``limit`` characters is cut by a hierarchy of separators: section,
 paragraph, line, sentence, word, character. A unit that doesn't fit is cut by
-the next level; units are then packed greedily, and each piece starts with a
+the next level; units are then packed greedily. A full piece ends at the best boundary of its last
+part, from ``FILL`` of the limit on, so that it doesn't end within a paragraph whose border lies there. Each piece starts with a
 tail of the one before, of at most ``overlap`` characters, that itself starts
 at the best boundary there is. Where a text has no blanks, marks of code stand
 between its words.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from lodestack.operators.columns import pick
 
 LIMIT, OVERLAP = 1024, 200
+FILL = 0.6
 
 #: Places where a unit of each level may start, best first. A match's end is the place.
 LEVELS = [
@@ -40,17 +42,19 @@ LEVELS = [
 
 
 def _cuts(text: str, lo: int, hi: int, level: int, limit: int, overlap: int, out: list[tuple[int, int]]) -> None:
-    """Append to ``out`` the ends of units of [lo, hi) that fit, with their level."""
+    """Append to ``out`` the ends of units of [lo, hi) that fit, with the level of the separator there."""
     if hi - lo <= limit:
         out.append((hi, level))
         return
     if level == len(LEVELS):
         step = limit - overlap  # leaves room for the tail of the piece before
         out.extend((min(at + step, hi), level) for at in range(lo, hi, step))
-        return
+        return  # the caller knows what is at the end
     ends = [m.end() for m in LEVELS[level].finditer(text, lo, hi) if lo < m.end() < hi]
     for start, end in zip([lo, *ends], [*ends, hi]):
         _cuts(text, start, end, level + 1, limit, overlap, out)
+        if end < hi:
+            out[-1] = (end, level)
 
 
 def _tail(text: str, start: int, end: int, most: int) -> int:
@@ -73,15 +77,19 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         return []
     cuts: list[tuple[int, int]] = []
     _cuts(text, 0, len(text), 0, limit, overlap, cuts)
-    ends = [c for c, _ in cuts]
-    out, start, last = [], 0, 0
-    for i, end in enumerate(ends):
-        if end - start > limit:
-            out.append((start, last))
-            # the tail must leave room for the unit that comes next
-            start = _tail(text, start, last, min(overlap, limit - (end - last)))
-        last = end
-    out.append((start, last))
+    out, start, first, i = [], 0, 0, 0  # the piece begins at ``start``, its own units with number ``first``
+    while i < len(cuts):
+        if cuts[i][0] - start <= limit:
+            i += 1
+            continue
+        late = [k for k in range(first, i) if cuts[k][0] - start >= FILL * limit] or [i - 1]
+        k = min(late, key=lambda k: (cuts[k][1], -k))
+        last = cuts[k][0]
+        out.append((start, last))
+        first = i = k + 1
+        # the tail must leave room for the unit that comes next
+        start = _tail(text, start, last, min(overlap, limit - (cuts[i][0] - last)))
+    out.append((start, len(text)))
     return out
 
 

@@ -594,6 +594,15 @@ def test_pieces_cut_at_natural_places():
     assert {text[a:b][:6] for a, b in SP.pieces(text, 60, 12)} == {"word w"}
 
 
+def test_pieces_end_at_the_best_boundary_of_their_last_part():
+    first = "A sentence of some words here. " * 24 + "\n\n"  # 746 characters
+    text = first + "Another one that goes on for long. " * 40
+    spans = SP.pieces(text)
+    assert text[: spans[0][1]] == first  # and not some sentences of the paragraph behind it
+    short = "A sentence of some words here. " * 9 + "\n\n"  # too short a piece: it goes on
+    assert SP.pieces(short + "Another one that goes on for long. " * 40)[0][1] > 900
+
+
 def test_split_rows(spark, clash):
     lines = "".join(f"line {i} of the file\n" for i in range(200))
     rows = [("a", lines, "f.py", 11, 210), ("a", lines, "f.py", 11, 210), ("b", lines, "g.py", 210, 11), ("c", "x" * 1024, "h"), ("d", "😀" * 1025, "h"), ("e", None), ("f", lines, None, None, 300), ("g", "")]
