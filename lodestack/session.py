@@ -56,19 +56,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or where that
     is unset on a local master, a new temporary one. On a cluster an unset
     folder is an error, since a machine-local one is lost with its machine."""
-    found = spark.conf.get(CHECKPOINT_KEY, None)
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get(CHECKPOINT_KEY, None) or _own_dir.get(app)
     if found:
         return found
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="lodestack-")
-    spark.conf.set(CHECKPOINT_KEY, found)
-    return found
+    at = tempfile.mkdtemp(prefix="lodestack-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    _own_dir[app] = f"file://{at}"  # the setting itself can't be changed in a running session
+    return _own_dir[app]
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -88,31 +93,42 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    if sc.applicationId not in _written:
+        # what nobody released goes with the driver's end
+        atexit.register(_sweep, sc.applicationId, sc._jvm, sc._jsc.hadoopConfiguration())
+    _written.setdefault(sc.applicationId, []).append(path)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _written: dict[str, list[str]] = {}
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+def _delete(jvm, conf, paths: list[str]) -> None:
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
 
 
+def _sweep(application: str, jvm, conf) -> None:
+    try:
+        _delete(jvm, conf, _written.pop(application, []))
+    except Exception:  # noqa: BLE001 - the JVM may have ended before
+        return
+
+
 def discard(df: DataFrame) -> None:
     """Delete the tables of ``written`` that ``df`` reads; nothing may be derived from it afterwards."""
     spark = df.sparkSession
     mine = _written.get(spark.sparkContext.applicationId, [])
     gone = [p for p in mine if any(f"{p.split('://')[-1]}/" in f for f in df.inputFiles())]
-    _delete(spark, gone)
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), gone)
     mine[:] = [p for p in mine if p not in gone]
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables ``written`` made in this application; every frame that
     was derived from them must have been used by then."""
-    _delete(spark, _written.pop(spark.sparkContext.applicationId, []))
+    sc = spark.sparkContext
+    _delete(sc._jvm, sc._jsc.hadoopConfiguration(), _written.pop(sc.applicationId, []))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack import schemas as S
+from lodestack import session
 from lodestack.functions import text as X
 from lodestack.functions.embed import hashing_embedder
 from lodestack.operators import chunking, graph, review, search, store
@@ -234,6 +235,20 @@ def test_git_fallbacks(spark, tmp_path):
     assert o["content"] == "Commit 01234567: m (1 files) by a <b>"
 
 
+def test_shared_folder_and_written_tables(spark, monkeypatch):
+    given = spark.conf.get(session.CHECKPOINT_KEY, None)
+    assert not given or session.shared_dir(spark) == given
+    monkeypatch.setattr(session, "CHECKPOINT_KEY", "lodestack.not.set")
+    own = session.shared_dir(spark)
+    assert own.startswith("file:///") and session.shared_dir(spark) == own and os.path.isdir(own[7:])
+    a = session.written(spark.range(3).toDF("id"), "a")
+    b = session.written(a, "b")
+    session.discard(a)
+    assert len(os.listdir(own[7:])) == 1 and b.count() == 3
+    session.discard(b)
+    assert os.listdir(own[7:]) == []
+
+
 def test_hashing_embedder():
     v = hashing_embedder("some words here")
     assert abs(sum(x * x for x in v) - 1) < 1e-9 and v == hashing_embedder("some words here") and not any(hashing_embedder("..."))
