@@ -99,7 +99,7 @@ _MOJIBAKE = re.compile(r"[ÃÂãâ][\x80-\xbf\u0152-\u0178\u02c6\u02dc\u2013-\u2
 
 def _bare(part: str) -> str:
     """Without what is marked as code, which is read as one word."""
-    if not part.isascii():
+    if not part.isascii() and ("â" in part or "Ã" in part or "Â" in part or "ã" in part):
         part = _MOJIBAKE.sub("e", part)
     return _CODE.sub(" x ", part) if "_" in part or "/" in part or "`" in part or "()" in part else part
 
