@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from lodestack.operators import aggregates as A
 from lodestack.operators import chunking, context, graph, review, search, store
 from lodestack import schemas as S
 from lodestack.plans.bindings import ACTIVE_NOW, REVIEW_NOW, Tables, sql, stamp
-from lodestack.session import shared_dir, written
+from lodestack.session import scratch, written
 from lodestack.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -622,7 +621,7 @@ def observation_append(t: Tables) -> DataFrame:
     """Notes added to a table of versions, read back from it."""
     from lodestack.operators.store import Store
 
-    s = Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    s = Store(t.spark, scratch(t.spark, "store"))
     s.create()
     old = t.observations
     s.write("observations", old)

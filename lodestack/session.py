@@ -92,14 +92,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
+    path = scratch(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, which ``release`` deletes, or else the driver's end."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     sc = spark.sparkContext
     if sc.applicationId not in _written:
         # what nobody released goes with the driver's end
         atexit.register(_sweep, sc.applicationId, sc._jvm, sc._jsc.hadoopConfiguration())
     _written.setdefault(sc.applicationId, []).append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 _written: dict[str, list[str]] = {}

@@ -143,6 +143,10 @@ def watch(indexer, root: str, checkpoint: str, project: str | None = None, inter
     spark = indexer.spark
     spark.dataSource.register(FolderChanges)
     seen = Activity()
+    # the driver lists what is mounted to it, and keeps the listings there too
+    local = checkpoint.removeprefix("file://")
+    if "://" in local:
+        raise ValueError(f"a watch needs a checkpoint that is mounted to the driver, not {checkpoint}")
 
     def handle(batch: DataFrame, _: int) -> None:
         rows = last_actions(batch).select("path", "action").collect()  # paths of one interval
@@ -151,7 +155,7 @@ def watch(indexer, root: str, checkpoint: str, project: str | None = None, inter
             for r in rows:
                 seen.add(r["path"], r["action"])
 
-    source = spark.readStream.format("folder_changes").option("state", os.path.join(checkpoint, "listings")).option("rules", json.dumps(indexer.rules or []))
+    source = spark.readStream.format("folder_changes").option("state", os.path.join(local, "listings")).option("rules", json.dumps(indexer.rules or []))
     q = source.load(root).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     q = q.trigger(processingTime=interval).start()
     q.activity = seen
