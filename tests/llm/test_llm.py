@@ -237,6 +237,48 @@ def test_the_walk_stops_early_and_misses_little():
     assert np.allclose(cos, s[rows, cols]) and verified < 0.7 * 4000**2
 
 
+def test_a_large_leaf_fetches_few_vectors(monkeypatch):
+    """What lies together in projection is told apart by products; fetched one by one are those that are near."""
+    r = np.random.default_rng(14)
+    base = r.standard_normal((64, V.DIMS)).astype(np.float32)
+    x = r.standard_normal((40000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x[((x @ base)[:, :3] > 0).all(1)]
+    x[2000:2500] = x[:500] + 0.02 * r.standard_normal((500, 64)).astype(np.float32)
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    endless = np.full(V.DIMS, np.inf, np.float32)
+    leaf, plain, fetched = V.Leaf(x, base, -endless, endless), np.einsum, 0
+
+    def counted(how, a, b):
+        nonlocal fetched
+        fetched += len(a)
+        return plain(how, a, b)
+
+    monkeypatch.setattr(V.np, "einsum", counted)
+    cos = x[:1000] @ x.T
+    cos[np.arange(1000), np.arange(1000)] = -2
+    for least, most in ((0.9, 2), (-1.0, 60)):
+        fetched = 0
+        rows, cols, _ = leaf.search(x[:1000], np.arange(1000), 5, least)
+        want = {(i, j) for i, row in enumerate(cos) for j in np.argsort(-row)[:5] if row[j] >= least}
+        assert len(want) >= 500 and len(want & set(zip(rows, cols))) >= 0.99 * len(want)
+        assert len(set(zip(rows, cols)) - want) <= 0.01 * len(want) and fetched <= most * 1000
+
+
+def test_long_vectors_are_tested_before_they_are_fetched():
+    r = np.random.default_rng(15)
+    x = r.standard_normal((3000, 200))
+    x[1500:] = x[:1500] + 0.3 * r.standard_normal((1500, 200))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    endless = np.full(V.DIMS, np.inf, np.float32)
+    leaf = V.Leaf(x, r.standard_normal((200, V.DIMS)).astype(np.float32), -endless, endless, cell=200)
+    rows, cols, _ = leaf.search(x, np.arange(3000), 5, 0.9)
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    want = set(zip(*np.nonzero(cos >= 0.9)))
+    assert len(want) > 2900 and set(zip(rows, cols)) <= want and len(set(zip(rows, cols))) >= 0.98 * len(want)
+
+
 def test_requests_hold_the_chance_promised():
     r = np.random.default_rng(13)
     x = r.standard_normal((6000, 32)).astype(np.float32)
