@@ -5,7 +5,8 @@ A file is a pair (project, source_file) of chunks. Evidence, in this order:
 * *containment*: an inverted index over the lines of all files says where a line
   occurs. A file is contained in one of another project if it shares at least
   ``CONTAINED`` of its distinct lines of ``MIN_LINE`` characters and more, whatever
-  was edited in between. Files that contain each other are copies of one source. They are
+  was edited in between. All such pairs are found. Files that contain each other are copies of one
+  source, and a mark goes on from a file to its copies and those contained in it, over as many links as there are. They are
   third-party if one of them has a mark of it (a directory or a header, below), or if copies that
   are hardly edited lie in ``SPREAD`` projects; so a copy comes out whose header was cut off and that was
   moved elsewhere.
@@ -19,15 +20,15 @@ A file is a pair (project, source_file) of chunks. Evidence, in this order:
   lines that begin with a generator's mark. A mark quoted in a string, or in
   the middle of a remark, is none.
 
-Scale: chunks become one small row of sums each and their line hashes. Files never
-meet all others that share a line: each line names two of the files that hold it, the
-first and the last in an order that goes by project, and every other file meets one of them
-that lies in another project. Copies of a source name the same file by nearly all of their
-lines, so a source copied into a third of all projects costs its own lines once per
-copy. From these counts come the pairs that are worth it (no line counts for two
-of them, so they are few a file), and only for those shared lines are counted
-exactly. Lines that very many files hold are combined before they are shuffled,
-and no file's lines are collected.
+Scale: chunks become one small row of sums each and their line hashes. Files of the same
+lines are one set, with the projects that hold it; sets are compared, so exact copies
+make no pairs. Lines of one project only say nothing about others and are dropped. To share
+half of its lines a set must share one of its rarest (all shared lines but as many as
+half of its lines need, less one): only these are looked up in the index of all sets, and only for the pairs
+they give shared lines are counted. A line of very many files is looked up only by sets
+that consist of such lines by half. So the work follows the lines and the pairs that
+exist; where many edited copies of one source contain each other, these pairs are as many as the
+square of the copies, and each is counted. No file's lines are collected.
 
 Cases: a null project is a project of its own (empty string in the result);
 null paths or contents are no files; a repeated chunk id counts once, while
@@ -43,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.operators.columns import pick
@@ -51,8 +52,6 @@ from lodestack.session import spread, written
 
 MIN_LINE = 12
 CONTAINED = 0.5
-#: A pair of files is counted exactly from this share of lines on that name it; half of what has to be contained.
-WORTH = 0.2
 #: Lines a file must have to be contained in another; and projects, lines and likeness of copies of a source that its spread alone tells.
 FEW_LINES, SPREAD, SPREAD_LINES, SPREAD_ALIKE = 5, 4, 20, 0.8
 DATA_SHARE, DENSE_SHARE, LOCK_SHARE, TABLE_SHARE = 0.6, 0.5, 0.5, 0.3
@@ -217,8 +216,8 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = ["directory" if in_library(r["source_file"]) else "header" if r["heads"] else None for r in rows]
         code = [bool(_CODE.search(r["source_file"]) or _STYLE.search(r["source_file"])) for r in rows]
         yield pa.RecordBatch.from_arrays(
-            [b.column("project"), b.column("source_file"), pa.array(kind, pa.string()), pa.array(mark, pa.string()), pa.array(code, pa.bool_()), b.column("n_held")],
-            names=["project", "source_file", "composed", "mark", "code", "n_held"],
+            [b.column("project"), b.column("source_file"), pa.array(kind, pa.string()), pa.array(mark, pa.string()), pa.array(code, pa.bool_())],
+            names=["project", "source_file", "composed", "mark", "code"],
         )
 
 
@@ -235,56 +234,84 @@ class SourceFiles:
         facts = spread(rows).mapInArrow(_facts, CHUNK_SCHEMA)
         # rows without an id are no copies of each other
         facts = facts.withColumn("own", F.when(F.col("id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["id", "own"]).drop("id", "own")
-        # files go by hashes from here: what is shuffled per line is three numbers. The order of
-        # places goes by project, then file; two files of one place would only be counted apart below
-        file, place = F.xxhash64("project", "source_file"), F.shiftleft(F.xxhash64("project"), 32)
-        facts = written(facts.withColumns({"file": file, "place": place.bitwiseOR(file.bitwiseAND(F.lit(0xFFFFFFFF)))}), "chunk-facts")
+        # files go by hashes from here: what is shuffled per line is two numbers
+        file, place = F.xxhash64("project", "source_file"), ["set", "project_no"]
+        facts = written(facts.withColumn("file", file), "chunk-facts")
+        # neighbouring chunks share lines
+        lines = written(facts.select("file", F.explode("lines").alias("line")).repartition("file").distinct(), "lines")
+        # files of the same lines are one set
+        sets = lines.groupBy("file").agg(F.count("*").alias("n_lines"), F.bit_xor("line").alias("x"), F.bit_xor(F.xxhash64("line")).alias("y"))
+        sets = sets.select("file", "n_lines", F.xxhash64("n_lines", "x", "y").alias("set"))
         files = (
-            facts.groupBy("project", "source_file").agg(*(F.sum(s).alias(s) for s in SUMS), F.sum(F.size("lines")).alias("n_held"))
-            .mapInArrow(_verdicts, "project string, source_file string, composed string, mark string, code boolean, n_held bigint")
+            facts.groupBy("project", "source_file").agg(*(F.sum(s).alias(s) for s in SUMS))
+            .mapInArrow(_verdicts, "project string, source_file string, composed string, mark string, code boolean")
+            .withColumns({"file": file, "project_no": F.xxhash64("project")})
         )
-        files = written(files.withColumns({"file": file, "place": place.bitwiseOR(file.bitwiseAND(F.lit(0xFFFFFFFF)))}), "files")
-        lines = facts.select("file", "place", F.explode("lines").alias("line"))
-        of = lambda c: F.shiftright(c, 32)  # noqa: E731 - the project's part
-        index = lines.groupBy("line").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(of("first") != of("last"))
-        named = F.when(of("place") == of("first"), F.col("last")).otherwise(F.col("first"))
-        met = lines.join(index, "line").groupBy("file", named.alias("other_place")).agg(F.count("*").alias("n"))
-        sizes = files.select("file", "n_held")
-        pairs = met.join(sizes, "file").where(F.col("n") >= WORTH * F.col("n_held"))
-        pairs = written(pairs.join(files.select(F.col("place").alias("other_place"), F.col("file").alias("other")), "other_place").select("file", "other"), "pairs")
-        # the exact counts, of the files that stand in a pair
-        asked = pairs.select(F.explode(F.array("file", "other")).alias("file")).distinct()
-        held = written(lines.join(asked, "file", "left_semi").select("file", "line").distinct(), "lines")
-        n_lines = held.groupBy("file").agg(F.count("*").alias("n_lines"))
-        theirs = held.select(F.col("file").alias("other"), "line")
-        shared = held.join(pairs, "file").join(theirs, ["other", "line"]).groupBy("file", "other").agg(F.count("*").alias("n_shared"))
-        both = shared.join(n_lines, "file").join(n_lines.select(F.col("file").alias("other"), F.col("n_lines").alias("n_other")), "other")
-        both = both.select("file", "other", "n_lines", (F.col("n_shared") / F.col("n_lines")).alias("containment"), (F.col("n_shared") / F.col("n_other")).alias("back"))
-        edges = written(both.where((F.col("containment") >= contained) & (F.col("n_lines") >= FEW_LINES)), "contained")
-        names = files.select("file", "project", "source_file")
-        self.contained = edges.join(names, "file").join(names.toDF("other", "in_project", "in_file"), "other").select("project", "source_file", "in_project", "in_file", "containment", "back")
-        # what marks one copy marks all: it goes from a file to those contained in it
+        files = written(files.join(sets, "file", "left"), "files")
+        held = files.where(F.col("set").isNotNull())
+        sets = held.groupBy("set").agg(F.min("n_lines").alias("n_lines"), F.min("project_no").alias("low"), F.max("project_no").alias("high"), F.min("file").alias("file"))
+        sets = written(sets, "sets")
+        places = written(held.groupBy(*place).agg(F.max("code").alias("code"), F.max(F.col("mark").isNotNull()).alias("marked")), "places")
+        edges = written(self._edges(lines, sets, contained), "contained")
+        names = held.select("set", "project", "source_file")
+        pairs = edges.join(names, "set").join(names.toDF("other", "in_project", "in_file"), "other").where("project <> in_project")
+        self.contained = pairs.select("project", "source_file", "in_project", "in_file", "containment", "back")
+        # what marks one copy marks all: it goes from a set to those contained in it, always to another project
         hold = edges.where(F.col("back") >= contained)
-        ways = edges.select(F.col("other").alias("at"), F.col("file").alias("to")).unionByName(hold.select(F.col("file").alias("at"), F.col("other").alias("to"))).distinct()
-        wide = (
-            hold.where((F.col("containment") >= SPREAD_ALIKE) & (F.col("back") >= SPREAD_ALIKE) & (F.col("n_lines") >= SPREAD_LINES))
-            .join(files.where("code").select("file", of("place").alias("project_no")), "file")
-            .groupBy("other").agg(F.countDistinct("project_no").alias("n")).where(F.col("n") >= spread_projects - 1).select(F.col("other").alias("at"))
-        )
-        known = files.where("mark is not null").select(F.col("file").alias("at")).unionByName(wide).distinct()
-        # copies name the first file, those of its project the last: no two are more than three steps apart
-        for _ in range(3):
-            known = known.unionByName(ways.join(known, "at").select(F.col("to").alias("at"))).distinct()
-        third = written(known.select(F.col("at").alias("file"), F.lit(True).alias("third")), "third-party")
-        best = ways.select(F.col("to").alias("file")).distinct().join(edges.groupBy("file").agg(F.max("containment").alias("containment")), "file", "left").withColumn("copied", F.lit(True))
-        full = files.join(third, "file", "left").join(best, "file", "left")
-        copied = F.col("third").isNotNull() & F.col("copied").isNotNull()
+        ways = edges.select(F.col("other").alias("at"), "set", "containment").unionByName(hold.select(F.col("set").alias("at"), F.col("other").alias("set"), F.lit(None).cast("double").alias("containment")))
+        ways = written(ways.groupBy("at", "set").agg(F.max("containment").alias("containment")), "ways")
+        elsewhere = (F.col("project_no") != F.col("low")) | (F.col("project_no") != F.col("high"))
+
+        def led(sources: DataFrame) -> DataFrame:
+            """The places that ways lead to, from sets given with the range of their projects."""
+            return ways.join(sources.withColumnRenamed("set", "at"), "at").join(places.select(*place), "set").where(elsewhere)
+
+        alike = hold.where((F.col("containment") >= SPREAD_ALIKE) & (F.col("back") >= SPREAD_ALIKE) & (F.col("n_lines") >= SPREAD_LINES))
+        near = alike.join(places.where("code").select(*place), "set").select(F.col("other").alias("set"), "project_no").distinct()
+        many = near.groupBy("set").agg(F.count("*").alias("n")).where(F.col("n") >= spread_projects - 1)
+        # one's own project doesn't count
+        wide = places.select(*place).join(many, "set").join(near.withColumn("own", F.lit(1)), place, "left").where(F.col("n") - F.coalesce("own", F.lit(0)) >= spread_projects - 1)
+        reached = written(wide.select(*place), "wide")
+        last = places.where("marked").select(*place).unionByName(reached)
+        while True:
+            sources = last.groupBy("set").agg(F.min("project_no").alias("low"), F.max("project_no").alias("high"))
+            last = written(led(sources).select(*place).distinct().join(reached, place, "left_anti"), "reached")
+            if last.isEmpty():
+                break
+            reached = reached.unionByName(last)
+        third = reached.withColumn("third", F.lit(True))
+        best = led(sets.select("set", "low", "high")).groupBy(*place).agg(F.max("containment").alias("containment")).withColumn("copied", F.lit(True))
+        full = files.join(third, place, "left").join(best, place, "left")
+        copied = (F.col("third").isNotNull() | F.col("mark").isNotNull()) & F.col("copied").isNotNull()
         evidence = F.when(copied, "containment").when(F.col("mark").isNotNull(), F.col("mark")).when(F.col("composed").isNotNull(), "composition")
         self.verdicts = (
             full.withColumn("evidence", evidence).where(F.col("evidence").isNotNull())
             .select("project", "source_file", F.when(F.col("evidence") == "composition", F.col("composed")).otherwise("vendored").alias("kind"), "evidence", F.col("mark").isNotNull().alias("marked"), F.when(copied, F.col("containment")).alias("containment"))
         )
 
+    @staticmethod
+    def _edges(lines: DataFrame, sets: DataFrame, contained: float) -> DataFrame:
+        """All pairs of sets of two projects of which the first is contained in the other; a set of several projects is so in itself."""
+        rows = lines.join(sets, "file").select("set", "line", "n_lines", "low", "high")
+        index = rows.groupBy("line").agg(F.min("low").alias("first"), F.max("high").alias("last"), F.count("*").alias("n_sets")).where("first <> last")
+        shared = rows.join(index.select("line", "n_sets"), "line")
+        order = Window.partitionBy("set")
+        shared = shared.withColumns({"k": F.count("*").over(order), "r": F.row_number().over(order.orderBy("n_sets", "line"))})
+        # the share is a quotient, which rounding may put below a whole number of lines
+        shared = written(shared.withColumn("need", F.greatest(F.ceil(contained * F.col("n_lines") - 1e-6), F.lit(1))), "shared-lines")
+        rare = shared.where((F.col("n_lines") >= FEW_LINES) & (F.col("r") <= F.col("k") - F.col("need") + 1)).select("line", "set", "need", "low", "high")
+        others = shared.select("line", F.col("set").alias("other"), F.col("k").alias("other_k"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+        apart = F.least("low", "other_low") != F.greatest("high", "other_high")
+        pairs = rare.join(others, "line").where((F.col("set") != F.col("other")) & (F.col("other_k") >= F.col("need")) & apart)
+        pairs = written(pairs.select("set", "other").distinct(), "pairs")
+        mine, theirs = shared.select("set", "line"), shared.select(F.col("set").alias("other"), "line")
+        both = pairs.join(mine, "set").join(theirs, ["other", "line"]).groupBy("set", "other").agg(F.count("*").alias("n_shared"))
+        n_lines = sets.select("set", "n_lines")
+        both = both.join(n_lines, "set").join(n_lines.toDF("other", "n_other"), "other")
+        both = both.select("set", "other", "n_lines", (F.col("n_shared") / F.col("n_lines")).alias("containment"), (F.col("n_shared") / F.col("n_other")).alias("back"))
+        itself = sets.where("low <> high").select("set", F.col("set").alias("other"), "n_lines", F.lit(1.0).alias("containment"), F.lit(1.0).alias("back"))
+        return both.unionByName(itself).where((F.col("containment") >= contained) & (F.col("n_lines") >= FEW_LINES))
+
 
 def not_handwritten(chunks: DataFrame) -> DataFrame:
     return SourceFiles(chunks).verdicts

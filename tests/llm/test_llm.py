@@ -113,6 +113,41 @@ def test_handwritten_containment_is_exact(spark):
             assert any(x == a for x, _ in got)
 
 
+def test_all_contained_files_are_found(spark):
+    """Also those whose lines many others hold, exact copies, and shares of exactly the threshold."""
+    r = random.Random(8)
+    sources = [[f"line {i} of source {s}, used by {s * i % 7} others" for i in range(20)] for s in range(4)]
+    files = {}
+    for n in range(70):
+        x = list(r.choice(sources))[: r.choice([5, 10, 20])]
+        for _ in range(r.choice([0, 0, 2, 4, 8])):
+            x[r.randrange(len(x))] = f"a line {r.random()} of its own"
+        files[f"p{n % 9}", f"src/{n}.js"] = set(x)
+    for n in range(60):  # of each source a line at a time, in projects of their own
+        files[f"q{n % 15}", f"a/{n}.js"] = {x[n % 20] for x in sources} | {f"line {n} {i} of that file alone" for i in range(30)}
+    df = chunks(spark, [(f"{i}", "\n".join(sorted(x)), f, 1, 1, p) for i, ((p, f), x) in enumerate(files.items())])
+    for least in (0.5, 0.6):
+        want = {(a, b): len(files[a] & files[b]) / len(files[a]) for a in files for b in files if a[0] != b[0] and len(files[a]) >= 5 and len(files[a] & files[b]) / len(files[a]) >= least}
+        got = [((x["project"], x["source_file"]), (x["in_project"], x["in_file"]), x["containment"]) for x in H.SourceFiles(df, contained=least).contained.collect()]
+        assert len(got) == len(want) > 200 and {(a, b): c for a, b, c in got} == pytest.approx(want)
+
+
+def test_a_mark_reaches_copies_whose_lines_others_hold(spark):
+    head = "/*\n * fancylib 1.2.3, https://fancy.invalid\n * Copyright 2019 fancylib contributors\n */\n"
+    rows = [("1", head + LIB, "lib/a.js", 1, 40, "p"), ("2", LIB + "\nfoo(bar, long enough);", "src/b.js", 1, 40, "q")]
+    for n, line in enumerate(LIB.split("\n")):
+        rows += [(f"{n} {k}", line + "\n" + "".join(f"own line {n} of project {k}, number {i}\n" for i in range(40)), f"x/{n}.js", 1, 41, f"r{k}") for k in range(12)]
+    assert kinds(spark, rows) == {("p", "lib/a.js"): "vendored", ("q", "src/b.js"): "vendored"}
+
+
+def test_a_mark_goes_over_any_number_of_links(spark):
+    head = "/*\n * fancylib 1.2.3, https://fancy.invalid\n * Copyright 2019 fancylib contributors\n */\n"
+    rows = [(f"{n}", head * (n == 0) + "\n".join(f"  const thing{i} = makeThing({i});" for i in range(10 * n, 10 * n + 24)), f"src/{n}.js", 1, 24, f"p{n}") for n in range(9)]
+    assert len(kinds(spark, rows)) == 9
+    # not within a project
+    assert len(kinds(spark, [(*r[:5], "p") for r in rows])) == 1
+
+
 def test_library_without_header_is_found_by_its_copies(spark):
     head = "/*\n * fancylib 1.2.3, https://fancy.invalid\n * Copyright 2019 fancylib contributors\n */\n"
     cut = LIB.split("\n")
